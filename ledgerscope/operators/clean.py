@@ -178,8 +178,8 @@ def explode_children(df: DataFrame, addresses: str, amounts: str, side: str) ->
     pairs = df.where(F.col(addresses).isNotNull() & F.col(amounts).isNotNull()).select(
         "txid", F.posexplode(_zipped(addresses, amounts)).alias("pos", "pair"))
     return pairs.select("txid", F.col("pos").alias(f"{side}_index"),
-                        F.trim(F.col(f"pair.{addresses}")).alias("address"),
-                        F.col(f"pair.{amounts}").cast("bigint").alias("amount_satoshi"))
+                        F.trim("pair.a").alias("address"),
+                        F.col("pair.v").cast("bigint").alias("amount_satoshi"))
 
 
 def decompose_consolidated(df: DataFrame, dataset_id: str) -> dict[str, DataFrame]:
