@@ -100,13 +100,8 @@ def relation_features(transactions: DataFrame, inputs: DataFrame, outputs: DataF
     return joined.select(TX, *_relation_columns())
 
 
-def address_timeline(transactions: DataFrame, inputs: DataFrame, outputs: DataFrame) -> DataFrame:
-    """One row per (address, transaction) with everything known about the address before it.
-
-    Roles in the transaction: ``in_rows``, ``out_rows``, ``is_sender``. Earlier activity of the address:
-    ``prior_rows``, ``prior_sends``, ``prior_sent``, ``prior_received``, ``prior_counterparties``,
-    ``prior_first_seen``, ``prior_last_send``.
-    """
+def address_events(transactions: DataFrame, inputs: DataFrame, outputs: DataFrame) -> DataFrame:
+    """One row per (address, transaction): its roles, the value sent and received, and new counterparties."""
     tx = with_sender_key(transactions, primary_senders(inputs)).select(
         TX, TS, "sender_key", F.col("total_output_value_satoshi").alias("out_total"))
     ins = inputs.groupBy(TX, F.trim("input_address").alias("address")).agg(F.count(F.lit(1)).alias("in_rows"))
@@ -115,39 +110,47 @@ def address_timeline(transactions: DataFrame, inputs: DataFrame, outputs: DataFr
     recipients = outs.groupBy(TX).agg(F.count(F.lit(1)).alias("n_recipients"))
 
     zero = F.lit(0).cast("bigint")
-    sends = tx.select(F.col("sender_key").alias("address"), TS, TX, zero.alias("in_rows"), zero.alias("out_rows"),
-                      F.lit(1).cast("bigint").alias("is_sender"), F.col("out_total").alias("sent"),
-                      zero.alias("received"), zero.alias("new_cp"), F.col(TS).alias("send_ts"))
+
+    def event(address: str, **values: Column) -> list[Column]:
+        names = ("in_rows", "out_rows", "is_sender", "sent", "received", "new_cp")
+        return [F.col(address).alias("address"), F.col(TS), F.col(TX), *[values.get(n, zero).alias(n) for n in names]]
+
+    one = F.lit(1).cast("bigint")
+    sends = tx.select(*event("sender_key", is_sender=one, sent=F.col("out_total")))
     spends = ins.where(F.col("address").isNotNull()).join(tx.select(TX, TS), TX).select(
-        "address", TS, TX, "in_rows", zero.alias("out_rows"), zero.alias("is_sender"), zero.alias("sent"),
-        zero.alias("received"), zero.alias("new_cp"), F.lit(None).cast("bigint").alias("send_ts"))
+        *event("address", in_rows=F.col("in_rows")))
     received = outs.join(tx, TX).join(recipients, TX).select(
         "address", TS, TX, "sender_key", "out_rows", F.expr("out_total div n_recipients").alias("share"))
-    gets = received.select("address", TS, TX, zero.alias("in_rows"), "out_rows", zero.alias("is_sender"),
-                           zero.alias("sent"), F.coalesce("share", zero).alias("received"), zero.alias("new_cp"),
-                           F.lit(None).cast("bigint").alias("send_ts"))
+    gets = received.select(*event("address", out_rows=F.col("out_rows"), received=F.coalesce("share", zero)))
     # a counterparty counts from the first transaction that links the two addresses, in either role
     links = received.select(F.explode(F.array(
         F.struct(F.col("address").alias("a"), F.col("sender_key").alias("b")),
         F.struct(F.col("sender_key").alias("a"), F.col("address").alias("b")))).alias("l"), TS, TX)
-    firsts = links.groupBy("l.a", "l.b").agg(F.min(F.struct(TS, TX)).alias("k")).select(
-        F.col("a").alias("address"), F.col(f"k.{TS}").alias(TS), F.col(f"k.{TX}").alias(TX),
-        zero.alias("in_rows"), zero.alias("out_rows"), zero.alias("is_sender"), zero.alias("sent"),
-        zero.alias("received"), F.lit(1).cast("bigint").alias("new_cp"), F.lit(None).cast("bigint").alias("send_ts"))
+    firsts = links.groupBy("l.a", "l.b").agg(F.min(F.struct(TS, TX)).alias("k")).select("a", "k.*").select(
+        *event("a", new_cp=one))
     rows = sends.unionByName(spends).unionByName(gets).unionByName(firsts)
-    day = F.floor(F.col(TS) / DAY)
-    merged = rows.groupBy("address", TS, TX).agg(
-        *[F.sum(c).alias(c) for c in ("in_rows", "out_rows", "is_sender", "sent", "received", "new_cp")],
-        F.max("send_ts").alias("send_ts"))
+    return rows.groupBy("address", TS, TX).agg(
+        *[F.sum(c).alias(c) for c in ("in_rows", "out_rows", "is_sender", "sent", "received", "new_cp")])
+
+
+def address_timeline(transactions: DataFrame, inputs: DataFrame, outputs: DataFrame) -> DataFrame:
+    """One row per (address, transaction) with everything known about the address before it.
+
+    Roles in the transaction: ``in_rows``, ``out_rows``, ``is_sender``. Earlier activity of the address:
+    ``prior_rows``, ``prior_sends``, ``prior_sent``, ``prior_received``, ``prior_counterparties``,
+    ``prior_first_seen``, ``prior_last_send``.
+    """
     # first_seen follows sends and receipts, not secondary inputs
-    merged = merged.withColumn("_rows", F.col("in_rows") + F.col("out_rows")).withColumn(
-        "_seen", F.when((F.col("is_sender") > 0) | (F.col("out_rows") > 0), F.col(TS)))
+    events = address_events(transactions, inputs, outputs).select(
+        "*", (F.col("in_rows") + F.col("out_rows")).alias("_rows"),
+        F.when((F.col("is_sender") > 0) | (F.col("out_rows") > 0), F.col(TS)).alias("_seen"),
+        F.when(F.col("is_sender") > 0, F.col(TS)).alias("_send"))
     prior = running_before(
-        merged, ["address"], day, [TS, TX],
+        events, ["address"], F.floor(F.col(TS) / DAY), [TS, TX],
         sums={"prior_rows": "_rows", "prior_sends": "is_sender", "prior_sent": "sent",
               "prior_received": "received", "prior_counterparties": "new_cp"},
-        mins={"prior_first_seen": "_seen"}, maxs={"prior_last_send": "send_ts"})
-    return prior.drop("_rows", "_seen", "send_ts", "new_cp", "sent", "received")
+        mins={"prior_first_seen": "_seen"}, maxs={"prior_last_send": "_send"})
+    return prior.drop("_rows", "_seen", "_send", "new_cp", "sent", "received")
 
 
 def address_features(timeline: DataFrame) -> DataFrame:

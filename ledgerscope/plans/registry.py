@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,17 +30,21 @@ def query(name: str, statement: str | None = None) -> Callable[[Plan], Plan]:
 
 
 def _load() -> None:
-    import importlib
-    for module in ("ingest", "features", "graph", "investigation", "model", "profile", "stream"):
-        try:
-            importlib.import_module(f"ledgerscope.plans.{module}_queries")
-        except ModuleNotFoundError:
-            pass
+    for group in ("ingest", "features", "graph", "investigation", "model", "profile", "stream"):
+        importlib.import_module(f"ledgerscope.plans.{group}_queries")
+
+
+def _bound(plan: Plan) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        return plan(Bench(spark, folder))
+
+    return run
 
 
 def plans() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     _load()
-    return {name: (lambda spark, folder, _p=plan: _p(Bench(spark, folder))) for name, plan in _PLANS.items()}
+    return {name: _bound(plan) for name, plan in _PLANS.items()}
 
 
 def statements() -> dict[str, str]:

@@ -6,12 +6,11 @@ with the order's number is its network event.
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerscope import schemas
+from ledgerscope.functions.exprs import risk_level
 from ledgerscope.operators import clean
 from ledgerscope.session import pin
 
@@ -19,10 +18,6 @@ DATASET = "bench"
 CLASS_OF_REMAINDER = schemas.BEHAVIOR_CLASSES
 
 
-def _minutes(n) -> object:
-    return F.make_interval(mins=n)
-
-
 def raw_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     """The raw relational frames, all lazy."""
     line = spark.read.parquet(f"{folder}/lineitem.parquet").select(
@@ -116,18 +111,17 @@ def canonical_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     raw = raw_tables(spark, folder)
     tables = clean.normalize(clean.clean(raw), DATASET)
     tables["labels"] = raw["labels"].withColumnRenamed("txid", "transaction_id")
-    from ledgerscope.functions.exprs import risk_level
     tables["results"] = raw["results"].select("*", F.lit(DATASET).alias("dataset_id"),
                                               risk_level("risk_score").alias("risk_level"))
     return tables
 
 
-@functools.lru_cache(maxsize=8)
-def _stored(app_id: str, folder: str) -> dict[str, DataFrame]:
-    spark = SparkSession.active()
-    return {name: pin(df, name) for name, df in canonical_tables(spark, folder).items()}
+_STORED: dict[tuple[str, str], dict[str, DataFrame]] = {}
 
 
 def stored_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     """The canonical tables as written by the ingest step, once per application."""
-    return dict(_stored(spark.sparkContext.applicationId, folder.rstrip("/")))
+    key = (spark.sparkContext.applicationId, folder.rstrip("/"))
+    if key not in _STORED:
+        _STORED[key] = {name: pin(df, name) for name, df in canonical_tables(spark, folder).items()}
+    return dict(_STORED[key])
