@@ -26,7 +26,7 @@ def running_before(df: DataFrame, keys: Sequence[str], bucket: Column, order: Se
     keys, order = list(keys), list(order)
     wanted = [(out, src, fn) for group, fn in ((sums, F.sum), (mins, F.min), (maxs, F.max))
               for out, src in (group or {}).items()]
-    cut = df.withColumn("_b", bucket).repartition(*keys, "_b")
+    cut = df.withColumn("_b", bucket)
     totals = cut.groupBy(*keys, "_b").agg(*[fn(src).alias(f"_t_{out}") for out, src, fn in wanted])
     over_buckets = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select(*keys, "_b", *[fn(f"_t_{out}").over(over_buckets).alias(f"_s_{out}")
@@ -45,40 +45,40 @@ def running_before(df: DataFrame, keys: Sequence[str], bucket: Column, order: Se
     return joined.select(*df.columns, *[out for out, _, _ in wanted])
 
 
-def prefix_totals(df: DataFrame, levels: Sequence[Column], order: Sequence[str], measures: Sequence[str],
+def prefix_totals(df: DataFrame, coarse: Column, fine: Column, order: Sequence[str], measures: Sequence[str],
                   keys: Sequence[str] = ()) -> DataFrame:
     """Add ``before_<m>`` for each measure: its total over all earlier rows of ``keys`` in ``order``.
 
-    ``levels`` go from coarse to fine and refine the order (hour, then second, then id prefix). Each
-    level's window runs inside one group of the level above, so only the coarsest level, which has few
-    groups, is seen as a whole.
+    ``coarse`` and ``fine`` refine the order (hour, then second with id prefix). Rows are summed per fine
+    group before any shuffle; fine totals are accumulated inside their coarse group, and only the
+    coarse totals, of which there are few, are seen as a whole.
     """
-    names = [f"_lv{i}" for i in range(len(levels))]
-    tagged = df.select("*", *[c.alias(n) for c, n in zip(levels, names)])
-    offsets = None
-    for i, name in enumerate(names):
-        groups = [*keys, *names[: i + 1]]
-        totals = tagged.groupBy(*groups).agg(*[F.sum(m).alias(f"_t_{m}") for m in measures])
-        w = Window.partitionBy(*keys, *names[:i]).orderBy(name).rowsBetween(Window.unboundedPreceding, -1)
-        part = totals.select(*groups, *[F.coalesce(F.sum(f"_t_{m}").over(w), F.lit(0)).alias(f"_p_{m}")
-                                        for m in measures])
-        if offsets is None:
-            offsets = part.select(*groups, *[F.col(f"_p_{m}").alias(f"_o_{m}") for m in measures])
-        else:
-            offsets = part.join(offsets, [*keys, *names[:i]]).select(
-                *groups, *[(F.col(f"_p_{m}") + F.col(f"_o_{m}")).alias(f"_o_{m}") for m in measures])
-    w = Window.partitionBy(*keys, *names).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    keys = list(keys)
+    tagged = df.select("*", coarse.alias("_c"), fine.alias("_f"))
+    cells = tagged.groupBy(*keys, "_c", "_f").agg(*[F.sum(m).alias(m) for m in measures])
+    blocks = cells.groupBy(*keys, "_c").agg(*[F.sum(m).alias(m) for m in measures])
+
+    def earlier(frame: DataFrame, within: Sequence[str], by: str, prefix: str) -> DataFrame:
+        w = Window.partitionBy(*within).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+        return frame.select(*within, by, *[F.coalesce(F.sum(m).over(w), F.lit(0)).alias(prefix + m) for m in measures])
+
+    starts = earlier(cells, [*keys, "_c"], "_f", "_i_").join(earlier(blocks, keys, "_c", "_o_"), [*keys, "_c"])
+    w = Window.partitionBy(*keys, "_c", "_f").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     local = tagged.select("*", *[F.coalesce(F.sum(m).over(w), F.lit(0)).alias(f"_l_{m}") for m in measures])
-    joined = local.join(offsets, [*keys, *names])
-    return joined.select(*df.columns, *[(F.col(f"_l_{m}") + F.col(f"_o_{m}")).alias(f"before_{m}")
+    joined = local.join(starts, [*keys, "_c", "_f"])
+    return joined.select(*df.columns, *[(F.col(f"_l_{m}") + F.col(f"_i_{m}") + F.col(f"_o_{m}")).alias(f"before_{m}")
                                         for m in measures])
 
 
-def chronological_index(df: DataFrame, epoch: str, key: str, prefix_chars: int = 3) -> DataFrame:
+def time_levels(epoch: str, key: str, prefix_chars: int = 3) -> tuple[Column, Column]:
+    """Coarse and fine levels of the ``(epoch, key)`` order: the hour, and the second with the id's first characters."""
+    return F.floor(F.col(epoch) / 3600), F.struct(F.col(epoch), F.substring(key, 1, prefix_chars))
+
+
+def chronological_index(df: DataFrame, epoch: str, key: str) -> DataFrame:
     """Zero-based position of every row in ``(epoch, key)`` order, as ``position``."""
     ones = df.withColumn("_one", F.lit(1).cast("bigint"))
-    levels = [F.floor(F.col(epoch) / 3600), F.col(epoch), F.substring(key, 1, prefix_chars)]
-    ranked = prefix_totals(ones, levels, [epoch, key], ["_one"])
+    ranked = prefix_totals(ones, *time_levels(epoch, key), [epoch, key], ["_one"])
     return ranked.drop("_one").withColumnRenamed("before__one", "position")
 
 

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerscope.functions.ordering import prefix_totals
+from ledgerscope.functions.ordering import prefix_totals, time_levels
 from ledgerscope.session import pin
 
 
@@ -100,7 +100,7 @@ def _merge_in_order(pdf: pd.DataFrame) -> pd.DataFrame:
 _REPLAY_SCHEMA = "tx string, prior_label string, prior_size bigint, prior_txs bigint, size bigint, txs bigint"
 
 
-def component_history(members: DataFrame, slice_rows: int = 200_000) -> DataFrame:
+def component_history(members: DataFrame, slice_rows: int = 500_000) -> DataFrame:
     """Per transaction, the component of its primary node just before it and its own component just after.
 
     ``members(ts, tx, node, is_primary)``: a transaction unites all its nodes. Result ``(tx, prior_label,
@@ -112,9 +112,9 @@ def component_history(members: DataFrame, slice_rows: int = 200_000) -> DataFram
     rounds every slice starts from correct labels and is independent of all others. Memory per
     slice is bounded by its own rows. Nodes seen in only one transaction of a slice are folded into it.
     """
-    ranked = prefix_totals(
-        members.groupBy("ts", "tx").agg(F.count(F.lit(1)).alias("n")),
-        [F.floor(F.col("ts") / 3600), F.col("ts"), F.substring("tx", 1, 3)], ["ts", "tx"], ["n"])
+    members = pin(members, "members")
+    per_tx = members.groupBy("ts", "tx").agg(F.count(F.lit(1)).alias("n"))
+    ranked = prefix_totals(per_tx, *time_levels("ts", "tx"), ["ts", "tx"], ["n"])
     ranked = pin(ranked.withColumn("slice", F.floor(F.col("before_n") / slice_rows)), "slices")
     n_slices = (ranked.agg(F.max("slice")).first()[0] or 0) + 1
     depth = max(0, (n_slices - 1).bit_length())

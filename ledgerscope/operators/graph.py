@@ -105,7 +105,7 @@ def cluster_members(transactions: DataFrame, inputs: DataFrame, outputs: DataFra
 
 
 def cluster_history(transactions: DataFrame, inputs: DataFrame, outputs: DataFrame,
-                    slice_rows: int = 200_000) -> DataFrame:
+                    slice_rows: int = 500_000) -> DataFrame:
     """Entity of the primary sender just before each transaction: id, size, transactions so far."""
     past = components.component_history(cluster_members(transactions, inputs, outputs), slice_rows)
     return transactions.select(TX).join(past.withColumnRenamed("tx", TX), TX, "left").select(
@@ -115,7 +115,7 @@ def cluster_history(transactions: DataFrame, inputs: DataFrame, outputs: DataFra
 
 
 def component_growth(transactions: DataFrame, inputs: DataFrame, outputs: DataFrame,
-                     slice_rows: int = 200_000) -> DataFrame:
+                     slice_rows: int = 500_000) -> DataFrame:
     """Nodes (addresses and transactions) in each transaction's weak component, itself included."""
     addresses = edges(transactions, inputs, outputs).select(
         F.col(TS).alias("ts"),
@@ -127,7 +127,7 @@ def component_growth(transactions: DataFrame, inputs: DataFrame, outputs: DataFr
         TX, F.coalesce(F.col("size") + F.col("txs"), F.lit(1)).alias("hist_component_size"))
 
 
-def graph_features(tables: Mapping[str, DataFrame], timeline: DataFrame, slice_rows: int = 200_000) -> DataFrame:
+def graph_features(tables: Mapping[str, DataFrame], timeline: DataFrame, slice_rows: int = 500_000) -> DataFrame:
     """All eleven graph features, one row per transaction."""
     tx, ins, outs = (tables[n] for n in ("transactions", "transaction_inputs", "transaction_outputs"))
     near = tx.select(TX).join(neighbour_history(timeline), TX, "left")

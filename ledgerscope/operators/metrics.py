@@ -16,7 +16,7 @@ def ranking_metrics(rows: DataFrame, score: str, label: str, keys: Sequence[str]
     counted = rows.where(F.col(score).isNotNull()).groupBy(*keys, F.col(score).cast("double").alias("s")).agg(
         F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("pos"),
         F.sum(F.when(F.col(label) == 1, 0).otherwise(1)).alias("neg"))
-    ordered = prefix_totals(counted, [value_bucket(F.col("s"), 16), value_bucket(F.col("s"))], ["s"], ["pos", "neg"], keys)
+    ordered = prefix_totals(counted, value_bucket(F.col("s"), 16), value_bucket(F.col("s")), ["s"], ["pos", "neg"], keys)
     totals = counted.groupBy(*keys).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
     if keys:
         joined = ordered.join(totals, keys)

@@ -359,7 +359,7 @@ def shuffled_target(rows: DataFrame, label: str, key: str = TX, seed: int = 42)
     def ranked(salt: int, *columns: str) -> DataFrame:
         h = rows.select(*columns, F.xxhash64(key, F.lit(seed + salt)).alias("_h"), F.lit(1).cast("bigint").alias("_one"),
                         F.col(key).alias("_k"))
-        return prefix_totals(h, [F.shiftright("_h", 52), F.shiftright("_h", 40)], ["_h", "_k"], ["_one"])
+        return prefix_totals(h, F.shiftright("_h", 52), F.shiftright("_h", 40), ["_h", "_k"], ["_one"])
 
     a = ranked(0, *rows.columns).drop("_one", "_k", "_h").withColumnRenamed("before__one", "_p")
     b = ranked(1, label).select(F.col(label).alias("_other"), F.col("before__one").alias("_p"))
