@@ -6,10 +6,10 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from ledgerscope import schemas
 from ledgerscope.functions import exprs as X
+from ledgerscope.functions.ordering import prefix_totals, value_bucket
 
 DEFAULT_PORT, DEFAULT_SIZE = 8333, 250
 # Estimated transaction size in bytes.
@@ -245,9 +245,14 @@ def fill_child_counts(transactions: DataFrame, inputs: DataFrame, outputs: DataF
 
 
 def running_child_index(df: DataFrame, side: str, order: Sequence[str]) -> DataFrame:
-    """Zero-based index per transaction for child rows that come without one."""
-    w = Window.partitionBy("transaction_id").orderBy(*order)
-    return df.withColumn(f"{side}_index", (F.row_number().over(w) - 1).cast("int"))
+    """Zero-based index per transaction for child rows that come without one.
+
+    The first order column must be numeric: its values cut a transaction with very many children into
+    pieces that are counted apart.
+    """
+    ones = df.withColumn("_one", F.lit(1).cast("bigint"))
+    ranked = prefix_totals(ones, value_bucket(F.col(order[0])), F.col(order[0]), order, ["_one"], ["transaction_id"])
+    return ranked.select(*df.columns, F.col("before__one").cast("int").alias(f"{side}_index"))
 
 
 def repair_network_types(df: DataFrame) -> DataFrame:

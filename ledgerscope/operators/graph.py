@@ -372,6 +372,30 @@ def high_risk_part(nodes: DataFrame, edge_rows: DataFrame, results: DataFrame, c
     return middle.unionByName(txs).unionByName(addrs).distinct()
 
 
+def node_evidence(nodes: DataFrame, results: DataFrame, events: DataFrame, alerts: DataFrame) -> DataFrame:
+    """Evidence rows of a neighbourhood's nodes: results, network events of its transactions, alerts."""
+    ids = nodes.select("kind", "id")
+    ml = results.select(F.col("entity_id").alias("id"), F.lit("ml").alias("evidence"), F.col("prediction_label").alias("ref"), "risk_score")
+    net = events.select(F.col(TX).alias("id"), F.lit("network").alias("evidence"), F.col("event_id").alias("ref"),
+                        F.lit(None).cast("double").alias("risk_score"))
+    raised = alerts.select(F.explode(F.array_distinct(F.array(TX, "entity_id"))).alias("id"), F.lit("alert").alias("evidence"),
+                           F.col("alert_id").alias("ref"), "risk_score")
+    return ids.join(ml.unionByName(net).unionByName(raised), "id").select("kind", "id", "evidence", "ref", "risk_score")
+
+
+def subgraph_summary(nodes: DataFrame, edge_rows: DataFrame, evidence: DataFrame) -> DataFrame:
+    """One row: nodes by kind, edges, risky transactions, alerts and the highest risk."""
+    j = lambda df: df.withColumn("_j", F.lit(1))
+    is_ml = F.col("evidence") == "ml"
+    n = nodes.agg(F.count(F.when(F.col("kind") == "transaction", 1)).alias("transactions"),
+                  F.count(F.when(F.col("kind") == "address", 1)).alias("addresses"))
+    e = edge_rows.agg(F.count(F.lit(1)).alias("edges"), F.sum("value_satoshi").alias("value_satoshi"))
+    x = evidence.agg(F.count(F.when(is_ml & (F.col("risk_score") >= X.HIGH_AT), 1)).alias("high_risk"),
+                     F.count(F.when(F.col("evidence") == "alert", 1)).alias("alerts"),
+                     F.max(F.when(is_ml, F.col("risk_score"))).alias("max_risk"))
+    return j(n).join(j(e), "_j").join(j(x), "_j").drop("_j")
+
+
 def resolve_entity(transactions: DataFrame, addresses: DataFrame, entity_id: str, hint: str | None = None) -> DataFrame:
     """Where an identifier lives: transactions before addresses, unless a hint says otherwise."""
     tx = transactions.where(F.col(TX) == entity_id).select(

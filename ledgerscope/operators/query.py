@@ -6,7 +6,7 @@ import datetime as dt
 from dataclasses import dataclass
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerscope.functions import exprs as X
@@ -178,21 +178,29 @@ def listing_columns(rows: DataFrame) -> DataFrame:
 
 
 def transaction_detail(transactions: DataFrame, inputs: DataFrame, outputs: DataFrame, events: DataFrame,
-                       results: DataFrame, ids: DataFrame, max_events: int = 10) -> DataFrame:
-    """Full sheets for the given transactions: children in index order, first events, latest result.
+                       results: DataFrame, ids: DataFrame, max_events: int = 10) -> dict[str, DataFrame]:
+    """The parts of a transaction sheet: ``header`` with its latest result, ``inputs``, ``outputs``, first ``events``.
 
-    ``ids`` cuts every table by a semi join first, so only the asked-for groups are gathered.
+    The parts stay rows, each with its own position, so a transaction with very many children is never
+    packed into one value. ``ids`` cuts every table first.
     """
     cut = lambda df: df.join(ids.select(TX), TX, "left_semi")
-    ins = cut(inputs).groupBy(TX).agg(F.sort_array(F.collect_list(F.struct(
-        "input_index", "input_address", "input_value_satoshi"))).alias("inputs"))
-    outs = cut(outputs).groupBy(TX).agg(F.sort_array(F.collect_list(F.struct(
-        "output_index", "output_address", "output_value_satoshi"))).alias("outputs"))
-    net = cut(events).groupBy(TX).agg(F.slice(F.sort_array(F.collect_list(F.struct(
-        "timestamp", "event_id", "src_ip", "src_port", "dst_ip", "dst_port", "country", "asn"))), 1, max_events).alias("events"))
     risk = latest_results(results.join(ids.select(F.col(TX).alias("entity_id")), "entity_id", "left_semi"), "transaction")
     risk = risk.select(F.col("entity_id").alias(TX), "risk_score", "risk_level", "prediction_label", "confidence")
-    return cut(transactions).join(ins, TX, "left").join(outs, TX, "left").join(net, TX, "left").join(risk, TX, "left")
+    first = Window.partitionBy(TX).orderBy("timestamp", "event_id")
+    net = cut(events).withColumn("position", F.row_number().over(first)).where(F.col("position") <= max_events)
+    return {"header": cut(transactions).join(risk, TX, "left"), "inputs": cut(inputs), "outputs": cut(outputs), "events": net}
+
+
+def detail_rows(parts: dict[str, DataFrame]) -> DataFrame:
+    """A sheet as one listing: header, inputs, outputs, events."""
+    null = F.lit(None).cast("bigint")
+    head = parts["header"].select(TX, F.lit("header").alias("part"), F.lit(0).alias("position"),
+                                  F.col("prediction_label").alias("ref"), F.col("total_output_value_satoshi").alias("value_satoshi"))
+    sides = [parts[f"{s}s"].select(TX, F.lit(s).alias("part"), F.col(f"{s}_index").alias("position"), F.col(f"{s}_address").alias("ref"),
+                                   F.col(f"{s}_value_satoshi").alias("value_satoshi")) for s in ("input", "output")]
+    net = parts["events"].select(TX, F.lit("event").alias("part"), "position", F.col("event_id").alias("ref"), null.alias("value_satoshi"))
+    return head.unionByName(sides[0]).unionByName(sides[1]).unionByName(net)
 
 
 def address_listing(addresses: DataFrame, results: DataFrame, min_risk: float | None = None,

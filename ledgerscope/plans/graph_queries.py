@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ledgerscope.operators import components, graph as g
+from ledgerscope.operators import centrality, components, graph as g
 from ledgerscope.plans.bench import Bench, TX
 from ledgerscope.plans.oracles import shared
 from ledgerscope.plans.registry import query
@@ -255,3 +255,48 @@ def growth_check(b: Bench):
     return g.component_growth_check(b.graph_features.select(TX, "hist_component_size"), index)
 
 
+
+
+shared("b_evi", """SELECT h.kind, h.id, x.evidence, x.ref, x.risk_score FROM b_sub h JOIN (SELECT entity_id AS id, 'ml' AS evidence, prediction_label AS ref, risk_score FROM c_res WHERE analysis_id = 'an1'
+ UNION ALL SELECT transaction_id, 'network', event_id, NULL FROM c_net UNION ALL SELECT transaction_id, 'alert', alert_id, risk_score FROM a_alert
+ UNION ALL SELECT entity_id, 'alert', alert_id, risk_score FROM a_alert WHERE entity_id <> transaction_id) x ON x.id = h.id""")
+
+
+@query("g30_node_evidence", "SELECT * FROM b_evi")
+def evidence(b: Bench):
+    return g.node_evidence(_hood(b), b.run(), b.net, b.tabular_alerts)
+
+
+@query("g30_subgraph_summary", """SELECT count(*) FILTER (kind = 'transaction') AS transactions, count(*) FILTER (kind = 'address') AS addresses, (SELECT count(*) FROM b_edge) AS edges,
+ (SELECT CAST(sum(value_satoshi) AS BIGINT) FROM b_edge) AS value_satoshi, (SELECT count(*) FROM b_evi WHERE evidence = 'ml' AND risk_score >= 0.5) AS high_risk,
+ (SELECT count(*) FROM b_evi WHERE evidence = 'alert') AS alerts, (SELECT max(risk_score) FROM b_evi WHERE evidence = 'ml') AS max_risk FROM b_sub""")
+def summary(b: Bench):
+    hood = _hood(b)
+    return g.subgraph_summary(hood, g.neighbourhood_edges(hood, b.ins, b.outs), g.node_evidence(hood, b.run(), b.net, b.tabular_alerts))
+
+
+def _digraph(b: Bench):
+    return b.edges.select(F.col("source").alias("u"), F.col("target").alias("v"))
+
+
+@query("g15_strong_components")
+def strong(b: Bench):
+    sizes = centrality.strong_components(_digraph(b)).groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    return sizes.agg(F.count(F.lit(1)).alias("n_components"), F.max("n").alias("giant_size"))
+
+
+@query("g16_page_rank")
+def page_rank(b: Bench):
+    ranks = b.stored("page_rank", lambda: centrality.page_rank(_digraph(b)))
+    return centrality.rank_summary(ranks)
+
+
+@query("g16_top_ranked")
+def top_ranked(b: Bench):
+    ranks = b.stored("page_rank", lambda: centrality.page_rank(_digraph(b)))
+    return ranks.orderBy(F.desc("rank"), "node").limit(10)
+
+
+@query("g17_communities")
+def communities(b: Bench):
+    return centrality.community_summary(_digraph(b), centrality.communities(_digraph(b)))

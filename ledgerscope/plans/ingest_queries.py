@@ -53,35 +53,35 @@ shared("u_flat", f"""SELECT CASE WHEN o_orderkey % 50 <> 0 THEN 'T' || CAST(o_or
 
 
 def nested_upload(b: Bench) -> DataFrame:
-    """Orders with their lines as quoted lists in text columns; some amount lists are one short."""
-    lines = b.outs.groupBy(TX).agg(F.sort_array(F.collect_list(F.struct("output_index", "output_address", "output_value_satoshi"))).alias("l"))
-    n = F.size("l")
-    cut = F.when((F.col("block_height") % 9 == 0) & (n > 1), F.slice("l", F.lit(1), n - 1)).otherwise(F.col("l"))
-    j = b.tx.select(TX, "timestamp", "fee_satoshi", "block_height").join(lines, TX)
-    return j.select(
-        F.col(TX).alias("txid"), F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ssXXX").alias("timestamp"),
-        F.concat(F.lit("["), F.array_join(F.transform("l", lambda x: F.concat(F.lit("'"), x["output_address"], F.lit("'"))), ", "), F.lit("]")).alias("output_addresses"),
-        F.concat(F.lit("["), F.array_join(F.transform(cut, lambda x: x["output_value_satoshi"].cast("string")), ", "), F.lit("]")).alias("output_amounts"),
-        F.concat(F.lit("['"), F.substring(TX, 1, 8), F.lit("']")).alias("input_addresses"), F.lit("[5000000000]").alias("input_amounts"),
-        F.col("fee_satoshi").alias("fee"))
+    """Orders with one to five recipients as quoted lists in text columns; some amount lists are one short."""
+    k = F.col("o_orderkey")
+    n = (k % 5 + 1).cast("int")
+    m = F.when((k % 9 == 0) & (n > 1), n - 1).otherwise(n)
+    listed = lambda items: F.concat(F.lit("["), F.array_join(items, ", "), F.lit("]"))
+    return b.source("orders").select(
+        F.sha2(text(k), 256).alias("txid"), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ssXXX").alias("timestamp"),
+        listed(F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.lit("'A"), text(k * i % 1000), F.lit("'")))).alias("output_addresses"),
+        listed(F.transform(F.sequence(F.lit(1), m), lambda i: text(k * i * 37 % 100000 + 1))).alias("output_amounts"),
+        F.concat(F.lit("['C"), text(F.col("o_custkey")), F.lit("']")).alias("input_addresses"), F.lit("[5000000000]").alias("input_amounts"),
+        (k % 1000).alias("fee"))
 
 
 def consolidated(b: Bench) -> DataFrame:
     """The same nested rows with real lists and network fields."""
     up = nested_upload(b)
-    h = F.abs(F.hash("txid"))
     return up.select(
         F.upper("txid").alias("txid"), F.col("timestamp").cast("timestamp").alias("timestamp"),
         X.parse_list("input_addresses", "string").alias("input_addresses"), X.parse_list("input_amounts", "bigint").alias("input_amounts"),
         X.parse_list("output_addresses", "string").alias("output_addresses"), X.parse_list("output_amounts", "bigint").alias("output_amounts"),
-        "fee", F.lit("p2pkh").alias("script_type"), F.lit(" 9.9.9.9 ").alias("src_ip"), (h * 0 + 8333).alias("src_port"),
+        "fee", F.lit("p2pkh").alias("script_type"), F.lit(" 9.9.9.9 ").alias("src_ip"), F.lit(8333).alias("src_port"),
         F.lit("8.8.8.8").alias("dst_ip"), F.lit(8333).alias("dst_port"), F.lit("nl").alias("country"), F.lit("AS99").alias("asn"),
         F.lit("scenario").alias("scenario_id"))
 
 
-shared("u_nest", """SELECT transaction_id, output_index, output_address, output_value_satoshi, t.timestamp, t.fee_satoshi, t.k,
- count(*) OVER (PARTITION BY transaction_id) AS n, t.block_height FROM c_out JOIN c_tx t USING (transaction_id)""")
-shared("u_pair", "SELECT * FROM u_nest WHERE NOT (block_height % 9 = 0 AND n > 1 AND output_index = n - 1)")
+shared("u_nest", """SELECT sha256(CAST(o_orderkey AS VARCHAR)) AS transaction_id, o_orderkey AS k, o_orderdate AS timestamp, o_orderkey % 1000 AS fee_satoshi, o_orderkey % 5 + 1 AS n,
+ unnest(range(o_orderkey % 5 + 1)) AS output_index FROM orders""")
+shared("u_pair", """SELECT transaction_id, CAST(output_index AS INTEGER) AS output_index, 'A' || CAST(k * (output_index + 1) % 1000 AS VARCHAR) AS output_address,
+ k * (output_index + 1) * 37 % 100000 + 1 AS output_value_satoshi FROM u_nest WHERE NOT (k % 9 = 0 AND n > 1 AND output_index = n - 1)""")
 
 
 # ---- sources and sinks --------------------------------------------------------------------------
@@ -337,7 +337,7 @@ def n23(b):
 
 
 @query("n24_decompose_transactions", """SELECT transaction_id, any_value(timestamp) AS timestamp, 1 AS input_count, CAST(any_value(n) AS INTEGER) AS output_count,
- 5000000000 AS total_input_value_satoshi, CAST(sum(CASE WHEN block_height % 9 = 0 AND n > 1 AND output_index = n - 1 THEN 0 ELSE output_value_satoshi END) AS BIGINT) AS total_output_value_satoshi,
+ 5000000000 AS total_input_value_satoshi, CAST(sum(CASE WHEN k % 9 = 0 AND n > 1 AND output_index = n - 1 THEN 0 ELSE k * (output_index + 1) * 37 % 100000 + 1 END) AS BIGINT) AS total_output_value_satoshi,
  any_value(fee_satoshi) AS fee_satoshi, CAST(10 + 148 + 34 * any_value(n) AS INTEGER) AS transaction_size_bytes FROM u_nest GROUP BY transaction_id""")
 def n24(b):
     return clean.decompose_consolidated(consolidated(b), "up")["transactions"].select(
@@ -351,7 +351,7 @@ def n24_outputs(b):
         TX, "output_index", "output_address", "output_value_satoshi")
 
 
-@query("n24_decompose_events", """SELECT 'EVT_' || substring(transaction_id, 1, 16) AS event_id, transaction_id, '9.9.9.9' AS src_ip, 'NL' AS country, 99 AS asn FROM c_tx""")
+@query("n24_decompose_events", """SELECT 'EVT_' || substring(transaction_id, 1, 16) AS event_id, transaction_id, '9.9.9.9' AS src_ip, 'NL' AS country, 99 AS asn FROM (SELECT DISTINCT transaction_id FROM u_nest)""")
 def n24_events(b):
     return clean.decompose_consolidated(consolidated(b), "up")["network_events"].select("event_id", TX, "src_ip", "country", "asn")
 

@@ -64,15 +64,14 @@ def btc_text(b: Bench):
     return b.tx.select(TX, X.btc_text("fee_satoshi").alias("fee_btc"))
 
 
-@query("t09_transaction_detail", """SELECT transaction_id, (SELECT string_agg(input_address, ',' ORDER BY input_index) FROM c_in i WHERE i.transaction_id = t.transaction_id) AS inputs,
- (SELECT string_agg(output_address, ',' ORDER BY output_index) FROM c_out o WHERE o.transaction_id = t.transaction_id) AS outputs,
- coalesce((SELECT string_agg(event_id, ',' ORDER BY timestamp, event_id) FROM c_net n WHERE n.transaction_id = t.transaction_id), '') AS events, risk_score, prediction_label
- FROM t_joined t WHERE block_height BETWEEN 0 AND 99""")
+@query("t09_transaction_detail", """WITH ids AS (SELECT transaction_id, prediction_label, total_output_value_satoshi FROM t_joined WHERE risk_score >= 0.9)
+ SELECT transaction_id, 'header' AS part, 0 AS position, prediction_label AS ref, total_output_value_satoshi AS value_satoshi FROM ids UNION ALL
+ SELECT transaction_id, 'input', input_index, input_address, input_value_satoshi FROM c_in WHERE transaction_id IN (SELECT transaction_id FROM ids) UNION ALL
+ SELECT transaction_id, 'output', output_index, output_address, output_value_satoshi FROM c_out WHERE transaction_id IN (SELECT transaction_id FROM ids) UNION ALL
+ SELECT transaction_id, 'event', row_number() OVER (PARTITION BY transaction_id ORDER BY timestamp, event_id), event_id, NULL FROM c_net WHERE transaction_id IN (SELECT transaction_id FROM ids)""")
 def detail(b: Bench):
-    ids = b.tx.where(F.col("block_height").between(0, 99)).select(TX)
-    d = q.transaction_detail(b.tx, b.ins, b.outs, b.net, b.results, ids)
-    return d.select(TX, F.array_join("inputs.input_address", ",").alias("inputs"), F.array_join("outputs.output_address", ",").alias("outputs"),
-                    F.coalesce(F.array_join("events.event_id", ","), F.lit("")).alias("events"), "risk_score", "prediction_label")
+    ids = q.joined_risk(b.tx, b.results).where(F.col("risk_score") >= 0.9).select(TX)
+    return q.detail_rows(q.transaction_detail(b.tx, b.ins, b.outs, b.net, b.results, ids))
 
 
 @query("t10_address_listing", """SELECT address_id, total_received_satoshi, total_sent_satoshi, transaction_count, risk_score, risk_level
@@ -172,7 +171,7 @@ def flows(b: Bench):
 
 def ip_ranges(b: Bench):
     """Address ranges per supplier: one per first octet, named after its nation."""
-    s = b.source("supplier").join(F.broadcast(b.source("nation")), F.col("s_nationkey") == F.col("n_nationkey"))
+    s = b.source("supplier").join(b.source("nation"), F.col("s_nationkey") == F.col("n_nationkey"))
     k = F.col("s_suppkey")
     start = (k % 223 + 1) * 16777216 + (k % 7) * 65536
     text = lambda c: c.cast("string")

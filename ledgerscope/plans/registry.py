@@ -23,7 +23,7 @@ def query(name: str, statement: str | None = None) -> Callable[[Plan], Plan]:
             raise ValueError(f"query {name} is registered twice")
         _PLANS[name] = plan
         if statement is not None:
-            _SQL[name] = sql(statement)
+            _SQL[name] = statement
         return plan
 
     return register
@@ -49,4 +49,4 @@ def plans() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def statements() -> dict[str, str]:
     _load()
-    return dict(_SQL)
+    return {name: sql(body) for name, body in _SQL.items()}
