@@ -54,7 +54,8 @@ def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str], load_order: str
 
 def replace_by_key(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Delete-then-insert: rows of ``old`` whose key is not in ``new``, plus all of ``new``."""
-    return old.join(new.select(*keys).distinct(), list(keys), "left_anti").unionByName(new)
+    kept = old.join(new.select(*keys).distinct(), list(keys), "left_anti").select(*old.columns)
+    return kept.unionByName(new)
 
 
 def overwrite_through_staging(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:

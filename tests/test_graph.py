@@ -67,8 +67,8 @@ def replay_growth(rows):
     return out
 
 
-# slice sizes that need no halving, a few and many
-@pytest.mark.parametrize("seed,slice_rows", [(1, 1000), (3, 20), (4, 60)])
+# slice sizes that need no halving, and several rounds of it
+@pytest.mark.parametrize("seed,slice_rows", [(1, 1000), (4, 40)])
 def test_chronological_replay(ledger, random_rows, seed, slice_rows):
     rows = random_rows(seed, 40, 40)
     t = ledger(rows)

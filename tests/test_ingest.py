@@ -39,7 +39,7 @@ def test_nested_csv(spark, nested_csv):
     addr = {r["address_id"]: r for r in t["addresses"].collect()}
     assert (addr["c"]["total_received_satoshi"], addr["c"]["total_sent_satoshi"], addr["c"]["transaction_count"]) == (25, 25, 2)
     s = one(ingest.ingest_summary(ingest.Upload(readers.read_upload(spark, nested_csv), "d1"), t))
-    assert s["rejected_rows"] == 0 and s["network_analysis"] and s["address_count"] == 5
+    assert s["rejected_rows"] == 0 and s["network_analysis"] and s["address_count"] == 4
 
 
 def test_json_and_jsonl(spark, tmp_path):
@@ -150,3 +150,12 @@ def test_null_addresses_stay_null(spark):
     raw = raw_set(spark)
     raw["transaction_inputs"] = spark.createDataFrame([(HEX, 0, None, 100, None, None)], schemas.RAW_INPUTS)
     assert one(clean.clean(raw)["transaction_inputs"])["address"] is None
+
+
+def test_catalog_tables(spark):
+    df = spark.createDataFrame([(HEX, 0, "a", 100, None, None)], schemas.RAW_INPUTS)
+    sinks.register_tables({"transaction_inputs": df}, bucket_by={"transaction_inputs": (2, "txid")})
+    sinks.register_tables({"transaction_inputs": df.unionByName(df)})
+    found = readers.read_catalog_tables(spark)
+    assert found["transaction_inputs"].count() == 2 and found["labels"].count() == 0
+    spark.sql("DROP TABLE transaction_inputs")

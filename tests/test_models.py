@@ -55,14 +55,15 @@ def training(spark):
 FEATURES = ["tx_fee_sats", "rel_fan_in", "net_country"]
 
 
-@pytest.mark.parametrize("estimator", [GBTClassifier(featuresCol="vector", labelCol="y", weightCol="class_weight", maxIter=5, maxDepth=3, seed=1),
-                                       RandomForestClassifier(featuresCol="vector", labelCol="y", weightCol="class_weight", numTrees=6, maxDepth=4, seed=1)])
-def test_tree_contributions_add_up(training, estimator):
+@pytest.mark.parametrize("kind", ["boosted", "forest"])
+def test_tree_contributions_add_up(training, kind):
+    common = dict(featuresCol="vector", labelCol="y", weightCol="class_weight", seed=1)
+    estimator = GBTClassifier(maxIter=5, maxDepth=3, **common) if kind == "boosted" else RandomForestClassifier(numTrees=6, maxDepth=4, **common)
     model = s.fit(training, "y", estimator, FEATURES)
     names = s.vector_names(model, FEATURES)
     out = model.transform(s.complete(training))
     got = {r["transaction_id"]: r["base"] + sum(r["contributions"]) for r in s.tree_contributions(out, model.stages[-1], len(names)).collect()}
-    if isinstance(estimator, GBTClassifier):  # raw prediction of a boosted model is (-margin, margin)
+    if kind == "boosted":  # raw prediction of a boosted model is (-margin, margin)
         want = out.select("transaction_id", vector_to_array("rawPrediction")[1].alias("w"))
     else:
         want = out.select("transaction_id", vector_to_array("probability")[1].alias("w"))
@@ -109,8 +110,8 @@ def test_page_rank_equals_loop(spark):
     for _ in range(200):
         dangling = sum(rank[x] for x in nodes if not out[x])
         rank = {x: 0.15 / 6 + 0.85 * (sum(rank[u] / len(out[u]) for u in nodes if x in out[u]) + dangling / 6) for x in nodes}
-    got = {r["node"]: r["rank"] for r in centrality.page_rank(spark.createDataFrame(edges, "u string, v string"), tolerance=1e-9).collect()}
-    assert got == pytest.approx(rank, abs=1e-6)
+    got = {r["node"]: r["rank"] for r in centrality.page_rank(spark.createDataFrame(edges, "u string, v string"), tolerance=1e-6).collect()}
+    assert got == pytest.approx(rank, abs=1e-4)
 
 
 def test_strong_components(spark):
@@ -123,7 +124,7 @@ def test_communities_of_two_cliques(spark):
     import itertools
     edges = list(itertools.combinations("abcd", 2)) + list(itertools.combinations("wxyz", 2)) + [("a", "w")]
     df = spark.createDataFrame(edges, "u string, v string")
-    found = centrality.communities(df, levels=2, rounds=4)
+    found = centrality.communities(df, levels=2)
     groups = {r["node"]: r["community"] for r in found.collect()}
     assert len({groups[x] for x in "abcd"}) == 1 and len({groups[x] for x in "wxyz"}) == 1 and groups["a"] != groups["w"]
     assert centrality.community_summary(df, found).first()["modularity"] == pytest.approx(12 / 13 - 2 * (13 / 26) ** 2)
