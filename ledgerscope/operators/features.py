@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ledgerscope import schemas
 from ledgerscope.functions import exprs as X
 from ledgerscope.functions.ordering import DAY, chronological_index, running_before
+from ledgerscope.session import pin
 
 TX, TS = "transaction_id", "timestamp_epoch_sec"
 NEW_ADDRESS_GAP = 86400.0
@@ -140,8 +141,9 @@ def address_timeline(transactions: DataFrame, inputs: DataFrame, outputs: DataFr
     ``prior_rows``, ``prior_sends``, ``prior_sent``, ``prior_received``, ``prior_counterparties``,
     ``prior_first_seen``, ``prior_last_send``.
     """
+    # read twice below (bucket totals and rows), so written once;
     # first_seen follows sends and receipts, not secondary inputs
-    events = address_events(transactions, inputs, outputs).select(
+    events = pin(address_events(transactions, inputs, outputs), "address-events").select(
         "*", (F.col("in_rows") + F.col("out_rows")).alias("_rows"),
         F.when((F.col("is_sender") > 0) | (F.col("out_rows") > 0), F.col(TS)).alias("_seen"),
         F.when(F.col("is_sender") > 0, F.col(TS)).alias("_send"))
@@ -153,25 +155,33 @@ def address_timeline(transactions: DataFrame, inputs: DataFrame, outputs: DataFr
     return prior.drop("_rows", "_seen", "_send", "new_cp", "sent", "received")
 
 
-def address_features(timeline: DataFrame) -> DataFrame:
-    """History of the sending address, read before the transaction."""
+def _history_columns() -> list[Column]:
     n = F.col("prior_sends")
     days = F.when(n > 0, F.greatest(F.lit(0.0), (F.col(TS) - F.coalesce("prior_first_seen", TS)) / float(DAY))
                   ).otherwise(0.0)
-    return timeline.where(F.col("is_sender") > 0).select(
-        TX, n.alias("addr_hist_tx_count"), F.col("prior_sent").alias("addr_hist_total_sent_sats"),
+    return [
+        n.alias("addr_hist_tx_count"), F.col("prior_sent").alias("addr_hist_total_sent_sats"),
         F.col("prior_received").alias("addr_hist_total_received_sats"),
         F.when(n > 0, F.col("prior_sent").cast("double") / n).otherwise(0.0).alias("addr_hist_avg_tx_val_sats"),
         F.col("prior_counterparties").alias("addr_hist_unique_counterparties"), days.alias("addr_hist_active_days"),
         F.when(n > 0, n / F.greatest(days, F.lit(1.0))).otherwise(0.0).alias("addr_hist_tx_per_day"),
-        n.alias("addr_reuse_count"))
+        n.alias("addr_reuse_count"),
+    ]
+
+
+def _pacing_columns() -> list[Column]:
+    gap = F.coalesce((F.col(TS) - F.col("prior_last_send")).cast("double"), F.lit(NEW_ADDRESS_GAP))
+    return [gap.alias("time_since_prev_addr_tx_sec"), (gap < BURST_GAP).cast("int").alias("time_burst_indicator")]
+
+
+def address_features(timeline: DataFrame) -> DataFrame:
+    """History of the sending address, read before the transaction."""
+    return timeline.where(F.col("is_sender") > 0).select(TX, *_history_columns())
 
 
 def sender_pacing(timeline: DataFrame) -> DataFrame:
     """Seconds since the sender's previous transaction, one day when it is new; and the burst flag."""
-    gap = F.coalesce((F.col(TS) - F.col("prior_last_send")).cast("double"), F.lit(NEW_ADDRESS_GAP))
-    return timeline.where(F.col("is_sender") > 0).select(
-        TX, gap.alias("time_since_prev_addr_tx_sec"), (gap < BURST_GAP).cast("int").alias("time_burst_indicator"))
+    return timeline.where(F.col("is_sender") > 0).select(TX, *_pacing_columns())
 
 
 def second_velocity(transactions: DataFrame) -> DataFrame:
@@ -248,8 +258,7 @@ def feature_matrix(tables: Mapping[str, DataFrame], timeline: DataFrame | None =
     """All tabular features, exactly one row per transaction."""
     tx, ins, outs = (tables[n] for n in ("transactions", "transaction_inputs", "transaction_outputs"))
     timeline = address_timeline(tx, ins, outs) if timeline is None else timeline
-    sender = timeline.where(F.col("is_sender") > 0)
-    history = address_features(sender).join(sender_pacing(sender).drop("time_burst_indicator"), TX)
+    history = timeline.where(F.col("is_sender") > 0).select(TX, *_history_columns(), _pacing_columns()[0])
     joined = (tx.join(input_statistics(ins).drop("sender"), TX, "left").join(output_statistics(outs), TX, "left")
               .join(history, TX, "left").join(network_features(tx, ins, tables["network_events"]), TX, "left")
               .join(second_velocity(tx), TS, "left"))

@@ -100,7 +100,9 @@ class TransactionFilter:
 
 def joined_risk(transactions: DataFrame, results: DataFrame, analysis_id: str | None = None) -> DataFrame:
     """Transactions with the result of one run, or with their latest result."""
-    picked = run_results(results, analysis_id) if analysis_id else latest_results(results, "transaction")
+    slim = results.select("entity_id", "entity_type", "analysis_id", "result_id", "predicted_at", "risk_score", "risk_level",
+                          "prediction_label")
+    picked = run_results(slim, analysis_id) if analysis_id else latest_results(slim, "transaction")
     picked = picked.select(F.col("entity_id").alias(TX), "risk_score", "risk_level", "prediction_label")
     return transactions.join(picked, TX, "left")
 
@@ -206,7 +208,8 @@ def detail_rows(parts: dict[str, DataFrame]) -> DataFrame:
 def address_listing(addresses: DataFrame, results: DataFrame, min_risk: float | None = None,
                     risk_level: str | None = None, analysis_id: str | None = None) -> DataFrame:
     """Addresses with their latest risk, ready for sorting and paging."""
-    picked = run_results(results, analysis_id) if analysis_id else latest_results(results, "address")
+    slim = results.select("entity_id", "entity_type", "analysis_id", "result_id", "predicted_at", "risk_score", "risk_level")
+    picked = run_results(slim, analysis_id) if analysis_id else latest_results(slim, "address")
     rows = addresses.join(picked.select(F.col("entity_id").alias("address_id"), "risk_score", "risk_level"),
                           "address_id", "left")
     if risk_level:
