@@ -12,6 +12,18 @@ from ledgerscope.plans.registry import query
 CENTRE = "C1"  # the first customer's address exists at every scale
 
 
+def _with_components(members: str) -> str:
+    """Component labels ``cc(a, l)`` of memberships ``(t, a)``: the smallest member reachable through shared groups."""
+    return f"""WITH RECURSIVE ev AS (SELECT a, min(a) OVER (PARTITION BY t) AS m FROM ({members})), eb AS (SELECT DISTINCT a, m FROM ev UNION SELECT DISTINCT m, a FROM ev),
+ cc(a, l) USING KEY (a) AS (SELECT a, min(m) FROM eb GROUP BY a UNION
+  SELECT e.a, min(cc.l) FROM cc JOIN eb e ON e.m = cc.a JOIN recurring.cc AS old ON old.a = e.a WHERE cc.l < old.l GROUP BY e.a)"""
+
+
+_GRAPH = "SELECT transaction_id AS t, 'addr_' || a AS a FROM g_app UNION SELECT transaction_id, 'tx_' || transaction_id FROM c_tx"
+_SPENT = "SELECT transaction_id AS t, a FROM k_mem"
+_PAID = """SELECT transaction_id AS t, a FROM (SELECT DISTINCT transaction_id, a FROM g_app) WHERE transaction_id IN (SELECT transaction_id FROM g_pair)"""
+
+
 @query("g01_transaction_nodes", """SELECT 'tx_' || transaction_id AS node_id, 'transaction' AS node_type, transaction_id AS identifier, ts AS timestamp_epoch_sec, fee_satoshi,
  total_output_value_satoshi, input_count, output_count FROM c_tx""")
 def tx_nodes(b: Bench):
@@ -47,7 +59,8 @@ def clusters(b: Bench):
     return g.final_clusters(b.tx, b.ins, b.outs)
 
 
-@query("g05_multi_input_only")
+@query("g05_multi_input_only", _with_components("SELECT transaction_id AS t, input_address AS a FROM c_in") + """
+ SELECT l AS component, count(*) AS cluster_size FROM cc GROUP BY l""")
 def multi_input(b: Bench):
     pairs = b.ins.select(F.col(TX).alias("tx"), F.col("input_address").alias("node")).distinct()
     return components.component_labels(components.star_edges(pairs, "tx", "node")).groupBy("component").agg(
@@ -78,7 +91,8 @@ def degree_distributions(b: Bench):
     return g.degree_distributions(b.nodes)
 
 
-@query("g14_weak_components")
+@query("g14_weak_components", _with_components(_GRAPH) + """, s AS (SELECT l, count(*) AS n FROM cc GROUP BY l)
+ SELECT count(*) AS n_components, max(n) AS giant_size, max(n) / sum(n)::DOUBLE AS giant_fraction, (SELECT string_agg(CAST(n AS VARCHAR), ',' ORDER BY n DESC) FROM (SELECT n FROM s ORDER BY n DESC LIMIT 5)) AS top_sizes FROM s""")
 def weak(b: Bench):
     return g.component_summary(g.weak_components(b.edges))
 
@@ -229,17 +243,19 @@ def shares(b: Bench):
     return g.type_shares(b.nodes, b.edges)
 
 
-@query("g34_cluster_summary")
+@query("g34_cluster_summary", _with_components(_SPENT) + """, s AS (SELECT l, count(*) AS n FROM cc GROUP BY l)
+ SELECT count(*) AS n_clusters, count(*) FILTER (n > 1) AS n_multi, max(n) AS largest, count(*) FILTER (n > 1) / count(*)::DOUBLE AS multi_share FROM s""")
 def cluster_summary(b: Bench):
     return g.cluster_summary(b.clusters)
 
 
-@query("g34_top_clusters")
+@query("g34_top_clusters", _with_components(_SPENT) + """, s AS (SELECT l, count(*) AS n FROM cc GROUP BY l), x AS (SELECT l, count(*) AS k FROM f_snd JOIN cc ON a = sender GROUP BY l)
+ SELECT l AS cluster_root, n AS cluster_size, coalesce(k, 0) AS cluster_tx_count FROM s LEFT JOIN x USING (l) ORDER BY n DESC, l LIMIT 10""")
 def top_clusters(b: Bench):
     return g.top_clusters(b.clusters)
 
 
-@query("g31_payment_components")
+@query("g31_payment_components", _with_components(_PAID) + "\n SELECT l AS component, count(*) AS n FROM cc GROUP BY l")
 def payment_groups(b: Bench):
     return g.payment_components(b.ins, b.outs).groupBy("component").agg(F.count(F.lit(1)).alias("n"))
 

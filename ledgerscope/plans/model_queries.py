@@ -139,7 +139,8 @@ def robust_scaling(b: Bench):
     return _round(s.robust_scale(b.features.select(TX, *_SCALED), statistics, _SCALED), 6)
 
 
-@query("m02_one_hot")
+@query("m02_one_hot", """WITH r AS (SELECT transaction_id, temporal_split, coalesce(net_country, 'UNKNOWN') AS c, coalesce(CAST(net_asn AS VARCHAR), 'UNKNOWN') AS a FROM f_all JOIN m_split USING (transaction_id))
+ SELECT transaction_id, (c IN (SELECT c FROM r WHERE temporal_split = 'train'))::INT::DOUBLE AS country_ones, (a IN (SELECT a FROM r WHERE temporal_split = 'train'))::INT::DOUBLE AS asn_ones FROM r""")
 def one_hot(b: Bench):
     from pyspark.ml import Pipeline
     from pyspark.ml.functions import vector_to_array

@@ -79,7 +79,8 @@ def histograms(b: Bench):
     return fee.unionByName(p.histogram(b.tx, "output_count", 0, 20, 10).select(F.lit("fan_out").alias("series"), "bin", "n"))
 
 
-@query("e08_log_value_histogram")
+@query("e08_log_value_histogram", """SELECT CASE WHEN v < 4 THEN 0 WHEN v >= 9 THEN 26 ELSE CAST(floor(25 * (v - 4) / 5.0::DOUBLE) + 1 AS BIGINT) END AS bin, count(*) AS n
+ FROM (SELECT log10(total_output_value_satoshi::DOUBLE) AS v FROM c_tx) GROUP BY 1""")
 def log_histogram(b: Bench):
     return p.histogram(b.tx, "total_output_value_satoshi", 4, 9, 25, log10=True)
 
