@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -30,9 +31,15 @@ def build_session(app: str = "ledgerscope", master: str | None = None, **conf: s
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where none is configured."""
+    """The cluster's checkpoint folder.
+
+    Only a session whose driver and executors are one process may go without the setting: it gets a temporary folder.
+    Anywhere else a folder of this machine would be invisible to the executors, so the setting is asked for.
+    """
     folder = spark.conf.get(_CHECKPOINT_KEY, None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError(f"set {_CHECKPOINT_KEY} to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set(_CHECKPOINT_KEY, folder)
     return f"{folder.rstrip('/')}/ledgerscope-{spark.sparkContext.applicationId}"
