@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerscope.llm import decontaminate, simhash
+from ledgerscope.llm import decontaminate, line_dedup, mixing, simhash, toxicity
 from ledgerscope.llm.shared import table
 
 _PLANS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,11 @@ def query(name: str, statement: str | None = None):
     return register
 
 
+@query("op1_line_dedup")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    return line_dedup.report(table(spark, folder, "documents"))
+
+
 @query("op5_decontaminate")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.scan(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
@@ -34,6 +39,16 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "fingerprint", "component_id")
 
 
+@query("op7_toxicity")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.score(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op10_mixing")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.slots(table(spark, folder, "documents")).drop("key", "text_key")
+
+
 def plans() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_PLANS)
 
