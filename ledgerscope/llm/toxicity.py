@@ -3,9 +3,10 @@
 A word's input is its own vector plus the mean vector of its hashed character trigrams, so unseen and altered words
 have an input too. Windows of ``SPAN`` words, each half over the one before, cover the whole text; every
 window gets a logit, and the largest, calibrated on documents kept out of the gradient, gives the document's
-score. Only the fit uses a bounded sample: at most ``MAX_DOCS`` labelled documents of each class, the ones with the smallest
-id hashes, of each at most the first ``FIT_CHARS`` characters. Labels belong to documents, not to windows: after the
-first round, windows of toxic documents count as toxic where the network finds them so, or most so.
+score. Only the fit uses a bounded sample: at most ``MAX_DOCS`` labelled documents of a class, the ones with the smallest
+id hashes, of each at most the first ``FIT_CHARS`` characters. Labels belong to documents, not to windows: at first, windows
+of toxic documents count as toxic where they have words that mark toxic documents beyond chance; after a round,
+where the network finds them so. A labelled document without any such window teaches little, as a wrong label would.
 """
 
 from __future__ import annotations
@@ -21,11 +22,13 @@ from pyspark.sql import functions as F
 from ledgerscope.llm.shared import map_batches
 
 SPAN, STRIDE = 32, 16
-MAX_DOCS = 2000
+MAX_DOCS = {0: 3600, 1: 1200}
 FIT_CHARS = 20_000
-WORDS, TRIGRAMS = 20_000, 1 << 12
+WORDS, TRIGRAMS = 20_000, 1 << 14
 WIDTH, HIDDEN, ATTENTION = 12, 8, 8
-ROUNDS, BATCH = 4, 256
+ROUNDS, BATCH = 3, 256
+SURE = 4.0
+UNSEEN = 0.2
 _BREAKS = {c: " " for c in range(128) if not chr(c).isalnum()}
 
 
@@ -74,9 +77,11 @@ class Network:
     offset: float = 0.0
     constant: float | None = None
 
-    def inputs(self, words: list[str]) -> tuple[np.ndarray, tuple]:
-        """Input vectors of distinct words, and what the backward pass needs."""
+    def inputs(self, words: list[str], unseen: np.ndarray | None = None) -> tuple[np.ndarray, tuple]:
+        """Input vectors of distinct words, and what the backward pass needs; ``unseen`` words show their characters only."""
         ids = np.array([self.known.get(x, 0) for x in words], np.int64)
+        if unseen is not None:
+            ids[unseen] = 0
         tri, starts = trigrams(words)
         counts = np.diff(np.append(starts, len(tri)))
         mean = np.add.reduceat(self.w["Ec"][tri], starts, axis=0) / counts[:, None].astype(np.float32)
@@ -116,10 +121,11 @@ class Network:
             keep.update(h=h, hidden=hidden, alpha=alpha, pooled=pooled)
         return pooled @ self.w["wo"] + self.w["bo"][0]
 
-    def gradients(self, words: list[str], at: np.ndarray, mask: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> dict[str, np.ndarray]:
+    def gradients(self, words: list[str], at: np.ndarray, mask: np.ndarray, labels: np.ndarray, weights: np.ndarray,
+                  unseen: np.ndarray) -> dict[str, np.ndarray]:
         """Of the weighted mean log loss."""
         w, keep = self.w, {}
-        x, (ids, tri, counts) = self.inputs(words)
+        x, (ids, tri, counts) = self.inputs(words, unseen)
         logits = self.forward(x, at, mask, keep)
         dl = ((_sigmoid(logits) - labels) * weights / max(weights.sum(), 1e-6)).astype(np.float32)
         g = {"wo": keep["pooled"].T @ dl, "bo": np.array([dl.sum()], np.float32)}
@@ -201,15 +207,50 @@ def _fresh(known: dict[str, int], rng: np.random.Generator) -> Network:
 
 
 def _calibrate(logits: np.ndarray, labels: np.ndarray, steps: int = 50) -> tuple[float, float]:
-    """Slope and offset by Newton's method on smoothed targets, which keeps them finite on separable scores."""
+    """Slope and offset by damped Newton steps on smoothed targets, which keep them finite on separable scores."""
     pos, neg = labels.sum(), len(labels) - labels.sum()
-    goal = np.where(labels > 0, (pos + 1) / (pos + 2), 1 / (neg + 2))
-    theta, x = np.array([1.0, 0.0]), np.stack([logits, np.ones_like(logits)], axis=1).astype(np.float64)
+    goal = np.where(labels > 0, (pos + 1) / (pos + 2), 1 / (neg + 2)).astype(np.float64)
+    centre, spread = float(logits.mean()), float(logits.std()) or 1.0
+    x = np.stack([(logits - centre) / spread, np.ones(len(logits))], axis=1).astype(np.float64)
+
+    def loss(theta: np.ndarray) -> float:
+        m = x @ theta
+        return float((np.logaddexp(0, m) - goal * m).sum() + 5e-4 * theta @ theta)
+
+    theta = np.array([1.0, 0.0])
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ theta, -30, 30)))
-        grad = x.T @ (p - goal) + 1e-3 * theta
-        theta = theta - np.clip(np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + 1e-2 * np.eye(2), grad), -2, 2)
-    return float(max(theta[0], 1e-3)), float(theta[1])
+        p = 1 / (1 + np.exp(-np.clip(x @ theta, -500, 500)))
+        move = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + 1e-3 * np.eye(2), x.T @ (p - goal) + 1e-3 * theta)
+        size = 1.0
+        while size > 1e-6 and loss(theta - size * move) > loss(theta):
+            size /= 2
+        theta = theta - size * move
+    slope = max(theta[0] / spread, 1e-3)
+    return float(slope), float(theta[1] - slope * centre)
+
+
+def _seeds(tokens: list[list[str]], y: np.ndarray, flat: np.ndarray, words: list[str], starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Per window, the signed root of the likelihood ratio by which its most telling word marks toxic documents."""
+    seen = np.zeros((2, len(words)))
+    index = {w: i for i, w in enumerate(words)}
+    for t, label in zip(tokens, y):
+        seen[int(label), [index[w] for w in set(t)]] += 1
+    n = np.array([[(y == 0).sum()], [(y > 0).sum()]], float)
+    rate = seen.sum(axis=0) / n.sum()
+    with np.errstate(divide="ignore", invalid="ignore"):
+        gain = np.where(seen > 0, seen * np.log(seen / n / rate), 0) + np.where(seen < n, (n - seen) * np.log((1 - seen / n) / (1 - rate)), 0)
+    root = np.sqrt(np.maximum(2 * gain.sum(axis=0), 0)) * np.sign(seen[1] / n[1] - seen[0] / n[0])
+    telling = root[flat]
+    steps = np.minimum(starts[:, None] + np.arange(SPAN)[None, :], len(flat) - 1)
+    return np.where(np.arange(SPAN)[None, :] < sizes[:, None], telling[steps], -np.inf).max(axis=1)
+
+
+def _drawn(usable: np.ndarray, target: np.ndarray, found: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Windows for one round: all toxic ones, the tenth of the others that looks most toxic, and a quarter of the rest."""
+    toxic, clean = usable[target[usable] > 0], usable[target[usable] == 0]
+    clean = clean[np.argsort(-found[clean], kind="stable")]
+    hard = len(clean) // 10
+    return np.concatenate([toxic, clean[:hard], clean[hard:][rng.random(len(clean) - hard) < 0.25]])
 
 
 def train(texts: list[str], labels: list[int], seed: int = 11) -> Network:
@@ -220,7 +261,7 @@ def train(texts: list[str], labels: list[int], seed: int = 11) -> Network:
         return Network({}, {}, constant=float(y.mean()) if len(y) else 0.0)
     rng = np.random.default_rng(seed)
     counts = Counter(w for t in tokens for w in set(t))
-    common = sorted((w for w, c in counts.items() if c > 1), key=lambda w: (-counts[w], w))[:WORDS]
+    common = sorted((w for w, c in counts.items() if c >= 4), key=lambda w: (-counts[w], w))[:WORDS]
     net = _fresh({w: i + 1 for i, w in enumerate(common)}, rng)
     aside = np.arange(len(y)) % 5 == 4  # for the calibration
     index: dict[str, int] = {}
@@ -230,26 +271,30 @@ def train(texts: list[str], labels: list[int], seed: int = 11) -> Network:
     starts, sizes = windows(lengths)
     owner = np.repeat(np.arange(len(tokens)), [max(0, -(-(n - SPAN) // STRIDE)) + 1 if n else 0 for n in lengths])
     usable = np.flatnonzero(~aside[owner])
-    target, weight = y[owner].copy(), np.ones(len(owner), np.float32)
+    fit = ~aside
+    found = _seeds([t for t, f in zip(tokens, fit) if f], y[fit], flat, words, starts, sizes) - SURE
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.w.items()}
     step = 0
     for round_ in range(ROUNDS):
         if round_:
             found, _ = net.window_logits(tokens)
-            best = np.full(len(y), -np.inf)
-            np.maximum.at(best, owner, found)
-            toxic = y[owner] > 0
-            sure = found >= np.minimum(best[owner], 0.0)
-            target = np.where(toxic & sure, 1.0, 0.0).astype(np.float32)
-            weight = np.where(toxic & ~sure, 0.1, 1.0).astype(np.float32)
-        share = [max(1e-6, float(weight[usable][target[usable] == v].sum())) for v in (0, 1)]
+        best = np.full(len(y), -np.inf)
+        np.maximum.at(best, owner, found)
+        toxic, sure = y[owner] > 0, found >= 0
+        if not (toxic & sure).any():  # nothing stands out: the most toxic window of each
+            sure = found >= best[owner]
+        target = np.where(toxic & sure, 1.0, 0.0).astype(np.float32)
+        weight = np.where(toxic & ~sure, 0.1, 1.0).astype(np.float32)
+        used = _drawn(usable, target, found, rng)
+        share = [max(1e-6, float(weight[used][target[used] == v].sum())) for v in (0, 1)]
         balanced = weight * np.where(target > 0, share[0] / share[1], 1.0).astype(np.float32)
-        order = rng.permutation(usable)
+        order = rng.permutation(used)
         for i in range(0, len(order), BATCH):
             pick = order[i:i + BATCH]
             at, mask = _dealt(flat, starts[pick], sizes[pick])
-            used, local = np.unique(at, return_inverse=True)
-            g = net.gradients([words[j] for j in used], local.reshape(at.shape), mask, target[pick], balanced[pick])
+            rows, local = np.unique(at, return_inverse=True)
+            g = net.gradients([words[j] for j in rows], local.reshape(at.shape), mask, target[pick], balanced[pick],
+                              rng.random(len(rows)) < UNSEEN)
             step += 1
             rate = 0.01 * np.sqrt(1 - 0.999 ** step) / (1 - 0.9 ** step)
             for k, v in g.items():
@@ -257,6 +302,8 @@ def train(texts: list[str], labels: list[int], seed: int = 11) -> Network:
                 m += 0.1 * (v - m)
                 s += 0.001 * (v * v - s)
                 net.w[k] -= (rate * m / (np.sqrt(s) + 1e-8)).astype(np.float32)
+                if k[0] == "E":  # decay keeps rare words and trigrams near nought
+                    net.w[k] *= np.float32(1 - 0.002)
     logits, at = net.window_logits(tokens)
     best = np.full(len(y), -np.inf)
     np.maximum.at(best, at, logits)
@@ -272,11 +319,11 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def sample(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> tuple[list[str], list[int]]:
+def sample(docs: DataFrame, labels: DataFrame, max_docs: dict[int, int] = MAX_DOCS) -> tuple[list[str], list[int]]:
     """The bounded sample for the fit, in a fixed order."""
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    picked = [known.where(F.col("toxic") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs) for v in (0, 1)]
+    picked = [known.where(F.col("toxic") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs[v]) for v in (0, 1)]
     ids = picked[0].unionAll(picked[1]).select(F.col("doc_id").alias("id"), "toxic")
     rows = docs.select("doc_id", F.substring("text", 1, FIT_CHARS).alias("text")).join(F.broadcast(ids), F.col("doc_id") == F.col("id")).select("id", "text", "toxic")
     got = sorted({(r["id"], r["text"] or "", r["toxic"]) for r in rows.collect()})
