@@ -20,6 +20,7 @@ from pyspark.sql import Window
 
 from ledgerscope.functions.ordering import prefix_totals
 from ledgerscope.llm.shared import fresh, quoted, same
+from ledgerscope.session import pin
 
 BLOCK_CHARS = 1 << 16
 PARTS = 1000
@@ -30,29 +31,35 @@ def _source_key(source: Column) -> Column:
     return F.when(source.isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), source.cast("string")))
 
 
-def tempered_parts(docs: DataFrame, power: float = 0.7, parts: int = PARTS) -> DataFrame:
-    """``(source, parts)``: target weights proportional to a power of the sources' characters, at least one part each."""
-    sizes = docs.groupBy("source").agg(F.pow(F.sum(F.coalesce(F.length("text"), F.lit(0))).cast("double"), F.lit(power)).alias("w"))
-    total = sizes.agg(F.sum("w").alias("total"))
-    return sizes.join(F.broadcast(total)).select(
-        "source", F.greatest(F.lit(1), F.coalesce(F.round(F.lit(float(parts)) * F.col("w") / F.col("total")), F.lit(1))).cast("long").alias("parts"))
+def _sized(docs: DataFrame) -> DataFrame:
+    """Ids, source keys, text hashes and lengths of all rows, written once: the texts are read a single time."""
+    return pin(docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), _source_key(F.col("source")).alias("key"), F.xxhash64("text").alias("text_key"),
+        F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("size")), "sizes")
+
+
+def tempered_parts(sizes: DataFrame, power: float = 0.7, parts: int = PARTS) -> DataFrame:
+    """``(key, parts)`` of ``sizes(key, size)``: weights proportional to a power of a source's size, one part at least."""
+    weights = sizes.groupBy("key").agg(F.pow(F.sum("size").cast("double"), F.lit(power)).alias("w"))
+    total = weights.agg(F.sum("w").alias("total"))
+    return weights.join(F.broadcast(total)).select(
+        "key", F.greatest(F.lit(1), F.coalesce(F.round(F.lit(float(parts)) * F.col("w") / F.col("total")), F.lit(1))).cast("long").alias("parts"))
 
 
-def _placed(docs: DataFrame, seed: int) -> DataFrame:
+def _placed(sizes: DataFrame, seed: int) -> DataFrame:
     """Every row with the characters before it in its source's shuffled order."""
-    rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), _source_key(F.col("source")).alias("key"), F.xxhash64("text").alias("text_key"),
-        F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("size"), F.xxhash64(F.col("doc_id"), F.lit(seed)).alias("draw"))
-    return prefix_totals(rows, F.shiftright("draw", 56), F.shiftright("draw", 48), ["draw", "doc_id", "text_key"], ["size"], ["key"])
+    rows = sizes.withColumn("draw", F.xxhash64(F.col("doc_id"), F.lit(seed)))
+    placed = prefix_totals(rows, F.shiftright("draw", 56), F.shiftright("draw", 48), ["draw", "doc_id", "text_key"], ["size"], ["key"])
+    return pin(placed, "placed")
 
 
 def _sources(placed: DataFrame, parts: DataFrame, block_chars: int) -> DataFrame:
     """One row per source: key, parts, number of blocks."""
-    wanted = parts.groupBy(_source_key(F.col("source")).alias("key")).agg(F.max("parts").cast("long").alias("parts"))
+    wanted = parts.groupBy("key").agg(F.max("parts").cast("long").alias("parts"))
     sizes = placed.groupBy("key").agg(F.sum("size").alias("chars"))
-    return sizes.join(wanted, "key", "left").select(
+    return pin(sizes.join(wanted, "key", "left").select(
         "key", F.greatest(F.coalesce("parts", F.lit(1)), F.lit(1)).cast("long").alias("parts"),
-        F.greatest(F.lit(1), F.ceil(F.col("chars") / block_chars)).cast("long").alias("blocks"))
+        F.greatest(F.lit(1), F.ceil(F.col("chars") / block_chars)).cast("long").alias("blocks")), "sources")
 
 
 def schedule(sources: DataFrame) -> DataFrame:
@@ -65,7 +72,7 @@ def schedule(sources: DataFrame) -> DataFrame:
     one = sources.agg(F.array_sort(F.collect_list(F.struct("key", "parts", "blocks"))).alias("all"))
     full = lambda s: F.floor(s["blocks"] / s["parts"]).cast("long")
     starts = F.array_distinct(F.concat(F.array(F.lit(0).cast("long")), F.transform("all", full), F.transform("all", lambda s: full(s) + 1)))
-    frames = one.select("all", F.explode(starts).alias("first_frame")).repartition("first_frame")
+    frames = one.select("all", F.explode(starts).alias("first_frame"))
     frames = frames.select("first_frame", F.transform("all", lambda s: F.struct(
         s["key"].alias("key"), s["parts"].alias("parts"),
         F.greatest(F.lit(0), F.least(s["parts"], s["blocks"] - F.col("first_frame") * s["parts"])).cast("long").alias("n"),
@@ -73,27 +80,32 @@ def schedule(sources: DataFrame) -> DataFrame:
     zero = F.lit(0).cast("long")
     frames = frames.select("*", F.aggregate("all", zero, lambda a, s: a + s["n"]).alias("length"),
                            F.aggregate("all", zero, lambda a, s: a + s["before"]).alias("offset")).where("length > 0")
-    frames = frames.withColumn("all", F.filter("all", lambda s: s["n"] > 0))
+    # each step is written: merged into one projection, every lookup would build the arrays anew
+    frames = pin(frames.withColumn("all", F.filter("all", lambda s: s["n"] > 0)), "frames")
 
     def served(s: Column, i: Column) -> Column:
         """Fluid slots, times the source's parts, when its first i blocks are done; who has run out takes no more."""
         return F.aggregate("all", zero, lambda a, o: a + F.least(o["parts"] * i, o["n"] * s["parts"]))
 
-    frames = frames.withColumn("all", F.transform("all", lambda s: F.struct(
+    windows = frames.withColumn("all", F.transform("all", lambda s: F.struct(
         s["key"].alias("key"), s["n"].alias("n"),
         F.transform(F.sequence(zero, s["n"] - 1), lambda i: F.floor(served(s, i) / s["parts"])).alias("release"),
         F.transform(F.sequence(zero, s["n"] - 1), lambda i: F.ceil(served(s, i + 1) / s["parts"])).alias("deadline"))))
+    windows = pin(windows.repartition("first_frame"), "windows")
 
     def step(state: Column, t: Column) -> Column:
         due = F.zip_with("all", state["done"], lambda s, k: F.when(
             (k < s["n"]) & (F.get(s["release"], k) <= t),
             F.struct(F.get(s["deadline"], k).alias("deadline"), s["key"].alias("key"))))
-        chosen = F.array_min(due)
-        done = F.zip_with("all", state["done"], lambda s, k: F.when(s["key"] == chosen["key"], k + 1).otherwise(k))
-        return F.struct(done.alias("done"), F.concat(state["picks"], F.array(chosen["key"])).alias("picks"))
+
+        def taken(c: Column) -> Column:
+            done = F.zip_with("all", state["done"], lambda s, k: F.when(s["key"] == c["key"], k + 1).otherwise(k))
+            return F.struct(done.alias("done"), F.concat(state["picks"], F.array(c["key"])).alias("picks"))
+
+        return F.transform(F.array(F.array_min(due)), taken)[0]  # binds the choice, so that it is made once
 
     start = F.struct(F.transform("all", lambda s: F.lit(0)).alias("done"), F.array().cast("array<string>").alias("picks"))
-    run = frames.select("first_frame", "length", "offset", "all",
+    run = windows.select("first_frame", "length", "offset", "all",
                         F.aggregate(F.sequence(zero, F.col("length") - 1), start, step, lambda s: s["picks"]).alias("picks"))
     picked = run.select("first_frame", "length", "offset", "all", F.posexplode("picks").alias("slot", "key"))
     order = Window.partitionBy("first_frame", "key").orderBy("slot")
@@ -106,7 +118,7 @@ def schedule(sources: DataFrame) -> DataFrame:
 
 def block_slots(sources: DataFrame, blocks: DataFrame) -> DataFrame:
     """Slots of ``blocks(key, block)``: adds ``parts, release, slot, deadline``, all counted from the mixture's start."""
-    templates = schedule(sources)
+    templates = pin(schedule(sources), "templates")
     firsts = templates.groupBy("key").agg(F.array_distinct(F.collect_list("first_frame")).alias("firsts"))
     known = blocks.join(sources.join(firsts, "key"), "key").withColumn("frame", F.floor(F.col("block") / F.col("parts")).cast("long"))
     known = known.select("key", "block", "parts", "frame", (F.col("block") % F.col("parts")).alias("place"),
@@ -125,12 +137,14 @@ def slots(docs: DataFrame, parts: DataFrame | None = None, block_chars: int = BL
     characters and go with the block they fall in. Repeated rows get a row each. The sum of parts bounds the work of a
     template, so parts should be a few thousand in sum.
     """
-    placed = _placed(docs, seed)
-    sources = _sources(placed, tempered_parts(docs) if parts is None else parts, block_chars)
+    sizes = _sized(docs)
+    placed = _placed(sizes, seed)
+    wanted = tempered_parts(sizes) if parts is None else parts.select(_source_key(F.col("source")).alias("key"), "parts")
+    sources = _sources(placed, wanted, block_chars)
     cut = placed.join(sources.select("key", "blocks"), "key").select(
         "doc_id", "key", "text_key",
         F.least(F.floor(F.col("before_size") / block_chars), F.col("blocks") - 1).cast("long").alias("block"))
-    found = block_slots(sources, cut.select("key", "block").distinct())
+    found = pin(block_slots(sources, cut.select("key", "block").distinct()), "slots")
     source = F.when(F.col("key") != "-", F.substring("key", 2, 1 << 30))
     return cut.join(found, ["key", "block"]).select(
         "doc_id", "key", "text_key", source.alias("source"), "parts", "block", "release", "slot", "deadline")

@@ -69,7 +69,7 @@ def test_rows_stay_whole(spark):
 
 def test_default_parts_and_empty_table(spark):
     docs = spark.createDataFrame([(1, "a" * 100, "x"), (2, "b", "y"), (3, None, "z")], "doc_id long, text string, source string")
-    parts = {r["source"]: r["parts"] for r in mixing.tempered_parts(docs).collect()}
-    assert parts["x"] > parts["y"] >= 1 and parts["z"] == 1
+    parts = {r["key"]: r["parts"] for r in mixing.tempered_parts(mixing._sized(docs)).collect()}
+    assert parts["+x"] > parts["+y"] >= 1 and parts["+z"] == 1
     assert mixing.slots(docs.limit(0)).count() == 0 and mixing.mixed(docs.limit(0)).count() == 0
     assert {r["slot"] for r in mixing.slots(docs).collect()} == {0, 1, 2}
