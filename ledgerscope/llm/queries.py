@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerscope.llm import decontaminate, line_dedup, mixing, simhash, toxicity
+from ledgerscope.llm import decontaminate, line_dedup, mixing, simhash, substring_dedup, toxicity, warc
 from ledgerscope.llm.shared import table
+from ledgerscope.session import shared_folder
 
 _PLANS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -28,6 +30,22 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.report(table(spark, folder, "documents"))
 
 
+@query("op3_warc", """
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to
+FROM (SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND first < page_id THEN first END AS refers_to
+      FROM (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest,
+                   min(page_id) OVER (PARTITION BY sha256(coalesce(html, ''))) AS first FROM pages))""")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write(table(spark, folder, "pages"), path)
+    return warc.pages_read(spark, path)
+
+
+@query("op4_substring_dedup")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return substring_dedup.removals(table(spark, folder, "documents")).drop("spans")
+
+
 @query("op5_decontaminate")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.scan(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
