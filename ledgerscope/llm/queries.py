@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerscope.llm import decontaminate, line_dedup, mixing, simhash, substring_dedup, toxicity, warc
+from ledgerscope.llm import decontaminate, disclosure, language_id, line_dedup, mixing, simhash, substring_dedup, toxicity, warc
 from ledgerscope.llm.shared import table
 from ledgerscope.session import shared_folder
 
@@ -62,6 +62,16 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.score(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+@query("op8_language_id")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return language_id.identify(table(spark, folder, "documents"))
+
+
+@query("op9_disclosure")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return disclosure.report(table(spark, folder, "documents"))
+
+
 @query("op10_mixing")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.slots(table(spark, folder, "documents")).drop("key", "text_key")
