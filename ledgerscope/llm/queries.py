@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerscope.llm import decontaminate, disclosure, language_id, line_dedup, mixing, simhash, substring_dedup, toxicity, warc
+from ledgerscope.llm import decontaminate, disclosure, language_id, line_dedup, mixing, simhash, spot_signatures, substring_dedup, toxicity, warc
 from ledgerscope.llm.shared import table
 from ledgerscope.session import shared_folder
 
@@ -30,6 +30,11 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.report(table(spark, folder, "documents"))
 
 
+@query("op2_spot_signatures")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return spot_signatures.report(table(spark, folder, "documents"))
+
+
 @query("op3_warc", """
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to
 FROM (SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND first < page_id THEN first END AS refers_to
