@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from ledgerscope.llm.shared import map_batches
 
 SPAN, STRIDE = 32, 16
-MAX_DOCS = {0: 3600, 1: 1200}
-FIT_CHARS = 20_000
+MAX_DOCS = {0: 2400, 1: 1200}
+FIT_CHARS = 8_000
 WORDS, TRIGRAMS = 20_000, 1 << 14
 WIDTH, HIDDEN, ATTENTION = 12, 8, 8
 ROUNDS, BATCH = 3, 256
@@ -162,21 +162,23 @@ class Network:
         np.add.at(g["Ec"], tri, np.repeat(dx / counts[:, None].astype(np.float32), counts, axis=0))
         return g
 
-    def window_logits(self, texts: list[list[str]], chunk: int = 2048) -> tuple[np.ndarray, np.ndarray]:
-        """Logits of all windows of tokenised texts, and the text that each window is of."""
-        lengths = [len(t) for t in texts]
-        starts, sizes = windows(lengths)
-        per_text = [max(0, -(-(n - SPAN) // STRIDE)) + 1 if n else 0 for n in lengths]
-        owner = np.repeat(np.arange(len(texts)), per_text)
+    def _all_inputs(self, words: list[str], slice_: int = 20_000) -> np.ndarray:
+        """``inputs`` of many words, a slice at a time."""
+        return np.concatenate([self.inputs(words[i:i + slice_])[0] for i in range(0, len(words), slice_)])
+
+    def logits_at(self, words: list[str], flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, chunk: int = 2048) -> np.ndarray:
+        """Logits of the windows of texts laid end to end in ``flat``, which numbers ``words``."""
         logits = np.zeros(len(starts), np.float32)
         if len(starts):
-            index: dict[str, int] = {}
-            flat = np.array([index.setdefault(w, len(index)) for t in texts for w in t] + [0] * SPAN, np.int64)
-            x, _ = self.inputs(list(index))
+            x = self._all_inputs(words)
             for i in range(0, len(starts), chunk):
-                at, mask = _dealt(flat, starts[i:i + chunk], sizes[i:i + chunk])
-                logits[i:i + chunk] = self.forward(x, at, mask)
-        return logits, owner
+                logits[i:i + chunk] = self.forward(x, *_dealt(flat, starts[i:i + chunk], sizes[i:i + chunk]))
+        return logits
+
+    def window_logits(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """Logits of all windows of tokenised texts, and the text that each window is of."""
+        flat, words, starts, sizes, owner = _laid(texts)
+        return self.logits_at(words, flat, starts, sizes), owner
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         """Scores of whole texts; a text without words scores 0."""
@@ -188,6 +190,19 @@ class Network:
         return np.where(np.isneginf(best), 0.0, _sigmoid(self.slope * np.where(np.isneginf(best), 0, best) + self.offset))
 
 
+def _laid(texts) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """Tokenised texts end to end as word numbers, the words, and their windows with the texts they are of."""
+    index: dict[str, int] = {}
+    parts, lengths = [], []
+    for t in texts:
+        parts.append(np.array([index.setdefault(w, len(index)) for w in t], np.int32))
+        lengths.append(len(t))
+    flat = np.concatenate([*parts, np.zeros(SPAN, np.int32)])
+    starts, sizes = windows(lengths)
+    owner = np.repeat(np.arange(len(lengths)), [max(0, -(-(n - SPAN) // STRIDE)) + 1 if n else 0 for n in lengths])
+    return flat, list(index), starts, sizes, owner
+
+
 def _dealt(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     steps = np.arange(SPAN)[:, None]
     mask = steps < sizes[None, :]
@@ -229,20 +244,27 @@ def _calibrate(logits: np.ndarray, labels: np.ndarray, steps: int = 50) -> tuple
     return float(slope), float(theta[1] - slope * centre)
 
 
-def _seeds(tokens: list[list[str]], y: np.ndarray, flat: np.ndarray, words: list[str], starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+def _seeds(y: np.ndarray, fit: np.ndarray, flat: np.ndarray, words: list[str], starts: np.ndarray, sizes: np.ndarray, owner: np.ndarray) -> np.ndarray:
     """Per window, the signed root of the likelihood ratio by which its most telling word marks toxic documents."""
     seen = np.zeros((2, len(words)))
-    index = {w: i for i, w in enumerate(words)}
-    for t, label in zip(tokens, y):
-        seen[int(label), [index[w] for w in set(t)]] += 1
+    for doc in np.flatnonzero(fit):
+        own = slice(*np.searchsorted(owner, [doc, doc + 1]))
+        if own.start < own.stop:
+            last = own.stop - 1
+            seen[int(y[doc]), np.unique(flat[starts[own.start]:starts[last] + sizes[last]])] += 1
+    y = y[fit]
     n = np.array([[(y == 0).sum()], [(y > 0).sum()]], float)
     rate = seen.sum(axis=0) / n.sum()
     with np.errstate(divide="ignore", invalid="ignore"):
         gain = np.where(seen > 0, seen * np.log(seen / n / rate), 0) + np.where(seen < n, (n - seen) * np.log((1 - seen / n) / (1 - rate)), 0)
     root = np.sqrt(np.maximum(2 * gain.sum(axis=0), 0)) * np.sign(seen[1] / n[1] - seen[0] / n[0])
     telling = root[flat]
-    steps = np.minimum(starts[:, None] + np.arange(SPAN)[None, :], len(flat) - 1)
-    return np.where(np.arange(SPAN)[None, :] < sizes[:, None], telling[steps], -np.inf).max(axis=1)
+    out = np.empty(len(starts))
+    for i in range(0, len(starts), 8192):
+        steps = starts[i:i + 8192, None] + np.arange(SPAN)[None, :]
+        inside = np.arange(SPAN)[None, :] < sizes[i:i + 8192, None]
+        out[i:i + 8192] = np.where(inside, telling[np.minimum(steps, len(flat) - 1)], -np.inf).max(axis=1)
+    return out
 
 
 def _drawn(usable: np.ndarray, target: np.ndarray, found: np.ndarray, rng: np.random.Generator) -> np.ndarray:
@@ -256,28 +278,26 @@ def _drawn(usable: np.ndarray, target: np.ndarray, found: np.ndarray, rng: np.ra
 def train(texts: list[str], labels: list[int], seed: int = 11) -> Network:
     """Fit on labelled texts; a constant where a class is missing."""
     y = np.array(labels, np.float32)
-    tokens = [words_of(t) for t in texts]
     if not len(y) or y.min() == y.max():
         return Network({}, {}, constant=float(y.mean()) if len(y) else 0.0)
     rng = np.random.default_rng(seed)
-    counts = Counter(w for t in tokens for w in set(t))
-    common = sorted((w for w, c in counts.items() if c >= 4), key=lambda w: (-counts[w], w))[:WORDS]
-    net = _fresh({w: i + 1 for i, w in enumerate(common)}, rng)
+    flat, words, starts, sizes, owner = _laid(map(words_of, texts))
+    del texts
+    counts = Counter()
+    for doc in range(len(y)):
+        a, b = np.searchsorted(owner, [doc, doc + 1])
+        if a < b:
+            counts.update(np.unique(flat[starts[a]:starts[b - 1] + sizes[b - 1]]).tolist())
+    common = sorted((w for w, c in counts.items() if c >= 4), key=lambda w: (-counts[w], words[w]))[:WORDS]
+    net = _fresh({words[w]: i + 1 for i, w in enumerate(common)}, rng)
     aside = np.arange(len(y)) % 5 == 4  # for the calibration
-    index: dict[str, int] = {}
-    lengths = [len(t) for t in tokens]
-    flat = np.array([index.setdefault(w, len(index)) for t in tokens for w in t] + [0] * SPAN, np.int64)
-    words = list(index)
-    starts, sizes = windows(lengths)
-    owner = np.repeat(np.arange(len(tokens)), [max(0, -(-(n - SPAN) // STRIDE)) + 1 if n else 0 for n in lengths])
     usable = np.flatnonzero(~aside[owner])
-    fit = ~aside
-    found = _seeds([t for t, f in zip(tokens, fit) if f], y[fit], flat, words, starts, sizes) - SURE
+    found = _seeds(y, ~aside, flat, words, starts, sizes, owner) - SURE
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.w.items()}
     step = 0
     for round_ in range(ROUNDS):
         if round_:
-            found, _ = net.window_logits(tokens)
+            found = net.logits_at(words, flat, starts, sizes)
         best = np.full(len(y), -np.inf)
         np.maximum.at(best, owner, found)
         toxic, sure = y[owner] > 0, found >= 0
@@ -304,9 +324,8 @@ def train(texts: list[str], labels: list[int], seed: int = 11) -> Network:
                 net.w[k] -= (rate * m / (np.sqrt(s) + 1e-8)).astype(np.float32)
                 if k[0] == "E":  # decay keeps rare words and trigrams near nought
                     net.w[k] *= np.float32(1 - 0.002)
-    logits, at = net.window_logits(tokens)
     best = np.full(len(y), -np.inf)
-    np.maximum.at(best, at, logits)
+    np.maximum.at(best, owner, net.logits_at(words, flat, starts, sizes))
     check = aside & np.isfinite(best)
     if not (check & (y > 0)).any() or not (check & (y == 0)).any():
         check = np.isfinite(best)
