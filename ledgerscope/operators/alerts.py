@@ -131,20 +131,32 @@ def classify(rows: DataFrame) -> DataFrame:
     return typed.withColumn("grouping_key", key)
 
 
-def group(candidates: DataFrame, analysis_id: str, dataset_id: str) -> DataFrame:
-    """One alert per (type, grouping key), described by its riskiest member.
+def group_state(candidates: DataFrame) -> DataFrame:
+    """What one lot of candidates contributes to each (type, grouping key): riskiest member, count, times, signals.
 
-    Everything here is a combinable aggregate; the member list lives in ``alert_members`` as rows, so a
-    key holding a third of all transactions never becomes one array.
+    Everything here is a combinable aggregate, so states of several lots merge; the member list lives in
+    ``alert_members`` as rows, so a key holding a third of all transactions never becomes one array.
     """
     evidence = [c for c in EVIDENCE_FEATURES if c in candidates.columns]
-    anchor = F.struct(TX, "risk_score", "prediction_label", "severity", "priority", "trigger_source", "trigger_reason", *evidence)
-    order = F.struct("risk_score", F.col(TX))
+    anchor = F.struct("risk_score", TX, "prediction_label", "severity", "priority", "trigger_source", "trigger_reason", *evidence)
     exploded = candidates.select("*", *[F.array_contains("categories", c).cast("int").alias(f"_c_{c}") for c in CATEGORIES])
-    g = exploded.groupBy("alert_type", "grouping_key").agg(
-        F.max_by(anchor, order).alias("a"), F.count(F.lit(1)).alias("transaction_count"),
+    return exploded.groupBy("alert_type", "grouping_key").agg(
+        F.max_by(anchor, F.struct("risk_score", F.col(TX))).alias("a"), F.count(F.lit(1)).alias("transaction_count"),
         F.min("timestamp").alias("first_seen_at"), F.max("timestamp").alias("last_seen_at"),
         *[F.max(f"_c_{c}").alias(f"_c_{c}") for c in CATEGORIES])
+
+
+def merge_states(states: DataFrame) -> DataFrame:
+    """One state per group out of the states of several lots."""
+    return states.groupBy("alert_type", "grouping_key").agg(
+        F.max_by("a", F.struct("a.risk_score", f"a.{TX}")).alias("a"), F.sum("transaction_count").alias("transaction_count"),
+        F.min("first_seen_at").alias("first_seen_at"), F.max("last_seen_at").alias("last_seen_at"),
+        *[F.max(f"_c_{c}").alias(f"_c_{c}") for c in CATEGORIES])
+
+
+def describe(g: DataFrame, analysis_id: str, dataset_id: str) -> DataFrame:
+    """The alert of each group state, described by its riskiest member."""
+    evidence = [c for c in EVIDENCE_FEATURES if c in g.schema["a"].dataType.names]
     several = F.col("transaction_count") > 1
     critical = F.col("a.risk_score") >= X.CRITICAL_AT
     print_ = F.substring(F.sha2(F.concat_ws(":", F.lit(analysis_id), "alert_type", "grouping_key"), 256), 1, 32)
@@ -167,6 +179,11 @@ def group(candidates: DataFrame, analysis_id: str, dataset_id: str) -> DataFrame
                  .alias("source_features")).alias("metadata"))
 
 
+def group(candidates: DataFrame, analysis_id: str, dataset_id: str) -> DataFrame:
+    """One alert per (type, grouping key)."""
+    return describe(group_state(candidates), analysis_id, dataset_id)
+
+
 # Signal categories in alphabetical order.
 CATEGORIES = ["catboost_typology", "entity_cluster", "graph_topology", "ml_xgboost", "network_telemetry", "temporal_engine"]
 

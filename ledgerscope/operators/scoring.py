@@ -31,18 +31,53 @@ GRAPH_MODEL_FEATURES = [
 NUMERIC = [c for c in schemas.MATRIX_FEATURES if c not in CATEGORICAL] + GRAPH_MODEL_FEATURES
 MODEL_FEATURES = NUMERIC + CATEGORICAL
 
-# Fixed values: (display name, unit) of features whose label is not just the words of its name.
+# Fixed values: (display name, unit) of every model feature, in matrix order.
 DISPLAY = {
-    "tx_total_input_sats": ("Total input value", "sats"), "tx_total_output_sats": ("Total output value", "sats"),
-    "tx_fee_sats": ("Transaction fee", "sats"), "tx_size_bytes": ("Transaction size", "bytes"),
-    "tx_fee_rate_sat_per_byte": ("Fee rate", "sat/byte"), "addr_hist_tx_per_day": ("Transaction velocity", "tx/day"),
-    "rel_fan_in": ("Relational fan-in degree", "count"), "rel_fan_out": ("Relational fan-out degree", "count"),
-    "rel_change_value_ratio": ("Change value ratio", "ratio"), "hist_component_size": ("Connected component size", "nodes"),
-    "hist_address_reuse_ratio": ("Address reuse ratio", "ratio"), "hist_cluster_size": ("Entity cluster size", "addresses"),
+    "tx_input_count": ("Input count", "count"),
+    "tx_output_count": ("Output count", "count"),
+    "tx_input_output_ratio": ("Input/output ratio", "ratio"),
+    "tx_total_input_sats": ("Total input value", "sats"),
+    "tx_total_output_sats": ("Total output value", "sats"),
+    "tx_fee_sats": ("Transaction fee", "sats"),
+    "tx_size_bytes": ("Transaction size", "bytes"),
+    "tx_fee_rate_sat_per_byte": ("Fee rate", "sat/byte"),
+    "tx_value_balance_ratio": ("Value balance ratio", "ratio"),
+    "tx_avg_input_value_sats": ("Average input value", "sats"),
+    "tx_max_input_value_sats": ("Max input value", "sats"),
+    "tx_avg_output_value_sats": ("Average output value", "sats"),
+    "tx_max_output_value_sats": ("Max output value", "sats"),
+    "tx_log_total_value": ("Log total value", "log_sats"),
+    "tx_log_fee": ("Log fee", "log_sats"),
+    "addr_hist_tx_count": ("Historical address transaction count", "count"),
+    "addr_hist_total_sent_sats": ("Total sent by address", "sats"),
+    "addr_hist_total_received_sats": ("Total received by address", "sats"),
+    "addr_hist_avg_tx_val_sats": ("Average transaction value for address", "sats"),
+    "addr_hist_unique_counterparties": ("Unique counterparties", "count"),
+    "addr_hist_active_days": ("Active days for address", "days"),
+    "addr_hist_tx_per_day": ("Transaction velocity", "tx/day"),
+    "addr_reuse_count": ("Address reuse count", "count"),
+    "time_hour_of_day": ("Hour of day", "hour"),
+    "time_day_of_week": ("Day of week", "day"),
+    "time_since_prev_global_tx_sec": ("Time since previous global tx", "sec"),
+    "time_txs_last_1m": ("Transactions in last 1 minute", "count"),
+    "time_txs_last_5m": ("Transactions in last 5 minutes", "count"),
+    "time_txs_last_1h": ("Transactions in last 1 hour", "count"),
+    "time_since_prev_addr_tx_sec": ("Time since previous address tx", "sec"),
+    "net_src_port": ("Network source port", "port"),
+    "net_dst_port": ("Network destination port", "port"),
+    "net_is_standard_bitcoin_port": ("Standard Bitcoin peer port flag", "bool"),
+    "net_hist_unique_ips_for_addr": ("Historical unique IPs for address", "count"),
+    "rel_fan_in": ("Relational fan-in degree", "count"),
+    "rel_fan_out": ("Relational fan-out degree", "count"),
+    "rel_has_change_output": ("Has change output", "bool"),
+    "rel_change_value_ratio": ("Change value ratio", "ratio"),
+    "hist_in_mean_neighbor_degree": ("Mean incoming neighbor degree", "degree"),
+    "hist_out_mean_neighbor_degree": ("Mean outgoing neighbor degree", "degree"),
+    "hist_component_size": ("Connected component size", "nodes"),
+    "hist_address_reuse_ratio": ("Address reuse ratio", "ratio"),
+    "hist_cluster_size": ("Entity cluster size", "addresses"),
     "hist_cluster_tx_count": ("Entity cluster transaction count", "count"),
-    "time_txs_last_1m": ("Transactions in last 1 minute", "count"), "time_txs_last_5m": ("Transactions in last 5 minutes", "count"),
-    "time_txs_last_1h": ("Transactions in last 1 hour", "count"), "net_src_port": ("Network source port", "port"),
-    "net_dst_port": ("Network destination port", "port"), "net_country": ("Network peer country code", "country"),
+    "net_country": ("Network peer country code", "country"),
     "net_asn": ("Autonomous system number", "ASN"),
 }
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from ledgerscope.operators import clean, ingest, quality
 from ledgerscope.plans.bench import Bench, TX
 from ledgerscope.plans.oracles import shared
 from ledgerscope.plans.registry import query
+from ledgerscope.session import shared_folder
 from ledgerscope.sources import readers, sinks
 
 text = lambda c: c.cast("string")
@@ -109,13 +112,25 @@ def s07(b):
     return sinks.table_counts(readers.read_dataset({n: b.tables[n] for n in names}, "bench"))
 
 
-@query("s09_parquet_sink", "SELECT transaction_id, timestamp, fee_satoshi FROM c_tx")
-def s09(b):
-    from ledgerscope.session import shared_folder
-    folder = f"{shared_folder(b.spark)}/sink-{abs(hash(b.folder))}"
+def _two_datasets(b, label: str) -> str:
+    """Two datasets written one after the other into the same folder, the second with fees raised by one."""
+    folder = f"{shared_folder(b.spark)}/{label}-{uuid.uuid4().hex}"
+    other = b.tx.withColumn("dataset_id", F.lit("other")).withColumn("fee_satoshi", F.col("fee_satoshi") + 1)
     sinks.write_tables({"transactions": b.tx, "network_events": b.net}, folder, sort_by={"transactions": [TX]})
-    return b.spark.read.parquet(f"{folder}/transactions.parquet").where(F.col("dataset_id") == "bench").select(
-        TX, "timestamp", "fee_satoshi")
+    sinks.write_tables({"transactions": other}, folder, sort_by={"transactions": [TX]})
+    return folder
+
+
+@query("s09_parquet_sink", """SELECT 'bench' AS dataset_id, transaction_id, timestamp, fee_satoshi FROM c_tx
+ UNION ALL SELECT 'other', transaction_id, timestamp, fee_satoshi + 1 FROM c_tx""")
+def s09(b):
+    return b.spark.read.parquet(f"{_two_datasets(b, 'sink')}/transactions.parquet").select("dataset_id", TX, "timestamp", "fee_satoshi")
+
+
+@query("s11_artifact_folder", "SELECT 'transactions' AS table_name, 2 * count(*) AS n_rows FROM c_tx UNION ALL SELECT 'network_events', count(*) FROM c_net")
+def s11(b):
+    folder = _two_datasets(b, "artifacts")
+    return sinks.table_counts({n: b.spark.read.parquet(f"{folder}/{n}.parquet") for n in ("transactions", "network_events")})
 
 
 @query("s13_upsert", """SELECT transaction_id, CASE WHEN k % 3 = 0 THEN fee_satoshi + 1 ELSE fee_satoshi END AS fee_satoshi FROM c_tx""")
@@ -134,10 +149,22 @@ def s14(b):
     return sinks.replace_by_key(old, new, ["analysis_id", "entity_id"])
 
 
-@query("s15_dataset_delete", "SELECT 'transactions' AS table_name, 0 AS n_rows UNION ALL SELECT 'network_events', 0")
+@query("s15_dataset_delete", "SELECT 'transactions' AS table_name, 'bench' AS dataset_id, count(*) AS n_rows, sum(fee_satoshi) AS fees FROM c_tx")
 def s15(b):
-    left = sinks.delete_dataset({"transactions": b.tx, "network_events": b.net}, "bench")
-    return sinks.table_counts(left)
+    """Of two stored datasets one is dropped; the other must be whole."""
+    folder = _two_datasets(b, "drop")
+    sinks.drop_dataset(b.spark, folder, ["transactions", "network_events"], "other")
+    left = b.spark.read.parquet(f"{folder}/transactions.parquet")
+    return left.groupBy(F.lit("transactions").alias("table_name"), "dataset_id").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum("fee_satoshi").alias("fees"))
+
+
+@query("s16_load_all_or_nothing", "SELECT 'transactions' AS table_name, 2 * count(*) AS n_rows FROM c_tx UNION ALL SELECT 'network_events', count(*) FROM c_net")
+def s16_load(b):
+    """The load itself, run twice onto the same target."""
+    folder, target = _two_datasets(b, "load"), f"{shared_folder(b.spark)}/loaded-{uuid.uuid4().hex}"
+    sinks.load_all_or_nothing(b.spark, folder, target, ["transactions", "network_events"])
+    return sinks.load_all_or_nothing(b.spark, folder, target, ["transactions", "network_events"])
 
 
 @query("s16_load_counts_and_labels", """SELECT 'transactions' AS entity, 'rows' AS metric, count(*) AS n FROM c_tx UNION ALL

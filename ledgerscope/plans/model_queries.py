@@ -221,7 +221,9 @@ def class_distributions(b: Bench):
 _LIN = {"tx_fee_sats": 0.001, "rel_fan_out": -0.5, "tx_input_count": 2.0, "rel_has_change_output": -1.25}
 _MEAN = {"tx_fee_sats": 5500.0, "rel_fan_out": 4.0, "tx_input_count": 1.25, "rel_has_change_output": 0.5}
 shared("x_con", "SELECT transaction_id, " + ", ".join(f"({c} - {_MEAN[c]}::DOUBLE) * {w}::DOUBLE AS c_{c}, {c}::DOUBLE AS v_{c}" for c, w in _LIN.items()) + " FROM f_all")
-shared("x_long", " UNION ALL ".join(f"SELECT transaction_id, '{c}' AS feature_name, c_{c} AS contribution, v_{c} AS feature_value, '{s.display_name(c)[0]}' AS display_label FROM x_con" for c in _LIN))
+# written out once more, not taken from the operator, so that a wrong label shows
+_LABELS = {"tx_fee_sats": "Transaction fee", "rel_fan_out": "Relational fan-out degree", "tx_input_count": "Input count", "rel_has_change_output": "Has change output"}
+shared("x_long", " UNION ALL ".join(f"SELECT transaction_id, '{c}' AS feature_name, c_{c} AS contribution, v_{c} AS feature_value, '{_LABELS[c]}' AS display_label FROM x_con" for c in _LIN))
 
 
 def _contributions():
@@ -238,6 +240,61 @@ def explanations(b: Bench):
     return _round(s.explain_rows(b.features, names, _contributions(), values, 3).drop("feature_unit"), 9, ("contribution", "feature_value"))
 
 
+@query("m18_feature_labels", """SELECT feature_name, display_label, feature_unit, (SELECT count(*) FROM c_tx) AS n_rows FROM (VALUES
+ ('tx_input_count', 'Input count', 'count'),
+ ('tx_output_count', 'Output count', 'count'),
+ ('tx_input_output_ratio', 'Input/output ratio', 'ratio'),
+ ('tx_total_input_sats', 'Total input value', 'sats'),
+ ('tx_total_output_sats', 'Total output value', 'sats'),
+ ('tx_fee_sats', 'Transaction fee', 'sats'),
+ ('tx_size_bytes', 'Transaction size', 'bytes'),
+ ('tx_fee_rate_sat_per_byte', 'Fee rate', 'sat/byte'),
+ ('tx_value_balance_ratio', 'Value balance ratio', 'ratio'),
+ ('tx_avg_input_value_sats', 'Average input value', 'sats'),
+ ('tx_max_input_value_sats', 'Max input value', 'sats'),
+ ('tx_avg_output_value_sats', 'Average output value', 'sats'),
+ ('tx_max_output_value_sats', 'Max output value', 'sats'),
+ ('tx_log_total_value', 'Log total value', 'log_sats'),
+ ('tx_log_fee', 'Log fee', 'log_sats'),
+ ('addr_hist_tx_count', 'Historical address transaction count', 'count'),
+ ('addr_hist_total_sent_sats', 'Total sent by address', 'sats'),
+ ('addr_hist_total_received_sats', 'Total received by address', 'sats'),
+ ('addr_hist_avg_tx_val_sats', 'Average transaction value for address', 'sats'),
+ ('addr_hist_unique_counterparties', 'Unique counterparties', 'count'),
+ ('addr_hist_active_days', 'Active days for address', 'days'),
+ ('addr_hist_tx_per_day', 'Transaction velocity', 'tx/day'),
+ ('addr_reuse_count', 'Address reuse count', 'count'),
+ ('time_hour_of_day', 'Hour of day', 'hour'),
+ ('time_day_of_week', 'Day of week', 'day'),
+ ('time_since_prev_global_tx_sec', 'Time since previous global tx', 'sec'),
+ ('time_txs_last_1m', 'Transactions in last 1 minute', 'count'),
+ ('time_txs_last_5m', 'Transactions in last 5 minutes', 'count'),
+ ('time_txs_last_1h', 'Transactions in last 1 hour', 'count'),
+ ('time_since_prev_addr_tx_sec', 'Time since previous address tx', 'sec'),
+ ('net_src_port', 'Network source port', 'port'),
+ ('net_dst_port', 'Network destination port', 'port'),
+ ('net_is_standard_bitcoin_port', 'Standard Bitcoin peer port flag', 'bool'),
+ ('net_hist_unique_ips_for_addr', 'Historical unique IPs for address', 'count'),
+ ('rel_fan_in', 'Relational fan-in degree', 'count'),
+ ('rel_fan_out', 'Relational fan-out degree', 'count'),
+ ('rel_has_change_output', 'Has change output', 'bool'),
+ ('rel_change_value_ratio', 'Change value ratio', 'ratio'),
+ ('hist_in_mean_neighbor_degree', 'Mean incoming neighbor degree', 'degree'),
+ ('hist_out_mean_neighbor_degree', 'Mean outgoing neighbor degree', 'degree'),
+ ('hist_component_size', 'Connected component size', 'nodes'),
+ ('hist_address_reuse_ratio', 'Address reuse ratio', 'ratio'),
+ ('hist_cluster_size', 'Entity cluster size', 'addresses'),
+ ('hist_cluster_tx_count', 'Entity cluster transaction count', 'count'),
+ ('net_country', 'Network peer country code', 'country'),
+ ('net_asn', 'Autonomous system number', 'ASN')) v(feature_name, display_label, feature_unit)""")
+def labels(b: Bench):
+    """Label and unit of every feature as explanations show them, counted over all rows explained."""
+    names = s.MODEL_FEATURES
+    zero = F.array(*[F.lit(0.0) for _ in names])
+    rows = s.explain_rows(b.tx.select(TX), names, zero, zero, len(names))
+    return rows.groupBy("feature_name", "display_label", "feature_unit").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
 @query("m19_linear_contributions", "SELECT transaction_id, " + ", ".join(f"c_{c}" for c in _LIN) + " FROM x_con")
 def linear(b: Bench):
     return b.features.select(TX, _contributions().alias("a")).select(TX, *[F.col("a")[i].alias(f"c_{c}") for i, c in enumerate(_LIN)])

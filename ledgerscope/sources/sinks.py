@@ -13,12 +13,18 @@ from ledgerscope.sources.readers import path_exists
 
 def write_tables(frames: dict[str, DataFrame], folder: str, partition_by: Sequence[str] = ("dataset_id",),
                  sort_by: dict[str, Sequence[str]] | None = None) -> None:
-    """One Parquet file set per table. ``sort_by`` sorts inside tasks so min/max statistics skip row groups."""
+    """One Parquet file set per table. ``sort_by`` sorts inside tasks so min/max statistics skip row groups.
+
+    Only the partitions that the frames have rows for are replaced, so other datasets in the folder stay.
+    """
     for name, df in frames.items():
         parts = [c for c in partition_by if c in df.columns]
         keys = (sort_by or {}).get(name)
         out = df.sortWithinPartitions(*parts, *keys) if keys else df
-        out.write.mode("overwrite").partitionBy(*parts).parquet(f"{folder.rstrip('/')}/{name}.parquet")
+        writer = out.write.mode("overwrite").partitionBy(*parts)
+        if parts:
+            writer = writer.option("partitionOverwriteMode", "dynamic")
+        writer.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
 def register_tables(frames: dict[str, DataFrame], database: str | None = None,
@@ -58,31 +64,54 @@ def replace_by_key(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataF
     return kept.unionByName(new)
 
 
+def _file_system(spark: SparkSession, path: str) -> tuple:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def _publish(spark: SparkSession, staging: str, path: str) -> None:
+    """Put ``staging`` in the place of ``path``. The old folder is set aside first and comes back if the new one can't take its place."""
+    fs, target = _file_system(spark, path)
+    source = _file_system(spark, staging)[1]
+    retired = _file_system(spark, f"{path.rstrip('/')}.retired-{uuid.uuid4().hex}")[1]
+    had = fs.exists(target)
+    if had and not fs.rename(target, retired):
+        raise IOError(f"could not set {path} aside")
+    if not fs.rename(source, target):
+        if had:
+            fs.rename(retired, target)
+        raise IOError(f"could not publish {path}")
+    if had:
+        fs.delete(retired, True)
+
+
 def overwrite_through_staging(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
     """Replace the files of ``path`` by ``df``, which may itself read ``path``: write beside, then rename."""
-    spark = df.sparkSession
     staging = f"{path.rstrip('/')}.staging-{uuid.uuid4().hex}"
     df.write.mode("overwrite").partitionBy(*partition_by).parquet(staging)
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    source, target = jvm.org.apache.hadoop.fs.Path(staging), jvm.org.apache.hadoop.fs.Path(path)
-    fs = target.getFileSystem(conf)
-    retired = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}.retired-{uuid.uuid4().hex}")
-    if fs.exists(target):
-        fs.rename(target, retired)
-    if not fs.rename(source, target):
-        raise IOError(f"could not publish {path}")
-    if fs.exists(retired):
-        fs.delete(retired, True)
+    _publish(df.sparkSession, staging, path)
+
+
+def _refuse_running(dataset_id: str, runs: DataFrame | None) -> None:
+    if runs is not None and not runs.where((F.col("dataset_id") == dataset_id) & (F.col("status") == "running")).isEmpty():
+        raise RuntimeError(f"dataset {dataset_id} has a running analysis")
+
+
+def drop_dataset(spark: SparkSession, folder: str, names: Sequence[str], dataset_id: str, runs: DataFrame | None = None) -> int:
+    """Drop one dataset's partition of every stored table; nothing else is read or written. Returns how many there were."""
+    _refuse_running(dataset_id, runs)
+    part = spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(dataset_id)
+    dropped = 0
+    for name in names:
+        fs, target = _file_system(spark, f"{folder.rstrip('/')}/{name}.parquet/dataset_id={part}")
+        dropped += bool(fs.exists(target) and fs.delete(target, True))
+    return dropped
 
 
 def delete_dataset(frames: dict[str, DataFrame], dataset_id: str,
                    runs: DataFrame | None = None) -> dict[str, DataFrame]:
-    """All tables without one dataset; refused while one of its runs is still running."""
-    if runs is not None:
-        busy = runs.where((F.col("dataset_id") == dataset_id) & (F.col("status") == "running"))
-        if not busy.isEmpty():
-            raise RuntimeError(f"dataset {dataset_id} has a running analysis")
+    """All tables without one dataset; refused while one of its runs is still running. For stored tables see ``drop_dataset``."""
+    _refuse_running(dataset_id, runs)
     return {name: df.where(~F.col("dataset_id").eqNullSafe(dataset_id)) if "dataset_id" in df.columns else df
             for name, df in frames.items()}
 
@@ -96,12 +125,7 @@ def load_all_or_nothing(spark: SparkSession, source: str, target: str, required:
     for t in required:
         spark.read.parquet(f"{source.rstrip('/')}/{t}.parquet").write.mode("overwrite").parquet(
             f"{staging}/{t}.parquet")
-    jvm = spark.sparkContext._jvm
-    final = jvm.org.apache.hadoop.fs.Path(target)
-    fs = final.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if fs.exists(final):
-        fs.delete(final, True)
-    fs.rename(jvm.org.apache.hadoop.fs.Path(staging), final)
+    _publish(spark, staging, target)
     return table_counts({t: spark.read.parquet(f"{target.rstrip('/')}/{t}.parquet") for t in required})
 
 
