@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerscope.functions.ordering import prefix_totals, time_levels
-from ledgerscope.session import pin
+from ledgerscope.session import pin, release
 
 
 def _fingerprint(edges: DataFrame) -> tuple:
@@ -19,7 +19,7 @@ def _fingerprint(edges: DataFrame) -> tuple:
     return tuple(row)
 
 
-def component_labels(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def component_labels(edges: DataFrame) -> DataFrame:
     """``(node, component)`` for every node of ``edges(u, v)``; a component is named by its smallest node.
 
     Alternating large-star and small-star rounds (Kiveris et al., 2014): a number of rounds
@@ -30,7 +30,7 @@ def component_labels(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     nodes = pairs.select("u").union(pairs.select("v")).distinct()
     current = pin(pairs.where(F.col("u") != F.col("v")), "cc")
     before = None
-    for _ in range(max_rounds):
+    while True:
         both = current.union(current.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -38,13 +38,12 @@ def component_labels(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         hop = small.where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        current = pin(hop.union(least.select("u", F.col("m").alias("v"))).distinct(), "cc")
+        last, current = current, pin(hop.union(least.select("u", F.col("m").alias("v"))).distinct(), "cc")
+        release(last)
         now = _fingerprint(current)
         if now == before:
             break
         before = now
-    else:
-        raise RuntimeError("component search did not converge")
     return nodes.join(current, "u", "left").select(F.col("u").alias("node"), F.coalesce("v", "u").alias("component"))
 
 
@@ -127,8 +126,8 @@ def component_history(members: DataFrame, slice_rows: int = 500_000) -> DataFram
         half = F.shiftright("slice", level)
         tagged = state.withColumn("_range", F.shiftright("slice", level + 1)).withColumn("_right", half % 2 == 1)
         left = tagged.where(~F.col("_right"))
-        key = lambda c: F.concat_ws("|", F.lpad(F.col("_range").cast("string"), 8, "0"), c)
-        stars = star_edges(left.select(F.concat_ws("|", F.lpad(F.col("_range").cast("string"), 8, "0"), "tx").alias("g"),
+        key = lambda c: F.concat_ws("|", F.col("_range").cast("string"), c)
+        stars = star_edges(left.select(F.concat_ws("|", F.col("_range").cast("string"), "tx").alias("g"),
                                        key(F.col("label")).alias("k")), "g", "k")
         labels = component_labels(stars)
         weights = left.groupBy("_range", "label").agg(F.first("size").alias("size"), F.first("txs").alias("txs"))

@@ -267,7 +267,7 @@ def attributed_risk(addresses: DataFrame, inputs: DataFrame, outputs: DataFrame,
         F.coalesce("own_level", X.level_from_rank("tx_rank")).alias("risk_level"))
 
 
-def riskiest_nodes(risky: DataFrame, max_nodes: int = 500, min_risk: float | None = None) -> DataFrame:
+def riskiest_nodes(risky: DataFrame, max_nodes: int, min_risk: float | None = None) -> DataFrame:
     """The nodes of an exported graph: highest risk first, ties by address."""
     df = risky if min_risk is None else risky.where(F.col("risk_score") >= min_risk)
     return df.orderBy(F.desc_nulls_last("risk_score"), "address_id").limit(max_nodes)
@@ -280,14 +280,16 @@ def address_neighbourhood(inputs: DataFrame, outputs: DataFrame, centre: str, ho
     """Addresses within ``hops`` payments of ``centre`` in either direction, with their distance.
 
     The frontier is a frame; every hop is two semi joins per direction and an anti join with what was
-    seen. ``page`` limits the display to the nearest nodes; the search itself is complete.
+    seen. ``page`` limits the display to the nearest nodes; the search itself is complete, for any number of hops.
     """
+    if hops < 1:
+        raise ValueError("hops must be positive")
     spark = inputs.sparkSession
     ins = inputs.where(F.col("input_address").isNotNull()).select(TX, F.col("input_address").alias("address"))
     outs = outputs.where(F.col("output_address").isNotNull()).select(TX, F.col("output_address").alias("address"))
     seen = spark.createDataFrame([(centre, 0)], "address string, hop int")
     frontier = seen
-    for hop in range(1, min(max(1, hops), 3) + 1):
+    for hop in range(1, hops + 1):
         at = frontier.select("address")
         forward = outs.join(ins.join(at, "address", "left_semi").select(TX), TX, "left_semi")
         backward = ins.join(outs.join(at, "address", "left_semi").select(TX), TX, "left_semi")
@@ -322,12 +324,14 @@ def incidence(inputs: DataFrame, outputs: DataFrame) -> DataFrame:
 
 
 def bipartite_neighbourhood(inputs: DataFrame, outputs: DataFrame, centre: str, kind: str, depth: int = 2) -> DataFrame:
-    """Alternate transactions and addresses around a transaction or an address, up to three steps."""
+    """Alternate transactions and addresses around a transaction or an address, for any number of steps."""
+    if depth < 1:
+        raise ValueError("depth must be positive")
     spark = inputs.sparkSession
     links = incidence(inputs, outputs)
     start = spark.createDataFrame([(kind, centre, 0)], "kind string, id string, step int")
     seen, frontier, at = start, start, kind
-    for step in range(1, min(max(1, depth), 3) + 1):
+    for step in range(1, depth + 1):
         other = "address" if at == "transaction" else "transaction"
         here, there = (TX, "address") if at == "transaction" else ("address", TX)
         reached = links.join(frontier.select(F.col("id").alias(here)), here, "left_semi").select(
@@ -410,13 +414,11 @@ def resolve_entity(transactions: DataFrame, addresses: DataFrame, entity_id: str
 
 def require_entity(found: DataFrame, entity_id: str, dataset_id: str | None = None) -> tuple[str, str]:
     """The type and dataset of an identifier; raise when unknown or in another dataset."""
-    rows = found.limit(20).collect()
-    if not rows:
-        raise LookupError(f"entity {entity_id} not found")
-    inside = [r for r in rows if dataset_id is None or r["dataset_id"] == dataset_id]
-    if not inside:
-        raise LookupError(f"entity {entity_id} belongs to another dataset")
-    return inside[0]["entity_type"], inside[0]["dataset_id"]
+    inside = found if dataset_id is None else found.where(F.col("dataset_id") == dataset_id)
+    row = inside.orderBy("priority", "dataset_id").first()
+    if row:
+        return row["entity_type"], row["dataset_id"]
+    raise LookupError(f"entity {entity_id} not found" if found.isEmpty() else f"entity {entity_id} belongs to another dataset")
 
 
 def validated_export(nodes: DataFrame, edge_rows: DataFrame, suspicious_above: int = X.SAT_PER_BTC) -> tuple[DataFrame, DataFrame]:

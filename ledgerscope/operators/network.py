@@ -38,8 +38,8 @@ def endpoints(events: DataFrame) -> DataFrame:
         F.max("n").alias("dataset_asn"))
 
 
-def flows(events: DataFrame, top: int | None = 500) -> DataFrame:
-    """Directed flows between different IPs, the busiest first."""
+def flows(events: DataFrame, top: int | None = None) -> DataFrame:
+    """Directed flows between different IPs; with ``top`` only the busiest, for display."""
     per_tx = events.where((F.trim("src_ip") != "") & (F.trim("dst_ip") != "") & (F.col("src_ip") != F.col("dst_ip"))
                           ).groupBy("src_ip", "dst_ip", TX).agg(F.count(F.lit(1)).alias("n"))
     out = per_tx.groupBy("src_ip", "dst_ip").agg(F.sum("n").alias("event_count"), F.count(TX).alias("transaction_count"))
@@ -205,8 +205,8 @@ def country_rollup(points: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("ip_count"), F.sum("event_count").alias("event_count"))
 
 
-def peers(flow_rows: DataFrame, points: DataFrame, ip: str | None = None, top: int = 35) -> DataFrame:
-    """Flows of one IP in both directions with both ends mapped, else the busiest mapped flows."""
+def peers(flow_rows: DataFrame, points: DataFrame, ip: str | None = None, top: int | None = None) -> DataFrame:
+    """Flows of one IP in both directions with both ends mapped, else the ``top`` busiest mapped flows."""
     mapped = points.where("is_mapped").select("ip")
     both = flow_rows.join(mapped.withColumnRenamed("ip", "src_ip"), "src_ip", "left_semi").join(
         mapped.withColumnRenamed("ip", "dst_ip"), "dst_ip", "left_semi")

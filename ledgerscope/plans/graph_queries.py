@@ -121,7 +121,7 @@ def riskiest(b: Bench):
 
 
 def _focus(b: Bench):
-    return b.stored("focus", lambda: g.riskiest_nodes(g.attributed_risk(b.addresses, b.ins, b.outs, b.run())).select(
+    return b.stored("focus", lambda: g.riskiest_nodes(g.attributed_risk(b.addresses, b.ins, b.outs, b.run()), 500).select(
         "address_id", "risk_score", "risk_level"))
 
 
@@ -164,6 +164,16 @@ def neighbourhood(b: Bench):
     return g.address_neighbourhood(b.ins, b.outs, CENTRE, 2)
 
 
+for _n in (3, 4, 5):
+    shared(f"n_h{_n}", f"SELECT DISTINCT y AS address, {_n} AS hop FROM n_adj WHERE x IN (SELECT address FROM n_h{_n - 1}) AND "
+           + " AND ".join(f"y NOT IN (SELECT address FROM n_h{k})" for k in range(_n)))
+
+
+@query("g23_five_hops", " UNION ALL ".join(f"SELECT * FROM n_h{k}" for k in range(6)))
+def five_hops(b: Bench):
+    return g.address_neighbourhood(b.ins, b.outs, CENTRE, 5)
+
+
 @query("g24_node_details", """SELECT address, hop, CASE WHEN length(address) > 12 THEN left(address, 8) || '...' || right(address, 4) ELSE address END AS label,
  transaction_count, CAST(total_received_satoshi::DECIMAL(28, 0) / 100000000 AS DECIMAL(28, 8))::VARCHAR AS total_received_btc, CAST(total_sent_satoshi / 100000000::DECIMAL(28, 8) AS DECIMAL(28, 8))::VARCHAR AS total_sent_btc,
  first_seen_timestamp, last_seen_timestamp, greatest(1, (CAST(epoch(last_seen_timestamp) AS BIGINT) - CAST(epoch(first_seen_timestamp) AS BIGINT)) // 86400 + 1) AS active_days,
@@ -195,6 +205,15 @@ def resolve(b: Bench):
     return g.resolve_entity(b.tx, b.addresses.withColumn("dataset_id", F.lit("bench")), CENTRE)
 
 
+@query("g26_required_among_many", """SELECT 'transaction' AS entity_type, 'ds23' AS dataset_id, min(transaction_id) AS entity_id FROM c_tx""")
+def required(b: Bench):
+    """An identifier that 25 datasets know, asked for in one of them."""
+    entity = b.tx.agg(F.min(TX)).first()[0]
+    many = b.tx.select(TX, F.explode(F.array(*[F.lit(f"ds{i:02d}") for i in range(25)])).alias("dataset_id"))
+    found = g.resolve_entity(many, b.addresses.withColumn("dataset_id", F.lit("ds00")), entity)
+    return b.spark.createDataFrame([(*g.require_entity(found, entity, "ds23"), entity)], "entity_type string, dataset_id string, entity_id string")
+
+
 shared("b_edge", """SELECT a AS address, transaction_id, CAST(sum(v) AS BIGINT) AS value_satoshi, count(*) AS n_rows, e AS edge_type FROM (
  SELECT transaction_id, input_address AS a, input_value_satoshi AS v, 'INPUT_TO' AS e FROM c_in UNION ALL
  SELECT transaction_id, output_address, output_value_satoshi, 'OUTPUT_TO' FROM c_out) WHERE transaction_id IN (SELECT id FROM b_sub WHERE kind = 'transaction')

@@ -166,7 +166,7 @@ def endpoints(b: Bench):
 
 @query("w02_flows", "SELECT * FROM w_flow ORDER BY event_count DESC, src_ip, dst_ip LIMIT 500")
 def flows(b: Bench):
-    return net.flows(b.net)
+    return net.flows(b.net, 500)
 
 
 def ip_ranges(b: Bench):
@@ -298,10 +298,19 @@ def country_rollup(b: Bench):
     return net.country_rollup(_points(b))
 
 
-@query("w12_peers", """SELECT src_ip, dst_ip, event_count, transaction_count FROM (SELECT * FROM w_flow ORDER BY event_count DESC, src_ip, dst_ip LIMIT 500) WHERE src_ip IN (SELECT ip FROM w_pt WHERE is_mapped)
+@query("w12_peers", """SELECT src_ip, dst_ip, event_count, transaction_count FROM w_flow WHERE src_ip IN (SELECT ip FROM w_pt WHERE is_mapped)
  AND dst_ip IN (SELECT ip FROM w_pt WHERE is_mapped) ORDER BY event_count DESC, src_ip, dst_ip LIMIT 35""")
 def peers(b: Bench):
-    return net.peers(net.flows(b.net), _points(b))
+    return net.peers(net.flows(b.net), _points(b), top=35)
+
+
+@query("w12_peers_of_one", """SELECT src_ip, dst_ip, event_count, transaction_count, CASE WHEN src_ip = m.ip THEN 'outgoing' ELSE 'incoming' END AS direction
+ FROM w_flow, (SELECT min(ip) AS ip FROM w_pt WHERE is_mapped) m WHERE src_ip IN (SELECT ip FROM w_pt WHERE is_mapped)
+ AND dst_ip IN (SELECT ip FROM w_pt WHERE is_mapped) AND (src_ip = m.ip OR dst_ip = m.ip)""")
+def peers_of_one(b: Bench):
+    """Both directions of one chosen IP, out of all flows."""
+    points = _points(b)
+    return net.peers(net.flows(b.net), points, points.where("is_mapped").agg(F.min("ip")).first()[0])
 
 
 # ---- alerts -------------------------------------------------------------------------------------

@@ -124,7 +124,7 @@ def test_communities_of_two_cliques(spark):
     import itertools
     edges = list(itertools.combinations("abcd", 2)) + list(itertools.combinations("wxyz", 2)) + [("a", "w")]
     df = spark.createDataFrame(edges, "u string, v string")
-    found = centrality.communities(df, levels=2)
+    found = centrality.communities(df)
     groups = {r["node"]: r["community"] for r in found.collect()}
     assert len({groups[x] for x in "abcd"}) == 1 and len({groups[x] for x in "wxyz"}) == 1 and groups["a"] != groups["w"]
     assert centrality.community_summary(df, found).first()["modularity"] == pytest.approx(12 / 13 - 2 * (13 / 26) ** 2)
