@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -148,72 +149,84 @@ class Rounds:
             self.answers[round_][bucket] = (smaller, other)
 
     def ask(self, round_: int) -> Question:
-        return (self.grams, self.sides, self.wanted, self.strings)[round_]()
+        return (lambda: self.grams, lambda: self.sides, lambda: self.wanted, lambda: self.strings)[round_]()
 
+    @cached_property
+    def runs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Where runs of neighbouring strings with one anchor rank and document begin, and the run of each string."""
+        keys, docs = self.batch.anchors[0], self.batch.doc[self.batch.starts]
+        first = np.concatenate([[True], (keys[1:] != keys[:-1]) | (docs[1:] != docs[:-1])]) if len(keys) else np.zeros(0, bool)
+        return np.flatnonzero(first), np.cumsum(first) - 1
+
+    @cached_property
+    def run_keys(self) -> np.ndarray:
+        return self.batch.anchors[0][self.runs[0]]
+
+    @cached_property
+    def run_ids(self) -> np.ndarray:
+        return self.batch.id_of(self.batch.starts[self.runs[0]])
+
+    @cached_property
     def grams(self) -> Question:
-        keys, places = self.batch.anchors
-        ids = self.batch.id_of(self.batch.starts)
-        first = np.concatenate([[True], (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])]) if len(keys) else np.zeros(0, bool)
-        return Question(keys[first], ids[first], None, self.buckets)
-
-    def _shared(self) -> tuple[np.ndarray, np.ndarray]:
-        """Per string: whether an earlier, and whether any other document has its anchor."""
-        q = self.grams()
-        smaller, other = q.answered(self.answers[0])
-        keys, ids = self.batch.anchors[0], self.batch.id_of(self.batch.starts)
-        return q.earlier(keys, ids, smaller), q.looked_up(keys, other)
-
-    def _side_entries(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return Question(self.run_keys, self.run_ids, None, self.buckets)
+
+    @cached_property
+    def shared(self) -> tuple[np.ndarray, np.ndarray]:
+        """Per run: whether an earlier, and whether any other document has its anchor."""
+        smaller, other = self.grams.answered(self.answers[0])
+        return self.grams.earlier(self.run_keys, self.run_ids, smaller), self.grams.looked_up(self.run_keys, other)
+
+    @cached_property
+    def side_entries(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Starts of the 50-byte strings right and left of shared anchors, within their documents."""
-        _, other = self._shared()
-        places = np.unique(self.batch.anchors[1][other])
+        some = self.batch.anchors[1][self.shared[1][self.runs[1]]]
+        places = np.unique(some[np.concatenate([[True], some[1:] != some[:-1]])]) if len(some) else some
         ends = self.batch.ends[self.batch.doc[places]]
         begins = ends - self.batch.sizes[self.batch.doc[places]]
         right, left = places[places + LENGTH <= ends], places[places - (LENGTH - GRAM) >= begins] - (LENGTH - GRAM)
         at = np.unique(np.concatenate([right, left]))
         return at, self.batch.hashes(at, LENGTH), self.batch.id_of(at)
 
+    @cached_property
     def sides(self) -> Question:
-        _, keys, ids = self._side_entries()
-        return Question(keys, ids, None, self.buckets)
+        return Question(*self.side_entries[1:], None, self.buckets)
 
     def _covered(self, at: np.ndarray) -> np.ndarray:
         """Bytes that lie in a string that starts at one of ``at``."""
-        steps = np.zeros(len(self.batch.text) + 1, np.int32)
-        np.add.at(steps, at, 1)
-        np.add.at(steps, at + LENGTH, -1)
+        n = len(self.batch.text) + 1
+        steps = np.bincount(at, minlength=n) - np.bincount(at + LENGTH, minlength=n)
         return np.cumsum(steps[:-1]) > 0
 
-    def _settled(self) -> np.ndarray:
-        at, keys, ids = self._side_entries()
-        q = Question(keys, ids, None, self.buckets)
-        return at[q.earlier(keys, ids, q.answered(self.answers[1])[0])]
+    @cached_property
+    def settled(self) -> np.ndarray:
+        at, keys, ids = self.side_entries
+        return at[self.sides.earlier(keys, ids, self.sides.answered(self.answers[1])[0])]
 
+    @cached_property
     def wanted(self) -> Question:
-        earlier, other = self._shared()
-        sums = np.concatenate([[0], np.cumsum(self._covered(self._settled()))])
-        open_ = earlier & (sums[self.batch.starts + LENGTH] - sums[self.batch.starts] < LENGTH)
-        keys = self.batch.anchors[0]
-        return Question(keys[other], np.zeros(int(other.sum()), np.int64), open_[other], self.buckets)
-
-    def _string_entries(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        q, (_, other) = self.wanted(), self._shared()
-        asked = q.answered(self.answers[2])[1]
-        keys = self.batch.anchors[0]
+        earlier, other = self.shared
+        begins, run = self.runs
+        sums = np.concatenate([[0], np.cumsum(self._covered(self.settled))])
+        bare = sums[self.batch.starts + LENGTH] - sums[self.batch.starts] < LENGTH
+        open_ = earlier & np.logical_or.reduceat(bare, begins) if len(begins) else earlier
+        return Question(self.run_keys[other], np.zeros(int(other.sum()), np.int64), open_[other], self.buckets)
+
+    @cached_property
+    def string_entries(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        asked, other = self.wanted.answered(self.answers[2])[1], self.shared[1]
         some = other.copy()
-        some[other] = q.looked_up(keys[other], asked)
-        at = self.batch.starts[some]
+        some[other] = self.wanted.looked_up(self.run_keys[other], asked)
+        at = self.batch.starts[some[self.runs[1]]]
         return at, self.batch.hashes(at, LENGTH), self.batch.id_of(at)
 
+    @cached_property
     def strings(self) -> Question:
-        _, keys, ids = self._string_entries()
-        return Question(keys, ids, None, self.buckets)
+        return Question(*self.string_entries[1:], None, self.buckets)
 
     def gone(self) -> np.ndarray:
         """All bytes to remove."""
-        at, keys, ids = self._string_entries()
-        q = Question(keys, ids, None, self.buckets)
-        return self._covered(np.concatenate([self._settled(), at[q.earlier(keys, ids, q.answered(self.answers[3])[0])]]))
+        at, keys, ids = self.string_entries
+        return self._covered(np.concatenate([self.settled, at[self.strings.earlier(keys, ids, self.strings.answered(self.answers[3])[0])]]))
 
 
 def _packed(batches):
