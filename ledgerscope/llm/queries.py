@@ -25,7 +25,24 @@ def query(name: str, statement: str | None = None):
     return register
 
 
-@query("op1_line_dedup")
+_LINES = r"""WITH parts AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+lines AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS pos FROM parts),
+stripped AS (SELECT *, trim(line, concat(' ', chr(9), chr(13), chr(11), chr(12))) AS s FROM lines),
+numbered AS (SELECT doc_id, pos, s, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i FROM stripped WHERE s <> ''),
+windows AS (SELECT doc_id, i, CASE WHEN lead(i, 2) OVER w IS NOT NULL THEN concat(s, chr(10), lead(s, 1) OVER w, chr(10), lead(s, 2) OVER w) END AS run
+            FROM numbered WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+later AS (SELECT doc_id, i FROM windows WHERE run IS NOT NULL QUALIFY row_number() OVER (PARTITION BY run ORDER BY doc_id, i) > 1),
+gone AS (SELECT DISTINCT doc_id, i + k AS i FROM later, range(3) r(k)),
+marked AS (SELECT n.*, g.i IS NOT NULL AS dead FROM numbered n LEFT JOIN gone g USING (doc_id, i)),
+runs AS (SELECT *, dead AND NOT coalesce(lag(dead) OVER (PARTITION BY doc_id ORDER BY i), false) AS begins FROM marked),
+counts AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dead) AS n_removed, count(*) FILTER (begins) AS n_runs FROM runs GROUP BY doc_id),
+kept AS (SELECT s.doc_id, string_agg(s.line, chr(10) ORDER BY s.pos) AS text FROM stripped s LEFT JOIN marked m USING (doc_id, pos)
+         WHERE NOT coalesce(m.dead, false) GROUP BY s.doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(n_runs, 0) AS n_runs,
+ sha256(coalesce(k.text, '')) AS kept_sha256 FROM documents d LEFT JOIN counts USING (doc_id) LEFT JOIN kept k USING (doc_id)"""
+
+
+@query("op1_line_dedup", _LINES)
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.report(table(spark, folder, "documents"))
 

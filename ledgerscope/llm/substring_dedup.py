@@ -54,8 +54,10 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(32))
+    x = x ^ (x >> np.uint64(29))
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(32)
+    return x
 
 
 class Batch:
@@ -68,10 +70,11 @@ class Batch:
         n = len(self.text)
         up, self.down = _powers(n + 1)
         self.sums = np.concatenate([[np.uint64(0)], np.cumsum(_BYTES[self.text] * up[:n])])
-        doc = np.repeat(np.arange(len(self.ids), dtype=np.int32), self.sizes)
-        start = np.arange(max(0, n - LENGTH + 1))
-        self.starts = start[self.ends[doc[:len(start)]] >= start + LENGTH]
-        self.doc = doc
+        self.doc = np.repeat(np.arange(len(self.ids), dtype=np.int32), self.sizes)
+        inside = np.ones(max(0, n - LENGTH + 1), bool)  # no string may cross the end of its document
+        for end, size in zip(self.ends.tolist(), self.sizes.tolist()):
+            inside[max(end - size, end - LENGTH + 1):end] = False
+        self.starts = np.flatnonzero(inside)
         self.anchors = self._anchors(n) if len(self.starts) else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
     def hashes(self, at: np.ndarray, size: int) -> np.ndarray:
@@ -79,8 +82,9 @@ class Batch:
 
     def _anchors(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Per valid string: the rank of its anchor and where that is; equal strings have anchors of equal rank."""
-        at = np.arange(n - GRAM + 1)
-        low = (self.hashes(at, GRAM) & ~np.uint64(63)) | (at & 63).astype(np.uint64)
+        low = _mix((self.sums[GRAM:] - self.sums[:-GRAM]) * self.down[:n - GRAM + 1])
+        low &= ~np.uint64(63)
+        low |= (np.arange(n - GRAM + 1) & 63).astype(np.uint64)
         width = LENGTH - GRAM + 1
         size = 1
         while size * 2 <= width:

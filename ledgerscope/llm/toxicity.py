@@ -27,6 +27,7 @@ FIT_CHARS = 8_000
 WORDS, TRIGRAMS = 20_000, 1 << 14
 WIDTH, HIDDEN, ATTENTION = 12, 8, 8
 ROUNDS, BATCH = 3, 256
+LEAST_STEPS = 120
 SURE = 4.0
 UNSEEN = 0.2
 _BREAKS = {c: " " for c in range(128) if not chr(c).isalnum()}
@@ -308,7 +309,7 @@ def train(texts: list[str], labels: list[int], seed: int = 11) -> Network:
         used = _drawn(usable, target, found, rng)
         share = [max(1e-6, float(weight[used][target[used] == v].sum())) for v in (0, 1)]
         balanced = weight * np.where(target > 0, share[0] / share[1], 1.0).astype(np.float32)
-        order = rng.permutation(used)
+        order = np.concatenate([rng.permutation(used) for _ in range(-(-LEAST_STEPS * BATCH // max(1, len(used))))])  # few windows are gone over again
         for i in range(0, len(order), BATCH):
             pick = order[i:i + BATCH]
             at, mask = _dealt(flat, starts[pick], sizes[pick])
