@@ -6,6 +6,7 @@ from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.sql import functions as F
 
 from ledgerscope.functions import exprs as X
+from ledgerscope.functions.ordering import unpivot
 from ledgerscope.operators import metrics as m, scoring as s
 from ledgerscope.plans.bench import Bench, TX
 from ledgerscope.plans.oracles import shared
@@ -350,12 +351,18 @@ def levels(b: Bench):
     return b.results.select("result_id", X.risk_level("risk_score").alias("risk_level"))
 
 
-@query("m26_feature_groups", """SELECT feature_group, count(*) AS n FROM (SELECT unnest(list_concat([0] , range(1, 15))) AS i, 'transaction' AS feature_group UNION ALL SELECT unnest(range(8)), 'address' UNION ALL
- SELECT unnest(range(7)), 'temporal' UNION ALL SELECT unnest(range(6)), 'network' UNION ALL SELECT unnest(range(4)), 'relational' UNION ALL SELECT unnest(range(6)), 'graph') GROUP BY 1""")
+_PREFIX = {"tx_": "transaction", "addr_": "address", "time_": "temporal", "net_": "network", "rel_": "relational"}
+_MATRIX = [c for c in s.NUMERIC if not c.startswith("hist_")]
+
+
+@query("m26_feature_groups", " UNION ALL ".join(
+    f"SELECT '{group}' AS feature_group, {sum(c.startswith(prefix) for c in _MATRIX)} AS n_features, "
+    + " + ".join(f"count({c})" for c in _MATRIX if c.startswith(prefix)) + " AS n_values FROM f_all" for prefix, group in _PREFIX.items()))
 def groups(b: Bench):
-    known = set(b.modelling.columns)
-    listed = s.feature_groups(b.spark)
-    return listed.where(F.col("feature_name").isin(sorted(known))).groupBy("feature_group").agg(F.count(F.lit(1)).alias("n"))
+    """Numeric features per group and how many values they have over all transactions."""
+    values = unpivot(b.features, _MATRIX).groupBy(F.col("feature").alias("feature_name")).agg(F.count("value").alias("n"))
+    return values.join(s.feature_groups(b.spark), "feature_name").groupBy("feature_group").agg(
+        F.count(F.lit(1)).alias("n_features"), F.sum("n").alias("n_values"))
 
 
 @query("m27_tree_importance")
