@@ -8,6 +8,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 from ledgerscope.plans import registry
@@ -29,7 +30,8 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     wanted = sys.argv[1:] or HEADLINE
     spark = build_session("bench", f"local[{cpus}]", **{
-        "spark.sql.shuffle.partitions": cpus, "spark.driver.memory": "16g", "spark.ui.showConsoleProgress": "false"})
+        "spark.sql.shuffle.partitions": cpus, "spark.driver.memory": "16g", "spark.ui.showConsoleProgress": "false",
+        "spark.checkpoint.dir": os.environ.get("BENCH_SHARED_DIR") or tempfile.mkdtemp(prefix="spark-")})
     spark.sparkContext.setLogLevel("ERROR")
     plans, times = registry.plans(), {}
     start = time.time()

@@ -59,7 +59,8 @@ def enrich_ips(ips: DataFrame, ranges: DataFrame, bits: int = 16) -> DataFrame:
     A range join without a cross product: both sides meet on the /16 block, then the bounds decide.
     Where ranges overlap the narrowest wins.
     """
-    numbered = ips.select("ip").distinct().select("ip", X.ipv4_number("ip").alias("n"))
+    # the number comes out of the aggregate, so no later expression parses the text again
+    numbered = ips.groupBy("ip").agg(F.max(X.ipv4_number("ip")).alias("n"))
     numbered = numbered.select("*", F.coalesce(X.is_reserved_ip("n"), F.lit(False)).alias("is_private"),
                                F.floor(F.col("n") / 2 ** bits).alias("block"))
     fields = ["country", "country_code", "region", "city", "latitude", "longitude", "asn", "as_name", "as_domain"]

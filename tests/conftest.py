@@ -14,7 +14,8 @@ from ledgerscope.session import build_session  # noqa: E402
 @pytest.fixture(scope="session")
 def spark():
     session = build_session("tests", "local[4]", **{
-        "spark.sql.shuffle.partitions": "2", "spark.sql.warehouse.dir": tempfile.mkdtemp(prefix="spark-"), "spark.driver.memory": "4g", "spark.ui.showConsoleProgress": "false"})
+        "spark.sql.shuffle.partitions": "2", "spark.sql.warehouse.dir": tempfile.mkdtemp(prefix="spark-"),
+        "spark.checkpoint.dir": tempfile.mkdtemp(prefix="spark-"), "spark.driver.memory": "4g", "spark.ui.showConsoleProgress": "false"})
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
