@@ -18,6 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerscope.llm import near_copies
 from ledgerscope.llm.shared import as_bytes, fresh, map_batches, quoted, same
 from ledgerscope.operators.components import component_labels
 from ledgerscope.session import pin
@@ -181,9 +182,13 @@ def components(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """Keep one row of each component: the smallest doc_id (nulls last), then the smallest text hash; all columns stay."""
+    """Keep one row of each component: the smallest doc_id (nulls last), then the smallest text hash; all columns stay.
+
+    Components are those of ``near_copies``: five-word shingles, Jaccard similarity 0.8. Three bits of a fingerprint are
+    the contract of ``components`` alone; most pairs at that similarity differ in more.
+    """
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("text_key").alias("key"))
-    first = components(docs).groupBy("component").agg(F.min(order).alias("first"))
+    first = near_copies.components(docs).groupBy("component").agg(F.min(order).alias("first"))
     key, id_, hash_ = fresh(docs, "text_hash"), fresh(docs, "kept_id"), fresh(docs, "kept_hash")
     kept = first.select(F.col("first.id").alias(id_), F.col("first.key").alias(hash_))
     tagged = docs.withColumn(key, F.xxhash64("text"))
