@@ -73,3 +73,16 @@ def test_drop_rewrites_texts(spark):
 def test_empty_table(spark):
     frame = spark.createDataFrame([], "doc_id long, text string")
     assert line_dedup.report(frame).count() == 0 and line_dedup.drop_repeated_lines(frame).count() == 0
+
+
+def test_long_runs_of_one_or_two_lines_go(spark):
+    def line(name, n):
+        return " ".join(f"{name}{i}" for i in range(n))
+
+    one, half, other = line("a", 51), line("b", 30), line("c", 21)
+    docs = [(1, one + "\nends"), (2, "begins\n " + one + " "), (3, one), (4, half + "\n\n" + other + "\nx"), (5, "y\n" + half + "\n" + other),
+            (6, half), (7, line("d", 50)), (8, line("d", 50) + "\nz"), (9, one + "\n" + line("e", 60) + "\n" + one)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in line_dedup.drop_repeated_lines(frame).collect()}
+    assert got == {1: docs[0][1], 2: "begins", 4: docs[3][1], 5: "y", 6: half, 7: docs[6][1], 8: docs[7][1], 9: line("e", 60)}
+    assert sum(r["n_removed"] for r in line_dedup.report(frame).collect()) == 0
