@@ -4,7 +4,7 @@ A word's input is its own vector plus the mean vector of its hashed character tr
 have an input too. Windows of ``SPAN`` words, each half over the one before, cover the whole text; every
 window gets a logit, and the largest, calibrated on documents kept out of the gradient, gives the document's
 score. Only the fit uses a bounded sample: at most ``MAX_DOCS`` labelled documents of a class, the ones with the smallest
-id hashes, of each at most the first ``FIT_CHARS`` characters. Labels belong to documents, not to windows: at first, windows
+id hashes, each with its whole text. Labels belong to documents, not to windows: at first, windows
 of toxic documents count as toxic where they have words that mark toxic documents beyond chance; after a round,
 where the network finds them so. A labelled document without any such window teaches little, as a wrong label would.
 """
@@ -12,6 +12,7 @@ where the network finds them so. A labelled document without any such window tea
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,8 +23,8 @@ from pyspark.sql import functions as F
 from ledgerscope.llm.shared import map_batches
 
 SPAN, STRIDE = 32, 16
-MAX_DOCS = {0: 2400, 1: 1200}
-FIT_CHARS = 8_000
+MAX_DOCS = {0: 3600, 1: 1200}
+PAGES = 32
 WORDS, TRIGRAMS = 20_000, 1 << 14
 WIDTH, HIDDEN, ATTENTION = 12, 8, 8
 ROUNDS, BATCH = 3, 256
@@ -276,14 +277,25 @@ def _drawn(usable: np.ndarray, target: np.ndarray, found: np.ndarray, rng: np.ra
     return np.concatenate([toxic, clean[:hard], clean[hard:][rng.random(len(clean) - hard) < 0.25]])
 
 
-def train(texts: list[str], labels: list[int], seed: int = 11) -> Network:
+def train(texts: Iterable[str], labels: Iterable[int], seed: int = 11) -> Network:
     """Fit on labelled texts; a constant where a class is missing."""
+    return fit(zip(texts, labels), seed)
+
+
+def fit(rows: Iterable[tuple[str, int]], seed: int = 11) -> Network:
+    """``train`` on pairs of text and label, of which one text is held at a time; all of them are kept as word numbers."""
+    labels: list[int] = []
+
+    def tokenised():
+        for text, label in rows:
+            labels.append(label)
+            yield words_of(text)
+
+    flat, words, starts, sizes, owner = _laid(tokenised())
     y = np.array(labels, np.float32)
     if not len(y) or y.min() == y.max():
         return Network({}, {}, constant=float(y.mean()) if len(y) else 0.0)
     rng = np.random.default_rng(seed)
-    flat, words, starts, sizes, owner = _laid(map(words_of, texts))
-    del texts
     counts = Counter()
     for doc in range(len(y)):
         a, b = np.searchsorted(owner, [doc, doc + 1])
@@ -339,16 +351,16 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def sample(docs: DataFrame, labels: DataFrame, max_docs: dict[int, int] = MAX_DOCS) -> tuple[list[str], list[int]]:
-    """The bounded sample for the fit, in a fixed order."""
+def sample(docs: DataFrame, labels: DataFrame, max_docs: dict[int, int] = MAX_DOCS) -> Iterator[tuple[str, int]]:
+    """The sample for the fit, bounded in documents and not in their texts, in a fixed order and one row at a time."""
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     picked = [known.where(F.col("toxic") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs[v]) for v in (0, 1)]
     ids = picked[0].unionAll(picked[1]).select(F.col("doc_id").alias("id"), "toxic")
-    rows = docs.select("doc_id", F.substring("text", 1, FIT_CHARS).alias("text")).join(F.broadcast(ids), F.col("doc_id") == F.col("id")).select("id", "text", "toxic")
-    got = sorted({(r["id"], r["text"] or "", r["toxic"]) for r in rows.collect()})
-    order = np.random.default_rng(5).permutation(len(got))
-    return [got[i][1] for i in order], [got[i][2] for i in order]
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), F.col("doc_id") == F.col("id")).select("id", "text", "toxic")
+    rows = rows.distinct().repartition(PAGES, "id")
+    for r in rows.sortWithinPartitions(F.xxhash64(F.lit(5), "id"), "id", "text").toLocalIterator():
+        yield r["text"], r["toxic"]
 
 
 RESULT = "doc_id long, held_out boolean, score double, predicted int"
@@ -360,7 +372,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Null and empty texts score 0. Rows with a null id aren't held out nor learned from. Repeated rows each get a row.
     Without labelled documents of both classes, the score is the share of toxic ones among those there are.
     """
-    net = train(*sample(docs, labels))
+    net = fit(sample(docs, labels))
 
     def run(batch: pa.RecordBatch) -> dict:
         scores = net.scores(batch.column("text").to_pylist())
@@ -373,7 +385,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that score below one half, with all their columns."""
-    net = train(*sample(docs, labels))
+    net = fit(sample(docs, labels))
 
     def clean(batches):
         for batch in batches:

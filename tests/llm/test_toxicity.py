@@ -78,3 +78,21 @@ def test_without_labels_or_rows(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert [r["score"] for r in tox.score(frame, labels).collect()] == [0.0]
     assert tox.score(frame.limit(0), labels).count() == 0
+
+
+def test_fit_has_whole_texts_and_long_clean_documents_stay_clean(spark):
+    rng = random.Random(4)
+    rows = corpus()
+    plain = sorted({w for _, t, y in rows if not y for w in t.split()})
+    # toxic words only far behind, and clean documents as long
+    far = [(2000 + i, " ".join([*rng.choices(plain, k=2500), "numbskull", *rng.choices(plain, k=20)]), 1) for i in range(30)]
+    long = [(3000 + i, " ".join(rng.choices(plain, k=2500)), 0) for i in range(60)]
+    rows += far + long
+    frame = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    texts = {t for t, _ in tox.sample(frame, labels)}
+    learned = [t for i, t, _ in far + long if t in texts]
+    assert len(learned) > 60 and sum("numbskull" in t for t in learned) > 15
+    got = {r["doc_id"]: r for r in tox.score(frame, labels).collect()}
+    assert np.mean([got[i]["predicted"] for i, _, _ in long]) < 0.1
+    assert np.mean([got[i]["predicted"] for i, _, _ in far]) > 0.9
