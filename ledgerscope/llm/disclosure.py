@@ -4,18 +4,20 @@ Base detectors find e-mail addresses, IP addresses, card and phone numbers: the
 can give it away as well. How strongly a term reveals an entity is estimated from the whole corpus: their pointwise mutual
 information, log2(n_te * N / (n_t * n_e)), as a share of the entity's own information, log2(N / n_e), where n count documents
 that hold the term, the entity, and the term within ``REACH`` words of the entity. At ``GENERALISE`` of the entity's
-information or more a term near it is replaced by its kind of word, at ``REMOVE`` or more by a mark. A pair counts
-only if it was seen in ``SUPPORT`` different surroundings; copies of one passage are one.
+information or more a term near it is replaced by its kind of word, at ``REMOVE`` or more by a mark. A pair seen in
+fewer than ``SUPPORT`` different surroundings is judged by a lower bound: n_te / n_t, the chance of the entity given the term, is
+replaced by the lower end of its Wilson interval (``Z``) over as many trials as there would be if copies of one passage were one.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerscope.llm.shared import arrow_schema, fresh, quoted, same
@@ -23,6 +25,7 @@ from ledgerscope.session import pin
 
 REACH = 6
 SUPPORT = 3
+Z = 1.645
 GENERALISE, REMOVE = 0.8, 0.95
 FLUSH = 300_000
 KINDS = ("email", "ip", "card", "phone")
@@ -80,18 +83,18 @@ def listed(spans: list[tuple[str, int, int]]) -> str:
 
 def _near(text: str, spans: list[tuple[str, int, int]], reach: int):
     """Per base span: its entity, a hash of its surroundings, and the terms near it with their places."""
-    covered = sorted((a, b) for _, a, b in spans)
+    terms = list(_TERM.finditer(text)) if spans else []
+    starts, ends = [m.start() for m in terms], [m.end() for m in terms]
+    covered, done = set(), 0
+    for a, b in sorted((a, b) for _, a, b in spans):  # ``done`` keeps overlapping spans from being gone over again
+        first, last = max(done, bisect_right(ends, a)), bisect_left(starts, b)
+        covered.update(range(first, last))
+        done = max(done, last)
     for kind, a, b in spans:
         entity = xxhash.xxh64_intdigest(f"{kind}:{text[a:b].lower()}".encode("utf-8", "surrogatepass")) - (1 << 63)
-        low, high = max(0, a - 24 * reach), min(len(text), b + 24 * reach)
-        left = [m for m in _TERM.finditer(text, low, a)]
-        if left and low and left[0].start() == low and text[low - 1].isalpha():
-            left = left[1:]  # the search began inside a word
-        right = [m for m in _TERM.finditer(text, b, high)]
-        if right and high < len(text) and right[-1].end() == high and text[high].isalpha():
-            right = right[:-1]
-        found = [(m.group().lower(), m.start(), m.end()) for m in left[-reach:] + right[:reach]]
-        found = [t for t in found if not any(t[1] < y and x < t[2] for x, y in covered)]
+        left, right = bisect_right(ends, a), bisect_left(starts, b)
+        near = [*range(max(0, left - reach), left), *range(right, min(len(terms), right + reach))]
+        found = [(terms[i].group().lower(), starts[i], ends[i]) for i in near if i not in covered]
         around = xxhash.xxh64_intdigest(" ".join(t[0] for t in found).encode("utf-8", "surrogatepass")) - (1 << 63)
         yield entity, around, found
 
@@ -135,6 +138,13 @@ def _gather(batches, reach: int = REACH):
         yield page([{"part": _TERMS, "term": t, "n": n} for t, n in seen.items()])
 
 
+def _lower(chance: Column, trials: Column) -> Column:
+    """The lower end of the Wilson interval of a share of ``trials``."""
+    z2 = Z * Z
+    spread = Z * F.sqrt(chance * (1 - chance) / trials + z2 / (4 * trials * trials))
+    return (chance + z2 / (2 * trials) - spread) / (1 + z2 / trials)
+
+
 def find(docs: DataFrame) -> DataFrame:
     """Per row of ``docs(doc_id, text)``: ``doc_id, text_key, n_email, n_ip, n_card, n_phone, base, spans, revealing``.
 
@@ -147,13 +157,15 @@ def find(docs: DataFrame) -> DataFrame:
     base = gathered.where(F.col("part") == _DOC).select("doc_id", "text_key", "base", *[f"n_{k}" for k in KINDS])
     contexts = gathered.where(F.col("part") == _CONTEXT)
     seen = contexts.groupBy("entity", "term", "around").agg(F.sum("n").alias("n"))
-    pairs = seen.groupBy("entity", "term").agg(F.sum("n").alias("n_te"), F.count(F.lit(1)).alias("around")).where(F.col("around") >= SUPPORT)
+    pairs = seen.groupBy("entity", "term").agg(F.sum("n").alias("n_te"), F.count(F.lit(1)).alias("around"))
     entities = gathered.where(F.col("part") == _ENTITY).groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
     terms = gathered.where(F.col("part") == _TERMS).groupBy("term").agg(F.sum("n").alias("n_t"))
     total = base.agg(F.count(F.lit(1)).alias("n_all"))
     known = pairs.join(entities, "entity").join(terms, "term").join(F.broadcast(total))
     own = F.log2(F.col("n_all") / F.col("n_e"))
-    share = F.when(own > 0, F.log2(F.col("n_te") * F.col("n_all") / (F.col("n_t") * F.col("n_e"))) / own).otherwise(0.0)
+    chance = F.col("n_te") / F.col("n_t")
+    judged = F.when(F.col("around") >= SUPPORT, chance).otherwise(_lower(chance, F.col("around") / chance))
+    share = F.when(own > 0, F.log2(judged * F.col("n_all") / F.col("n_e")) / own).otherwise(0.0)
     strong = known.select("entity", "term", share.alias("share")).where(F.col("share") >= GENERALISE)
     hits = contexts.select("doc_id", "text_key", "entity", "term", "start", "end").join(strong, ["entity", "term"])
     hits = hits.groupBy("doc_id", "text_key", "start", "end").agg(F.max("share").alias("share"))

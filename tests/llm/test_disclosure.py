@@ -110,3 +110,22 @@ def test_sanitise_and_empty_table(spark):
     assert "[EMAIL]" in rows[100] and "Zanzibarov" not in rows[100] and "ann@x.org" not in rows[100]
     assert rows[0] == docs[0][1]
     assert disclosure.report(frame.limit(0)).count() == 0
+
+
+def test_pairs_seen_once_or_twice_are_judged(spark):
+    rng = random.Random(8)
+    filler = ["red", "blue", "green", "house", "tree", "river", "stone"]
+    prose = lambda n: " ".join(rng.choices(filler, k=n))
+    docs = [(i, prose(20)) for i in range(800)]
+    docs += [(900, f"{prose(5)} Quillon dan@x.org {prose(6)}"), (901, f"{prose(7)} Quillon dan@x.org {prose(8)}"), (902, f"{prose(5)} Orlop eve@x.org {prose(6)}")]
+    rows = {r["doc_id"]: r["text"] for r in disclosure.sanitise(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert all("[NAME] [EMAIL]" in rows[i] for i in (900, 901, 902))
+    assert all(rows[i].count("[") == 2 for i in (900, 901, 902)) and all(rows[i] == t for i, t in docs[:800])
+
+
+def test_six_terms_at_any_distance():
+    text = " ".join(["Zed", "x" * 200, "one", "12 " * 300, "two", "three", "four", "ann@x.org", "y" * 400, "five"])
+    (_, _, found), = disclosure._near(text, disclosure.base_spans(text), 6)
+    assert [t[0] for t in found] == ["zed", "x" * 200, "one", "two", "three", "four", "y" * 400, "five"]
+    many = "1.2.3.4 a@b.co " * 20_000
+    assert sum(1 for _ in disclosure._near(many, disclosure.base_spans(many), 6)) == 40_000
