@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier
 from pyspark.sql import functions as F
 
 from ledgerscope.functions import exprs as X
@@ -174,13 +174,10 @@ def _multi(b: Bench):
 
 @query("m03_binary_candidates")
 def candidates(b: Bench):
-    """Validation quality of a linear, a forest and a boosted candidate."""
+    """Validation quality of all candidates, at their own sizes."""
     train, val = (b.modelling.where(F.col(SPLIT) == x) for x in ("train", "val"))
-    chosen = {k: v for k, v in s.binary_candidates(LABEL).items() if k != "boosted_deep"}
-    chosen["random_forest"] = RandomForestClassifier(featuresCol="vector", labelCol=LABEL, weightCol="class_weight", numTrees=10, maxDepth=6, seed=42)
-    chosen["boosted_shallow"] = GBTClassifier(featuresCol="vector", labelCol=LABEL, weightCol="class_weight", maxIter=5, maxDepth=4, seed=42)
     out = None
-    for name, estimator in chosen.items():
+    for name, estimator in s.binary_candidates(LABEL).items():
         scored = s.positive_probability(s.fit(train, LABEL, estimator).transform(s.complete(val)))
         row = m.ranking_metrics(scored, "risk_score", LABEL).select(F.lit(name).alias("candidate"), "roc_auc", "pr_auc")
         out = row if out is None else out.unionByName(row)
@@ -193,11 +190,18 @@ def scored_results(b: Bench):
     return s.score(test, _binary(b), _multi(b), "an9", "bench")
 
 
+def _ablations(b: Bench):
+    return s.ablation_runs(b.modelling, LABEL, SPLIT, lambda: s.binary_candidates(LABEL)["random_forest"])
+
+
 @query("m12_m15_ablation")
 def ablation(b: Bench):
-    runs = s.ablation_runs(b.modelling, LABEL, SPLIT, lambda: RandomForestClassifier(
-        featuresCol="vector", labelCol=LABEL, weightCol="class_weight", numTrees=5, maxDepth=5, seed=42))
-    return s.label_feature_groups(runs)
+    return s.label_feature_groups(_ablations(b))
+
+
+@query("m12_ablation_scores")
+def ablation_scores(b: Bench):
+    return _ablations(b)
 
 
 @query("m13_shuffled_target", """SELECT ground_truth_label, count(*) AS n FROM c_lab GROUP BY 1""")

@@ -128,3 +128,35 @@ def test_communities_of_two_cliques(spark):
     groups = {r["node"]: r["community"] for r in found.collect()}
     assert len({groups[x] for x in "abcd"}) == 1 and len({groups[x] for x in "wxyz"}) == 1 and groups["a"] != groups["w"]
     assert centrality.community_summary(df, found).first()["modularity"] == pytest.approx(12 / 13 - 2 * (13 / 26) ** 2)
+
+
+def test_queries_fit_every_candidate_and_ablation_at_its_own_size(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from ledgerscope.operators import scoring
+    from ledgerscope.plans import model_queries as q
+
+    seen = []
+
+    class Any:
+        def __getattr__(self, name):
+            return lambda *a, **k: self
+
+        def __sub__(self, other):
+            return self
+
+    monkeypatch.setattr(q.s, "fit", lambda train, label, estimator, *rest: seen.append(estimator) or Any())
+    for name in ("positive_probability", "complete", "label_feature_groups"):
+        monkeypatch.setattr(q.s, name, lambda *a: Any())
+    monkeypatch.setattr(q.m, "ranking_metrics", lambda *a: Any())
+    monkeypatch.setattr(q.F, "col", lambda *a: Any())
+    monkeypatch.setattr(q.F, "lit", lambda *a: Any())
+    own = scoring.binary_candidates(q.LABEL)
+    bench = SimpleNamespace(modelling=Any())
+    q.candidates(bench)
+    size = lambda e: {p.name: v for p, v in e.extractParamMap().items()}
+    assert [size(e) for e in seen] == [size(e) for e in own.values()]
+    seen.clear()
+    q.ablation(bench)
+    q.ablation_scores(bench)
+    assert len(seen) == 2 * len(scoring.ABLATIONS) and all(size(e) == size(own["random_forest"]) for e in seen)
