@@ -7,7 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerscope.llm import decontaminate, disclosure, language_id, line_dedup, mixing, simhash, spot_signatures, substring_dedup, toxicity, warc
+from ledgerscope.llm import (conversation_repair, decontaminate, disclosure, language_id, line_dedup, mixing, secret_scan, simhash, spot_signatures,
+                             substring_dedup, toxicity, warc, whitening)
 from ledgerscope.llm.shared import table
 from ledgerscope.session import shared_folder
 
@@ -99,6 +100,22 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.slots(table(spark, folder, "documents")).drop("key", "text_key")
 
 
+@query("op11_secret_scan")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_scan.report(table(spark, folder, "documents"))
+
+
+@query("op12_whitening")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(table(spark, folder, "embeddings"))
+
+
+@query("op13_conversation_repair")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    convs = table(spark, folder, "conversations")
+    return conversation_repair.report(conversation_repair.damaged(convs), convs)
+
+
 def plans() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_PLANS)
 
