@@ -100,6 +100,42 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.slots(table(spark, folder, "documents")).drop("key", "text_key")
 
 
+_CONVERSATIONS = r"""WITH RECURSIVE crc_table AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) ORDER BY i) AS t
+              FROM range(256) r(i)),
+coded AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+          xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(concat(coalesce(CAST(conv_id AS VARCHAR), ' '), ':', coalesce(CAST(turn AS VARCHAR), ' ')), ''),
+          lambda s: CAST(ascii(s) AS BIGINT))), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) % 20 AS kind FROM conversations, crc_table),
+damaged AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+            CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy FROM coded WHERE kind <> 0),
+numbered AS (SELECT *, substr(role, 1, 1) AS l, rtrim(text, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))) AS s,
+             row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, substr(sha256(concat(length(role), ':', role, text)), 1, 32), copy) AS i FROM damaged),
+faulted AS (SELECT *, s = '' AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again, right(s, 1) NOT IN ('.', '!', '?') AS cut,
+            lead(l) OVER (PARTITION BY conv_id ORDER BY i) AS next_l FROM numbered),
+counted AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (again AND NOT blank) AS duplicate,
+            count(*) FILTER (cut AND NOT again AND NOT blank) AS truncated, count(*) FILTER (next_l IS NOT NULL AND concat(l, next_l) NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n
+            FROM faulted GROUP BY conv_id),
+inserts(q, letters, cost, ins, q1) AS (VALUES (0, '', 0, NULL, 0), (1, '', 0, NULL, 1), (2, '', 0, NULL, 2), (3, '', 0, NULL, 3), (0, 'I', 5, 'user:', 2), (1, 'I', 5, 'user:', 2),
+            (3, 'I', 5, 'user:', 2), (2, 'I', 5, 'assistant:', 3), (0, 'II', 10, concat('user:', chr(10), 'assistant:'), 3), (1, 'II', 10, concat('user:', chr(10), 'assistant:'), 3)),
+edits(q1, l, letter, cost, q2) AS (VALUES (0, NULL, 'D', 2, 0), (1, NULL, 'D', 2, 1), (2, NULL, 'D', 2, 2), (3, NULL, 'D', 2, 3), (0, NULL, 'R', 1, 2), (1, NULL, 'R', 1, 2), (3, NULL, 'R', 1, 2),
+            (2, NULL, 'R', 1, 3), (0, 's', 'K', 0, 1), (0, 'u', 'K', 0, 2), (1, 'u', 'K', 0, 2), (3, 'u', 'K', 0, 2), (2, 'a', 'K', 0, 3)),
+moves AS (SELECT i.q, concat(letters, letter) AS letters, letter, i.cost + e.cost AS cost, ins, l, q2 FROM inserts i JOIN edits e ON i.q1 = e.q1),
+walk AS (SELECT conv_id, CAST(0 AS BIGINT) AS i, 0 AS q, 0 AS cost, '' AS audit, CAST(NULL AS VARCHAR) AS body FROM counted
+         UNION ALL
+         SELECT conv_id, i, q, best.cost, best.audit, body FROM (
+           SELECT w.conv_id, f.i, m.q2 AS q, min({'cost': w.cost + m.cost + CASE WHEN f.cut AND m.letter <> 'D' THEN 5 ELSE 0 END, 'audit': concat(w.audit, m.letters)}) AS best,
+                  arg_min(nullif(concat_ws(chr(10), w.body, m.ins, CASE m.letter WHEN 'K' THEN concat(f.role, ':', f.text) WHEN 'R' THEN concat(CASE m.q2 WHEN 2 THEN 'user:' ELSE 'assistant:' END, f.text) END), ''),
+                          {'cost': w.cost + m.cost + CASE WHEN f.cut AND m.letter <> 'D' THEN 5 ELSE 0 END, 'audit': concat(w.audit, m.letters)}) AS body
+           FROM walk w JOIN faulted f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.i = w.i + 1
+           JOIN moves m ON m.q = w.q AND (m.letter = 'D' OR NOT (f.blank OR f.again)) AND (m.l IS NULL OR m.l = f.l)
+           GROUP BY w.conv_id, f.i, m.q2)),
+done AS (SELECT w.conv_id, w.cost + x.cost AS cost, concat(w.audit, x.letters) AS audit, concat_ws(chr(10), w.body, x.ins) AS body
+         FROM walk w JOIN counted c ON c.conv_id IS NOT DISTINCT FROM w.conv_id AND c.n = w.i JOIN inserts x ON x.q = w.q AND x.q1 IN (0, 3)
+         QUALIFY row_number() OVER (PARTITION BY w.conv_id ORDER BY w.cost + x.cost, concat(w.audit, x.letters)) = 1)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+ CAST(coalesce(cost, 0) AS BIGINT) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(body, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN done d ON d.conv_id IS NOT DISTINCT FROM o.conv_id"""
+
+
 @query("op11_secret_scan")
 def op11(spark: SparkSession, folder: str) -> DataFrame:
     return secret_scan.report(table(spark, folder, "documents"))
@@ -110,7 +146,7 @@ def op12(spark: SparkSession, folder: str) -> DataFrame:
     return whitening.whiten(table(spark, folder, "embeddings"))
 
 
-@query("op13_conversation_repair")
+@query("op13_conversation_repair", _CONVERSATIONS)
 def op13(spark: SparkSession, folder: str) -> DataFrame:
     convs = table(spark, folder, "conversations")
     return conversation_repair.report(conversation_repair.damaged(convs), convs)

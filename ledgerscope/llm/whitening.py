@@ -119,10 +119,11 @@ def _twisted(d: np.ndarray, low: np.ndarray, value: float) -> tuple[np.ndarray,
         s[i + 1] = down[i] * low[i] * s[i] - value
     p[n - 1] = d[n - 1] - value
     for i in range(n - 2, -1, -1):
-        pivot = safe(d[i] * low[i] * low[i] + p[i + 1])
+        sum_ = d[i] * low[i] * low[i] + p[i + 1]
+        pivot = safe(sum_)
         share = d[i] / pivot
         up[i] = low[i] * share
-        p[i] = p[i + 1] * share - value
+        p[i] = (p[i + 1] + (pivot - sum_)) * share - value  # a pivot of nothing moves with its summand
     return down, up, s + p + value
 
 
