@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerscope.llm.shared import as_bytes, fresh, map_batches, quoted, same
+from ledgerscope.session import pin
 
 WINDOW = 13
 BLOCK_CHARS = 4_000_000
@@ -86,15 +87,19 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _blocks(benchmark: DataFrame, block_chars: int) -> Iterator[Patterns]:
-    """The benchmark as tables per block; a block has about ``block_chars`` characters, whatever the benchmark's size."""
+def _blocks(benchmark: DataFrame, block_chars: int) -> tuple[int, Iterator[Patterns]]:
+    """The number of blocks and their tables one after the other; a block has about ``block_chars`` characters, whatever the benchmark's size."""
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), "text")
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(1, -(-total // block_chars))
     dealt = items.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(n)))
-    for block in range(n):
-        rows = dealt.where(F.col("block") == block).collect()
-        yield Patterns([(r["item"], None if r["text"] is None else r["text"].encode()) for r in rows])
+
+    def tables():
+        for block in range(n):
+            rows = dealt.where(F.col("block") == block).collect()
+            yield Patterns([(r["item"], None if r["text"] is None else r["text"].encode()) for r in rows])
+
+    return n, tables()
 
 
 def _result(n_words: int, spans: list[tuple[int, int]], items: set[str]) -> dict:
@@ -105,7 +110,7 @@ def _result(n_words: int, spans: list[tuple[int, int]], items: set[str]) -> dict
 
 
 RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
-_PART = "doc_id long, text_key long, n_words long, spans array<long>, items string"
+_PART = "doc_id long, text_key long, n_words long, spans array<long>, items array<string>"
 
 
 def _table(rows: list[dict], **first) -> dict:
@@ -124,25 +129,28 @@ def _partial(batch: pa.RecordBatch, tables: Patterns) -> dict:
     found = [(words, *tables.search(words)) for words in map(words_of, as_bytes(batch, "text"))]
     return {"doc_id": batch.column("doc_id"), "text_key": batch.column("text_key"), "n_words": [len(w) for w, _, _ in found],
             "spans": [[x for span in spans for x in span] for _, spans, _ in found],
-            "items": [",".join(items) for _, _, items in found]}
+            "items": [sorted(items) for _, _, items in found]}
 
 
 def _combined(batch: pa.RecordBatch) -> dict:
     rows = []
     for n_words, spans, items in zip(*(batch.column(c).to_pylist() for c in ("n_words", "spans", "items"))):
-        rows.append(_result(n_words, merged(list(zip(spans[::2], spans[1::2]))), {i for i in items.split(",") if i}))
+        rows.append(_result(n_words, merged(list(zip(spans[::2], spans[1::2]))), set(items)))
     return _table(rows, doc_id=batch.column("doc_id"), text_key=batch.column("text_key"))
 
 
-def _over_blocks(docs: DataFrame, blocks: list[Patterns]) -> DataFrame:
-    """Results per distinct (doc_id, text) over several blocks: each scans all rows, their spans are united per text."""
+def _over_blocks(docs: DataFrame, blocks: Iterator[Patterns]) -> DataFrame:
+    """Results per distinct (doc_id, text) over several blocks: each scans all rows, their spans are united per text.
+
+    A block's findings are written before the next block's tables are made, so the driver holds one block at a time.
+    """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
-    parts = [map_batches(rows, partial(_partial, tables=b), _PART) for b in blocks]
+    parts = [pin(map_batches(rows, partial(_partial, tables=b), _PART), "block") for b in blocks]
     per_block = reduce(DataFrame.unionAll, [p.withColumn("block", F.lit(i)) for i, p in enumerate(parts)])
     once = per_block.dropDuplicates(["doc_id", "text_key", "block"])
     united = once.groupBy("doc_id", "text_key").agg(
         F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"),
-        F.concat_ws(",", F.collect_list("items")).alias("items"))
+        F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
     return map_batches(united, _combined, RESULT.replace("doc_id long", "doc_id long, text_key long"))
 
 
@@ -153,22 +161,28 @@ def scan(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS)
     words are. Null and empty texts have no words and aren't contaminated. Repeated rows each get a row;
     repeated items count once; an item with a null id is listed as ``null``; an empty benchmark hits nothing.
     """
-    blocks = list(_blocks(benchmark, block_chars))
-    if len(blocks) == 1:
+    n, blocks = _blocks(benchmark, block_chars)
+    if n == 1:  # the same rows without the uniting step
+        tables = next(blocks)
         return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"),
-                           lambda b: _table(_scanned(b, blocks[0]), doc_id=b.column("doc_id")), RESULT)
+                           lambda b: _table(_scanned(b, tables), doc_id=b.column("doc_id")), RESULT)
     keys = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("key"))
     found = _over_blocks(docs, blocks)
     return keys.join(found, same(keys, ["id", "key"], ["doc_id", "text_key"])).drop("id", "key", "text_key")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """The rows of ``docs`` that aren't contaminated, with all their columns."""
-    blocks = list(_blocks(benchmark, block_chars))
-    if len(blocks) == 1:
+    """The rows of ``docs`` that aren't contaminated, with all their columns.
+
+    Null and empty texts stay, as do repeated rows that are clean; an empty benchmark or table drops nothing.
+    """
+    n, blocks = _blocks(benchmark, block_chars)
+    if n == 1:
+        tables = next(blocks)
+
         def clean(batches):
             for batch in batches:
-                yield batch.filter(pa.array([not r["contaminated"] for r in _scanned(batch, blocks[0])], pa.bool_()))
+                yield batch.filter(pa.array([not r["contaminated"] for r in _scanned(batch, tables)], pa.bool_()))
 
         return docs.mapInArrow(clean, docs.schema)
     bad = _over_blocks(docs, blocks).where("contaminated")

@@ -67,3 +67,11 @@ def test_empty_tables(spark):
     items, docs, frame, benchmark = tables(spark)
     assert decontaminate.scan(frame.limit(0), benchmark).count() == 0
     assert decontaminate.scan(frame, benchmark.limit(0)).where("n_hit > 0 or contaminated").count() == 0
+
+
+@pytest.mark.parametrize("block_chars", [decontaminate.BLOCK_CHARS, 20])
+def test_item_ids_with_commas_and_empty_ids(spark, block_chars):
+    items = [("a,b", "one two three"), ("", "four five six"), ("a", "seven eight nine"), ("b", "one two three"), (None, "ten")]
+    docs = [(1, "one two three"), (2, "four five six"), (3, "one two three four five six seven eight nine ten"), (4, "none")]
+    got = decontaminate.scan(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string"), block_chars)
+    assert sorted(map(tuple, got.collect())) == sorted((i, *plain(t, items)) for i, t in docs)
