@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 
 from ledgerscope.llm import near_copies, simhash
@@ -62,3 +63,28 @@ def test_any_order_of_shingles_gives_the_same(spark, monkeypatch):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     monkeypatch.setattr(near_copies, "SAMPLED", 1)
     assert {r["doc_id"] for r in simhash.drop_near_duplicates(docs).collect()} == plain_kept(texts)
+
+
+def test_sketches_never_rule_out_similar_sets():
+    rng, tight = random.Random(4), 0
+    for _ in range(3000):
+        n = rng.choice([1, 3, 10, 60, 64, 65, 200, 1000])
+        a = np.unique(np.array([rng.getrandbits(64) for _ in range(n)], np.uint64))
+        gone = rng.randrange(0, max(1, int(0.35 * n)))
+        b = np.unique(np.concatenate([a[gone:], np.array([rng.getrandbits(64) for _ in range(rng.randrange(0, max(1, int(0.3 * n))))], np.uint64)]))
+        possible = near_copies.may_be_similar(near_copies.sketch(a), len(a), near_copies.sketch(b), len(b))
+        assert possible or not near_copies.similar(a, b)
+        tight += not possible
+    assert tight > 100
+
+
+def test_posting_over_many_batches(spark):
+    """A posting that spans Arrow batches comes out whole, and so do its neighbours."""
+    rows = [(s, k, 10, 0) for s, size in ((1, 3), (2, 5000), (3, 1), (4, 2)) for k in range(size)]
+    frame = spark.createDataFrame(rows, near_copies._POSTINGS)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "700")
+    try:
+        got = near_copies._by_posting(frame, "u long, v long", lambda shingle, key, n, place: [(shingle[:1], np.array([len(key)]))]).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(map(tuple, got)) == [(1, 3), (2, 5000), (4, 2)]
