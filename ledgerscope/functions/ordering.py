@@ -12,6 +12,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerscope.session import pin
+
 DAY = 86400
 
 
@@ -70,16 +72,24 @@ def prefix_totals(df: DataFrame, coarse: Column, fine: Column, order: Sequence[s
                                         for m in measures])
 
 
-def time_levels(epoch: str, key: str, prefix_chars: int = 3) -> tuple[Column, Column]:
-    """Coarse and fine levels of the ``(epoch, key)`` order: the hour, and the second with the id's first characters."""
-    return F.floor(F.col(epoch) / 3600), F.struct(F.col(epoch), F.substring(key, 1, prefix_chars))
+def global_positions(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
+    """``df`` with the zero-based place of every row in ``order``, as ``name``; ``order`` should tell rows apart.
+
+    Rows are dealt to ranges of the whole order key, whose bounds Spark samples, and sorted there, so neither a second nor an id prefix
+    that holds many rows ends in one task. The rows are written once; counts per range then give each range its first place.
+    """
+    part, line = F.shiftright("_line", 33), F.col("_line").bitwiseAND(F.lit((1 << 33) - 1))
+    dealt = pin(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_line", F.monotonically_increasing_id()), "positions")
+    counts = dealt.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    # one row per range: as many as there are partitions
+    starts = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
+    placed = dealt.withColumn("_part", part).join(F.broadcast(starts), "_part")
+    return placed.select(*df.columns, (F.col("_start") + line).alias(name))
 
 
 def chronological_index(df: DataFrame, epoch: str, key: str) -> DataFrame:
     """Zero-based position of every row in ``(epoch, key)`` order, as ``position``."""
-    ones = df.withColumn("_one", F.lit(1).cast("bigint"))
-    ranked = prefix_totals(ones, *time_levels(epoch, key), [epoch, key], ["_one"])
-    return ranked.drop("_one").withColumnRenamed("before__one", "position")
+    return global_positions(df, [epoch, key], "position")
 
 
 def value_bucket(value: Column, steps: int = 4096) -> Column:

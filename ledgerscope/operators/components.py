@@ -1,4 +1,4 @@
-"""Connected components, clustering, chronological component replay, strong components, rank, communities.
+"""Connected components.
 
 All loops are Spark joins over edge tables. Each round is written to the shared folder, which cuts the
 lineage and survives lost executors.
@@ -6,11 +6,9 @@ lineage and survives lost executors.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerscope.functions.ordering import prefix_totals, time_levels
 from ledgerscope.session import pin, release
 
 
@@ -51,112 +49,3 @@ def star_edges(members: DataFrame, group: str, node: str) -> DataFrame:
     """Edges tying all members of a group to its smallest member: n-1 edges, never all pairs."""
     centre = members.groupBy(group).agg(F.min(node).alias("v"))
     return members.join(centre, group).select(F.col(node).alias("u"), "v").distinct()
-
-
-def _merge_in_order(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Replay one time slice: unite each transaction's components, reading sizes before and after."""
-    parent: dict[str, str] = {}
-    size: dict[str, int] = {}
-    txs: dict[str, int] = {}
-
-    def find(x: str) -> str:
-        root = x
-        while parent[root] != root:
-            root = parent[root]
-        while parent[x] != root:
-            parent[x], x = root, parent[x]
-        return root
-
-    pdf = pdf.sort_values(["ts", "tx"], kind="stable")
-    columns = ("tx", "label", "size", "txs", "primary_label", "extra_size", "extra_label")
-    tx_ids, labels, sizes, counts, primaries, extras, lones = (pdf[c].tolist() for c in columns)
-    for label, s, t in zip(labels, sizes, counts):
-        if label is not None and label not in parent:
-            parent[label], size[label], txs[label] = label, int(s), int(t)
-    rows, start = [], 0
-    while start < len(tx_ids):
-        end = start
-        while end < len(tx_ids) and tx_ids[end] == tx_ids[start]:
-            end += 1
-        before = (None, 0, 0)
-        if primaries[start] is not None:
-            r = find(primaries[start])
-            before = (r, size[r], txs[r])
-        names = {find(x) for x in labels[start:end] if x is not None}
-        total, total_tx = int(extras[start]) + sum(size[r] for r in names), 1 + sum(txs[r] for r in names)
-        if lones[start] is not None:
-            names.add(lones[start])
-        if names:
-            top = min(names)
-            for r in names:
-                parent[r] = top
-            size[top], txs[top] = total, total_tx
-        rows.append((tx_ids[start], *before, total, total_tx))
-        start = end
-    return pd.DataFrame(rows, columns=["tx", "prior_label", "prior_size", "prior_txs", "size", "txs"])
-
-
-_REPLAY_SCHEMA = "tx string, prior_label string, prior_size bigint, prior_txs bigint, size bigint, txs bigint"
-
-
-def component_history(members: DataFrame, slice_rows: int = 500_000) -> DataFrame:
-    """Per transaction, the component of its primary node just before it and its own component just after.
-
-    ``members(ts, tx, node, is_primary)``: a transaction unites all its nodes. Result ``(tx, prior_label,
-    prior_size, prior_txs, size, txs)``, sizes in nodes, labels the smallest node so far.
-
-    A union-find scan is sequential, so time is halved again and again instead. In each round the whole
-    left half of every time range is united at once by one distributed component search, and the right
-    half is rewritten in terms of the resulting labels and their sizes. After log2(rows / slice_rows)
-    rounds every slice starts from correct labels and is independent of all others. Memory per
-    slice is bounded by its own rows. Nodes seen in only one transaction of a slice are folded into it.
-    """
-    members = pin(members, "members")
-    per_tx = members.groupBy("ts", "tx").agg(F.count(F.lit(1)).alias("n"))
-    ranked = prefix_totals(per_tx, *time_levels("ts", "tx"), ["ts", "tx"], ["n"])
-    ranked = pin(ranked.withColumn("slice", F.floor(F.col("before_n") / slice_rows)), "slices")
-    n_slices = (ranked.agg(F.max("slice")).first()[0] or 0) + 1
-    depth = max(0, (n_slices - 1).bit_length())
-
-    state = members.join(ranked.select("ts", "tx", "slice"), ["ts", "tx"]).select(
-        "slice", "ts", "tx", "is_primary", F.col("node").alias("label"),
-        F.lit(1).cast("bigint").alias("size"), F.lit(0).cast("bigint").alias("txs"))
-    state = pin(state, "replay")
-    for level in range(depth - 1, -1, -1):
-        half = F.shiftright("slice", level)
-        tagged = state.withColumn("_range", F.shiftright("slice", level + 1)).withColumn("_right", half % 2 == 1)
-        left = tagged.where(~F.col("_right"))
-        key = lambda c: F.concat_ws("|", F.col("_range").cast("string"), c)
-        stars = star_edges(left.select(F.concat_ws("|", F.col("_range").cast("string"), "tx").alias("g"),
-                                       key(F.col("label")).alias("k")), "g", "k")
-        labels = component_labels(stars)
-        weights = left.groupBy("_range", "label").agg(F.first("size").alias("size"), F.first("txs").alias("txs"))
-        named = weights.select("*", key(F.col("label")).alias("node")).join(labels, "node")
-        # transactions are counted on the component of any one of their nodes
-        counted = left.groupBy("_range", "tx").agg(F.min("label").alias("label"))
-        counted = counted.select(key(F.col("label")).alias("node")).join(labels, "node").groupBy("component").agg(
-            F.count(F.lit(1)).alias("new_txs"))
-        merged = named.groupBy("_range", "component").agg(F.sum("size").alias("size"), F.sum("txs").alias("txs"),
-                                                          F.min("label").alias("to"))
-        merged = merged.join(counted, "component").select(
-            "component", "to", "size", (F.col("txs") + F.col("new_txs")).alias("txs"))
-        moved = named.select("_range", "label", "component").join(merged, "component").select(
-            "_range", "label", F.lit(True).alias("_right"), "to", F.col("size").alias("size2"),
-            F.col("txs").alias("txs2"))
-        state = pin(tagged.join(moved, ["_range", "label", "_right"], "left").select(
-            "slice", "ts", "tx", "is_primary", F.coalesce("to", "label").alias("label"),
-            F.coalesce("size2", "size").alias("size"), F.coalesce("txs2", "txs").alias("txs")), "replay")
-
-    per_label = state.groupBy("slice", "label").agg(F.min("tx").alias("_a"), F.max("tx").alias("_z"))
-    lone = (F.col("_a") == F.col("_z")) & ~F.col("is_primary") & (F.col("txs") == 0)
-    distinct = state.groupBy("slice", "ts", "tx", "label").agg(
-        F.max("is_primary").alias("is_primary"), F.first("size").alias("size"), F.first("txs").alias("txs"))
-    flagged = distinct.join(per_label, ["slice", "label"]).withColumn("_lone", lone)
-    per_tx = flagged.groupBy("slice", "tx").agg(
-        F.coalesce(F.sum(F.when(F.col("_lone"), F.col("size"))), F.lit(0)).alias("extra_size"),
-        F.min(F.when(F.col("_lone"), F.col("label"))).alias("extra_label"),
-        F.max(F.when(F.col("is_primary"), F.col("label"))).alias("primary_label"))
-    shared = flagged.where(~F.col("_lone")).select("slice", "tx", "label", "size", "txs")
-    times = ranked.select("slice", "ts", "tx")
-    pieces = times.join(per_tx, ["slice", "tx"]).join(shared, ["slice", "tx"], "left")
-    return pieces.groupBy("slice").applyInPandas(_merge_in_order, _REPLAY_SCHEMA)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerscope.functions import exprs as X
 from ledgerscope.functions.ordering import exact_percentiles, unpivot
-from ledgerscope.operators import components
+from ledgerscope.operators import chronology, components
 from ledgerscope.session import pin
 
 TX, TS = "transaction_id", "timestamp_epoch_sec"
@@ -104,30 +104,28 @@ def cluster_members(transactions: DataFrame, inputs: DataFrame, outputs: DataFra
         F.col(TS).alias("ts"), F.col(TX).alias("tx"), "node", "is_primary")
 
 
-def cluster_history(transactions: DataFrame, inputs: DataFrame, outputs: DataFrame,
-                    slice_rows: int = 500_000) -> DataFrame:
+def cluster_history(transactions: DataFrame, inputs: DataFrame, outputs: DataFrame) -> DataFrame:
     """Entity of the primary sender just before each transaction: id, size, transactions so far."""
-    past = components.component_history(cluster_members(transactions, inputs, outputs), slice_rows)
+    past = chronology.component_history(cluster_members(transactions, inputs, outputs))
     return transactions.select(TX).join(past.withColumnRenamed("tx", TX), TX, "left").select(
         TX, F.coalesce(F.concat(F.lit("cluster_"), "prior_label"), F.lit("cluster_unknown")).alias("hist_cluster_id"),
         F.coalesce("prior_size", F.lit(0)).alias("hist_cluster_size"),
         F.coalesce("prior_txs", F.lit(0)).alias("hist_cluster_tx_count"))
 
 
-def component_growth(transactions: DataFrame, inputs: DataFrame, outputs: DataFrame,
-                     slice_rows: int = 500_000) -> DataFrame:
+def component_growth(transactions: DataFrame, inputs: DataFrame, outputs: DataFrame) -> DataFrame:
     """Nodes (addresses and transactions) in each transaction's weak component, itself included."""
     addresses = edges(transactions, inputs, outputs).select(
         F.col(TS).alias("ts"),
         F.when(F.col("edge_type") == "INPUT_TO", F.col("target")).otherwise(F.col("source")).alias("t"),
         F.when(F.col("edge_type") == "INPUT_TO", F.col("source")).otherwise(F.col("target")).alias("node")).distinct()
     members = addresses.select("ts", F.expr("substring(t, 4)").alias("tx"), "node", F.lit(False).alias("is_primary"))
-    grown = components.component_history(members, slice_rows)
+    grown = chronology.component_history(members)
     return transactions.select(TX).join(grown.withColumnRenamed("tx", TX), TX, "left").select(
         TX, F.coalesce(F.col("size") + F.col("txs"), F.lit(1)).alias("hist_component_size"))
 
 
-def graph_features(tables: Mapping[str, DataFrame], timeline: DataFrame, slice_rows: int = 500_000) -> DataFrame:
+def graph_features(tables: Mapping[str, DataFrame], timeline: DataFrame) -> DataFrame:
     """All eleven graph features, one row per transaction."""
     tx, ins, outs = (tables[n] for n in ("transactions", "transaction_inputs", "transaction_outputs"))
     near = tx.select(TX).join(neighbour_history(timeline), TX, "left")
@@ -135,8 +133,8 @@ def graph_features(tables: Mapping[str, DataFrame], timeline: DataFrame, slice_r
     means = ["hist_in_mean_neighbor_degree", "hist_out_mean_neighbor_degree", "hist_address_reuse_ratio"]
     near = near.select(TX, *[F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in counts],
                        *[F.coalesce(c, F.lit(0.0)).alias(c) for c in means])
-    return near.join(component_growth(tx, ins, outs, slice_rows), TX).join(
-        cluster_history(tx, ins, outs, slice_rows), TX)
+    return near.join(component_growth(tx, ins, outs), TX).join(
+        cluster_history(tx, ins, outs), TX)
 
 
 def final_clusters(transactions: DataFrame, inputs: DataFrame, outputs: DataFrame) -> DataFrame:

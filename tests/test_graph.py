@@ -67,17 +67,17 @@ def replay_growth(rows):
     return out
 
 
-# slice sizes that need no halving, and several rounds of it
-@pytest.mark.parametrize("seed,slice_rows", [(1, 1000), (4, 40)])
-def test_chronological_replay(ledger, random_rows, seed, slice_rows):
-    rows = random_rows(seed, 40, 40)
+# few and many addresses: one giant component, and several rounds of contraction
+@pytest.mark.parametrize("seed,addresses", [(1, 40), (4, 40), (6, 200)])
+def test_chronological_replay(ledger, random_rows, seed, addresses):
+    rows = random_rows(seed, 60, addresses)
     t = ledger(rows)
     args = t["transactions"], t["transaction_inputs"], t["transaction_outputs"]
     want, sets = replay_clusters(rows)
-    got = {r[0]: (r[1], r[2], r[3]) for r in g.cluster_history(*args, slice_rows=slice_rows).select(
+    got = {r[0]: (r[1], r[2], r[3]) for r in g.cluster_history(*args).select(
         "transaction_id", "hist_cluster_id", "hist_cluster_size", "hist_cluster_tx_count").collect()}
     assert got == want
-    growth = {r[0]: r[1] for r in g.component_growth(*args, slice_rows=slice_rows).collect()}
+    growth = {r[0]: r[1] for r in g.component_growth(*args).collect()}
     assert growth == replay_growth(rows)
     final = {r["address"]: (r["cluster_root"], r["cluster_size"], r["cluster_tx_count"]) for r in g.final_clusters(*args).collect()}
     assert final == {a: (sets.find(a), sets.size[sets.find(a)], sets.txs[sets.find(a)]) for a in sets.parent}

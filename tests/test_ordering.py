@@ -8,7 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerscope.functions.ordering import chronological_index, exact_percentiles, prefix_totals, running_before, value_bucket
+from ledgerscope.functions import ordering
+from ledgerscope.functions.ordering import chronological_index, exact_percentiles, global_positions, prefix_totals, running_before, value_bucket
 
 
 @pytest.mark.parametrize("seed", [1, 2])
@@ -55,3 +56,22 @@ def test_prefix_totals_and_index(spark):
     totals = prefix_totals(df, F.floor(F.col("ts") / 3600), F.struct("ts", F.substring("id", 1, 1)), ["ts", "id"], ["v"]).collect()
     for r in totals:
         assert r["before_v"] == sum(v for ts, i, v in rows if (ts, i) < (r["ts"], r["id"]))
+
+
+def test_positions_of_one_second_and_one_prefix_use_all_tasks(spark, monkeypatch):
+    rng = random.Random(9)
+    ids = [f"same-prefix-{rng.randrange(16 ** 8):08x}-{i}" for i in range(4000)]
+    df = spark.createDataFrame([(77, i) for i in ids], "ts bigint, id string").repartition(6)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "6")
+    try:
+        dealt = []
+        plain = ordering.pin
+        monkeypatch.setattr(ordering, "pin", lambda frame, label: dealt.append(plain(frame, label)) or dealt[0])
+        rows = global_positions(df, ["ts", "id"], "at").collect()
+        sizes = [r["count"] for r in dealt[0].groupBy(F.shiftright("_line", 33)).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "2")
+    assert [r["id"] for r in sorted(rows, key=lambda r: r["at"])] == sorted(ids) and {r["at"] for r in rows} == set(range(4000))
+    assert len(sizes) == 6 and max(sizes) < 2 * min(sizes) + 200
