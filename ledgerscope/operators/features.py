@@ -134,6 +134,18 @@ def address_events(transactions: DataFrame, inputs: DataFrame, outputs: DataFram
         *[F.sum(c).alias(c) for c in ("in_rows", "out_rows", "is_sender", "sent", "received", "new_cp")])
 
 
+def linked_events(transactions: DataFrame, inputs: DataFrame, outputs: DataFrame) -> DataFrame:
+    """``address_events`` for streams: the addresses that a transaction links an address to, in place of the count of new ones."""
+    tx = with_sender_key(transactions, primary_senders(inputs)).select(TX, "sender_key")
+    outs = outputs.select(TX, F.trim("output_address").alias("address")).where("address IS NOT NULL").distinct().join(tx, TX)
+    links = outs.select(TX, F.explode(F.array(F.struct(F.col("address").alias("a"), F.col("sender_key").alias("b")),
+                                              F.struct(F.col("sender_key").alias("a"), F.col("address").alias("b")))).alias("l"))
+    others = links.groupBy(TX, F.col("l.a").alias("address")).agg(F.collect_set(F.coalesce("l.b", F.lit(""))).alias("counterparties"))
+    events = address_events(transactions, inputs, outputs).drop("new_cp")
+    matched = others.select(F.col(TX).alias("_t"), F.col("address").alias("_a"), "counterparties")
+    return events.join(matched, (F.col(TX) == F.col("_t")) & F.col("address").eqNullSafe(F.col("_a")), "left").drop("_t", "_a")
+
+
 def address_timeline(transactions: DataFrame, inputs: DataFrame, outputs: DataFrame) -> DataFrame:
     """One row per (address, transaction) with everything known about the address before it.
 
