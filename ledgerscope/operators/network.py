@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerscope.functions import addresses
 from ledgerscope.functions import exprs as X
 
 TX = "transaction_id"
@@ -46,34 +49,62 @@ def flows(events: DataFrame, top: int | None = None) -> DataFrame:
     return out if top is None else out.orderBy(F.desc("event_count"), "src_ip", "dst_ip").limit(top)
 
 
-def ranges_by_bucket(ranges: DataFrame, bits: int = 16) -> DataFrame:
-    """Address ranges with one row per block of ``bits`` low bits that they touch."""
-    size = 2 ** bits
-    blocks = F.sequence(F.floor(F.col("start_ip") / size), F.floor(F.col("end_ip") / size))
-    return ranges.select("*", F.explode(blocks).alias("block"))
+FIELDS = ["country", "country_code", "region", "city", "latitude", "longitude", "asn", "as_name", "as_domain"]
 
 
-def enrich_ips(ips: DataFrame, ranges: DataFrame, bits: int = 16) -> DataFrame:
-    """Place and network owner of each distinct ``ip``; reserved ones get ZZ, unknown ones nothing.
+def range_prefixes(ranges: DataFrame) -> DataFrame:
+    """IPv4 ranges ``start_ip`` to ``end_ip`` as the prefixes that make them up, at most two per length.
 
-    A range join without a cross product: both sides meet on the /16 block, then the bounds decide.
-    Where ranges overlap the narrowest wins.
+    ``prefix``, its length ``bits``, the address ``width`` (32) and the ``span`` of the whole range, which decides between
+    overlapping ranges. A /0 or /8 stays one row.
+    """
+    end = F.col("end_ip") + 1
+    cut = ranges.where(F.col("start_ip") < end).select("*", F.explode(F.sequence(F.lit(0), F.lit(32))).alias("_k"))
+    size = F.pow(F.lit(2.0), F.col("_k")).cast("bigint")
+    low, high = F.floor((F.col("start_ip") + size - 1) / size), F.floor(end / size)
+    blocks = F.when(low < high, F.array_compact(F.array(F.when(low % 2 == 1, low), F.when(high % 2 == 1, high - 1))))
+    pieces = cut.select(*FIELDS, "start_ip", (F.col("end_ip") - F.col("start_ip")).cast("double").alias("span"), size.alias("_size"),
+                        (F.lit(32) - F.col("_k")).alias("bits"), F.explode(blocks).alias("_block"))
+    key = addresses.v4_key(F.col("_block") * F.col("_size"))
+    return pieces.select(*FIELDS, "span", addresses.v4_key(F.col("start_ip")).alias("first"), F.lit(32).alias("width"), "bits",
+                         addresses.prefix_of(key, F.col("bits")).alias("prefix"))
+
+
+def network_prefixes(networks: DataFrame) -> DataFrame:
+    """Networks of either family, ``network`` as ``address/bits``, in the form of ``range_prefixes``; malformed ones are left out."""
+    bits = F.substring_index("network", "/", -1).try_cast("int")
+    keyed = networks.select(*FIELDS, addresses.ip_key(F.substring_index("network", "/", 1)).alias("_key"), bits.alias("bits"))
+    width = (F.length("_key") * 4).cast("int")
+    sound = keyed.withColumn("width", width).where(F.col("_key").isNotNull() & F.col("bits").between(0, F.col("width")))
+    return sound.select(*FIELDS, F.pow(F.lit(2.0), F.col("width") - F.col("bits")).alias("span"), F.col("_key").alias("first"), "width", "bits",
+                        addresses.prefix_of(F.col("_key"), F.col("bits")).alias("prefix"))
+
+
+def enrich_ips(ips: DataFrame, ranges: DataFrame | None = None, networks: DataFrame | None = None) -> DataFrame:
+    """Place and network owner of each distinct ``ip``, IPv4 or IPv6; reserved ones get ZZ, unknown ones nothing.
+
+    Ranges and networks become prefixes. Each address looks up its own prefix of every length that there is (at most 33 and 129), so the
+    join is one on equal keys and no range is spread out. Where several hold an address the narrowest wins, then the one that starts first.
     """
-    # the number comes out of the aggregate, so no later expression parses the text again
-    numbered = ips.groupBy("ip").agg(F.max(X.ipv4_number("ip")).alias("n"))
-    numbered = numbered.select("*", F.coalesce(X.is_reserved_ip("n"), F.lit(False)).alias("is_private"),
-                               F.floor(F.col("n") / 2 ** bits).alias("block"))
-    fields = ["country", "country_code", "region", "city", "latitude", "longitude", "asn", "as_name", "as_domain"]
-    candidates = numbered.where(~F.col("is_private")).join(ranges_by_bucket(ranges, bits), "block").where(
-        F.col("n").between(F.col("start_ip"), F.col("end_ip")))
-    hit = candidates.groupBy("ip").agg(F.min_by(
-        F.struct(*fields), F.struct(F.col("end_ip") - F.col("start_ip"), "start_ip")).alias("r"))
-    private = F.col("is_private")
-    out = numbered.join(hit, "ip", "left")
+    parts = [p for p in (range_prefixes(ranges) if ranges is not None else None, network_prefixes(networks) if networks is not None else None) if p is not None]
+    if not parts:
+        raise ValueError("ranges or networks are needed")
+    prefixes = reduce(DataFrame.unionAll, [p.select(*FIELDS, "span", "first", "width", "bits", "prefix") for p in parts])
+    # the key comes out of the aggregate, so no later expression parses the text again
+    keyed = ips.groupBy("ip").agg(F.max(addresses.ip_key("ip")).alias("key"), F.max(X.ipv4_number("ip")).alias("n"))
+    keyed = keyed.select("ip", "key", addresses.is_reserved(F.col("key"), F.col("n")).alias("is_private"), (F.length("key") * 4).alias("width"))
+    lengths = prefixes.groupBy("width").agg(F.collect_set("bits").alias("lengths"))  # two rows
+    tries = keyed.where(F.col("key").isNotNull() & ~F.col("is_private")).join(F.broadcast(lengths), "width").select(
+        "ip", "key", "width", F.explode("lengths").alias("bits"))
+    tries = tries.select("ip", "width", "bits", addresses.prefix_of(F.col("key"), F.col("bits")).alias("prefix"))
+    hit = tries.join(prefixes, ["width", "bits", "prefix"]).groupBy("ip").agg(
+        F.min_by(F.struct(*FIELDS), F.struct("span", "first", F.to_json(F.struct(*FIELDS)))).alias("r"))
+    private = F.coalesce("is_private", F.lit(False))
+    out = keyed.join(hit, "ip", "left")
     special = {"country": F.lit("Private / Reserved"), "country_code": F.lit("ZZ")}
     return out.select("ip", *[
         (F.when(private, special[f]).otherwise(F.col(f"r.{f}")) if f in special else F.col(f"r.{f}")).alias(f)
-        for f in fields], private.alias("is_private"), F.col("r.latitude").isNotNull().alias("is_mapped"))
+        for f in FIELDS], private.alias("is_private"), F.col("r.latitude").isNotNull().alias("is_mapped"))
 
 
 def map_points(points: DataFrame, enrichment: DataFrame) -> DataFrame:

@@ -222,6 +222,32 @@ def enrichment(b: Bench):
     return net.enrich_ips(net.endpoints(b.net), ip_ranges(b))
 
 
+# IPv6 addresses and networks made of keys of the given tables, some reserved, some in nested networks
+shared("w_six", """SELECT DISTINCT printf('2a%02x:%x::%x', user_id % 40, event_id % 9, event_id % 5) AS ip, printf('2a%02x%04x00000000000000000000%04x', user_id % 40, event_id % 9, event_id % 5) AS key, false AS p FROM events
+ UNION SELECT DISTINCT printf('fe80::%x', user_id % 50), printf('fe80000000000000000000000000%04x', user_id % 50), true FROM events""")
+shared("w_net6", """SELECT s_suppkey, printf('2a%02x%04x', s_suppkey % 40, s_suppkey % 9) AS prefix, 32 AS bits FROM supplier WHERE s_suppkey % 3 = 0
+ UNION ALL SELECT s_suppkey, printf('2a%02x', s_suppkey % 40), 16 FROM supplier WHERE s_suppkey % 3 = 1""")
+
+
+@query("w05_ipv6_enrichment", """SELECT i.ip, CASE WHEN p THEN 'Private / Reserved' ELSE r.country END AS country, p AS is_private, r.asn, r.asn IS NOT NULL AS is_mapped
+ FROM w_six i LEFT JOIN (SELECT * FROM (SELECT i.ip, 'C' || CAST(n.s_suppkey AS VARCHAR) AS country, n.s_suppkey AS asn, row_number() OVER (PARTITION BY i.ip ORDER BY bits DESC, n.s_suppkey) AS rn
+  FROM w_six i JOIN (SELECT min(s_suppkey) AS s_suppkey, prefix, bits FROM w_net6 GROUP BY prefix, bits) n ON starts_with(i.key, n.prefix) WHERE NOT p) WHERE rn = 1) r ON r.ip = i.ip""")
+def ipv6(b: Bench):
+    """Addresses and nested networks of IPv6, by the longest prefix."""
+    ev = b.source("events")
+    text = lambda *c: F.format_string(*c)
+    u, e = F.col("user_id"), F.col("event_id")
+    ips = ev.select(text("2a%02x:%x::%x", u % 40, e % 9, e % 5).alias("ip")).union(ev.select(text("fe80::%x", u % 50).alias("ip"))).distinct()
+    k = F.col("s_suppkey")
+    named = b.source("supplier").where(k % 3 < 2).select(
+        F.when(k % 3 == 0, text("2a%02x:%x::/32", k % 40, k % 9)).otherwise(text("2a%02x::/16", k % 40)).alias("network"), "s_suppkey")
+    first = named.groupBy("network").agg(F.min("s_suppkey").alias("k"))
+    none = F.lit(None).cast("string")
+    networks = first.select("network", F.concat(F.lit("C"), F.col("k").cast("string")).alias("country"), none.alias("country_code"), none.alias("region"), none.alias("city"),
+                            F.lit(1.0).alias("latitude"), F.lit(1.0).alias("longitude"), F.col("k").cast("bigint").alias("asn"), none.alias("as_name"), none.alias("as_domain"))
+    return net.enrich_ips(ips, networks=networks).select("ip", "country", "is_private", "asn", "is_mapped")
+
+
 shared("w_row", """SELECT n.*, total_output_value_satoshi, risk_score, risk_level FROM c_net n JOIN c_tx USING (transaction_id) JOIN c_res r ON r.entity_id = n.transaction_id AND analysis_id = 'an1'""")
 
 

@@ -61,3 +61,65 @@ def test_scalar_expressions(spark):
     assert [tuple(r) for r in rows] == [("0.00001000", 15, 15, 13, 1_270_000_000, "AS15"), ("1.23456789", None, 0, 0, 1, "x")]
     levels = [r[0] for r in spark.createDataFrame([(x,) for x in (0.3199, 0.32, 0.4999, 0.50, 0.6699, 0.67, None)], "s double").select(X.risk_level("s")).collect()]
     assert levels == ["low", "medium", "medium", "high", "high", "critical", None]
+
+
+def v6_texts():
+    rng = random.Random(17)
+    texts = ["::", "::1", "1::", "fe80::1%eth0", "::ffff:1.2.3.4", "64:ff9b::8.8.8.8", "2001:db8::", "1:2:3:4:5:6:7:8", "1:2:3:4:5:6:7::", "::2:3:4:5:6:7:8", "2a00:1450:4001:82f::200e", "2001:4:112::7",
+             "2001:1::1", "2001:1::3", "2002::5", "FE80::ABCD", "ff02::1", "1:2", ":::", "1::2::3", "1:2:3:4:5:6:7:8:9", "12345::", "g::", ":1::", "1:", "::1.2.3", "::300.1.1.1", "", "1:2:3:4:5:6:7:8::", "3fff:ffff::1", "4000::"]
+    for _ in range(300):
+        groups = [f"{rng.choice([0, 0, rng.randrange(65536)]):x}" for _ in range(8)]
+        groups[0] = rng.choice(["2001", "2a02", "fc01", "2606", groups[0]])
+        import ipaddress
+        texts.append(rng.choice([":".join(groups), str(ipaddress.ip_address(":".join(groups)))]))
+    return sorted(set(texts))
+
+
+def test_ipv6_keys_and_reserved_blocks(spark):
+    import ipaddress
+
+    from pyspark.sql import functions as F
+
+    from ledgerscope.functions import addresses as a
+    df = spark.createDataFrame([(t,) for t in v6_texts()], "t string").select("t", a.ip_key("t").alias("k"), X.ipv4_number("t").alias("n"))
+    for r in df.select("t", "k", a.is_reserved(F.col("k"), F.col("n")).alias("p")).collect():
+        try:
+            ip = ipaddress.IPv6Address(r["t"])
+        except ValueError:
+            assert r["k"] is None, r["t"]
+            continue
+        assert r["k"] == f"{int(ip):032x}", r["t"]
+        reserved = ip.is_private or ip.is_loopback or ip.is_reserved or ip.is_multicast or ip.is_unspecified or ip.is_link_local
+        assert r["p"] == reserved, r["t"]
+
+
+def test_longest_prefix_equals_scan(spark):
+    """Nested and wide networks of both families, the widest included; none is spread out."""
+    import ipaddress
+    rng = random.Random(23)
+    nets = ["0.0.0.0/0", "8.0.0.0/8", "8.8.0.0/16", "8.8.8.0/24", "8.8.8.8/32", "::/0", "2a00::/12", "2a00:1450::/32", "2a00:1450:4001::/48", "2a00:1450:4001:82f::200e/128", "2600::/7"]
+    nets += [f"{ipaddress.ip_network((rng.getrandbits(32), n), strict=False)}" for n in range(1, 31, 2)] + [f"{ipaddress.ip_network((0x2a << 120 | rng.getrandbits(120), n), strict=False)}" for n in (9, 21, 30, 45, 61, 77, 127)]
+    ips = ["8.8.8.8", "8.8.8.9", "8.8.9.1", "8.1.1.1", "9.9.9.9", "2a00:1450:4001:82f::200e", "2a00:1450:4001:1::", "2a00:1450:1::", "2a00:1::", "2a10::", "2601::", "3000::1", "bad"]
+    ips += [str(ipaddress.ip_network(x).network_address + 1) if ipaddress.ip_network(x).num_addresses > 2 else str(ipaddress.ip_network(x).network_address) for x in nets]
+    fields = "network string, country string, country_code string, region string, city string, latitude double, longitude double, asn bigint, as_name string, as_domain string"
+    networks = spark.createDataFrame([(x, x, None, None, None, 1.0, 1.0, 1, None, None) for x in [*nets, "1.2.3.4/40", "zz/8"]], fields)
+    got = {r["ip"]: r for r in n.enrich_ips(spark.createDataFrame([(i,) for i in ips], "ip string"), networks=networks).collect()}
+    assert len(got) == len(set(ips)) and n.network_prefixes(networks).count() == len(nets)
+    for ip in set(ips) - {"bad"}:
+        if got[ip]["is_private"]:
+            continue
+        inside = [x for x in nets if ipaddress.ip_address(ip) in ipaddress.ip_network(x)]
+        assert got[ip]["country"] == max(inside, key=lambda x: ipaddress.ip_network(x).prefixlen), ip
+    assert not got["bad"]["is_mapped"]
+
+
+def test_ranges_become_few_prefixes(spark):
+    import ipaddress
+    spans = [(0, 2 ** 32 - 1), (0, 2 ** 24 - 1), (1, 2 ** 32 - 2), (77, 77), (16_777_210, 33_554_500)]
+    r = spark.createDataFrame([(a, z, f"{a}-{z}", None, None, None, 1.0, 1.0, 1, None, None) for a, z in spans], schemas.IP_RANGES)
+    got = {}
+    for row in n.range_prefixes(r).collect():
+        got.setdefault(row["country"], []).append((int(row["prefix"].ljust(8, "0") or "0", 16), row["bits"]))
+    for a, z in spans:
+        want = [(int(x.network_address), x.prefixlen) for x in ipaddress.summarize_address_range(ipaddress.ip_address(a), ipaddress.ip_address(z))]
+        assert sorted(got[f"{a}-{z}"]) == sorted(want)
