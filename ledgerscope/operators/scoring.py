@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator, Mapping, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -17,9 +18,9 @@ from pyspark.sql import functions as F
 
 from ledgerscope import schemas
 from ledgerscope.functions import exprs as X
-from ledgerscope.functions.ordering import exact_percentiles, prefix_totals, unpivot
+from ledgerscope.functions.ordering import exact_percentiles, global_positions, unpivot
 from ledgerscope.operators import metrics, quality
-from ledgerscope.session import shared_folder
+from ledgerscope.session import pin, shared_folder
 from ledgerscope.sources.sinks import replace_by_key
 
 TX = "transaction_id"
@@ -158,6 +159,50 @@ def fit_multiclass(train: DataFrame, label: str = "behavior_type", features: Seq
     return Pipeline(stages=[index, *assemble_stages(features), forest]).fit(complete(train))
 
 
+class BoostedClasses:
+    """One boosted model per class against the rest; probabilities are normalised over the classes."""
+
+    def __init__(self, encoding, classes: Sequence[str], models: Sequence[GBTClassificationModel]) -> None:
+        self.encoding, self.classes, self.models = encoding, list(classes), list(models)
+
+    def transform(self, rows: DataFrame, out: str = "class_probability") -> DataFrame:
+        """Add ``out``, the probabilities in the order of ``classes``."""
+        scored = self.encoding.transform(rows)
+        columns = scored.columns
+        for i, model in enumerate(self.models):
+            for name in ("rawPrediction", "probability", "prediction"):
+                scored = scored.drop(name)
+            scored = model.transform(scored).withColumn(f"_p{i}", vector_to_array("probability")[1])
+        parts = [F.col(f"_p{i}") for i in range(len(self.models))]
+        total = F.greatest(reduce(lambda a, b: a + b, parts), F.lit(1e-300))
+        return scored.select(*columns, F.array(*[p / total for p in parts]).alias(out))
+
+
+def fit_boosted_classes(train: DataFrame, label: str = "behavior_type", features: Sequence[str] = tuple(MODEL_FEATURES), rounds: int = 10,
+                        depth: int = 4, seed: int = 42) -> BoostedClasses:
+    """Boosted models of all classes found in ``train``, over features encoded and assembled once. The number of classes is that of the label."""
+    ready = complete(train).where(F.col(label).isNotNull())
+    encoding = Pipeline(stages=assemble_stages(features)).fit(ready)
+    rows = pin(encoding.transform(ready).select("vector", label), "class-rows")
+    classes = [r[0] for r in rows.select(label).distinct().orderBy(label).collect()]
+    models = []
+    for c in classes:
+        target = rows.select("vector", (F.col(label) == c).cast("double").alias("_y"))
+        models.append(GBTClassifier(featuresCol="vector", labelCol="_y", maxIter=rounds, maxDepth=depth, seed=seed).fit(target))
+    return BoostedClasses(encoding, classes, models)
+
+
+def class_quality(rows: DataFrame, classes: Sequence[str], probability: str, label: str = "behavior_type") -> DataFrame:
+    """Accuracy, macro and weighted F1 and log loss of class probabilities; a label the model doesn't know counts as missed."""
+    names = F.array(*[F.lit(c) for c in classes])
+    p = F.col(probability)
+    at = F.array_position(names, F.col(label))
+    judged = pin(rows.select(F.col(label), F.element_at(names, F.array_position(p, F.array_max(p)).cast("int")).alias("_guess"),
+                             F.when(at > 0, F.element_at(p, F.greatest(at, F.lit(1)).cast("int"))).otherwise(0.0).alias("_own")), "judged")
+    summary = metrics.multiclass_summary(metrics.multiclass_report(judged, label, "_guess"))
+    return summary.crossJoin(F.broadcast(metrics.log_loss(judged, "_own")))  # one row each
+
+
 def positive_probability(scored: DataFrame) -> DataFrame:
     return scored.withColumn("risk_score", X.clip(vector_to_array("probability")[1], 0.0, 1.0))
 
@@ -247,7 +292,7 @@ def linear_contributions(coefficients: Sequence[float], means: Mapping[str, floa
                      for f, b in zip(features, coefficients)])
 
 
-def _read_trees(model) -> list[tuple[float, dict[int, tuple]]]:
+def read_trees(model) -> list[tuple[float, dict[int, tuple]]]:
     """(weight, node table) per tree, read from the saved model; its size is fixed by trees and depth."""
     spark = SparkSession.active()
     path = f"{shared_folder(spark)}/model-{uuid.uuid4().hex}"
@@ -274,7 +319,7 @@ def tree_contributions(scored: DataFrame, model, n_features: int, vector: str =
     forest = isinstance(model, RandomForestClassificationModel)
     if not forest and not isinstance(model, GBTClassificationModel):
         raise TypeError("a tree ensemble is needed")
-    trees = _read_trees(model)
+    trees = read_trees(model)
     if forest:
         trees = [(1.0 / len(trees), t) for _, t in trees]
 
@@ -387,20 +432,37 @@ def ablation_runs(rows: DataFrame, label: str, split: str, estimator: Callable[[
 
 
 def shuffled_target(rows: DataFrame, label: str, key: str = TX, seed: int = 42) -> DataFrame:
-    """Rows with their label replaced by that of another row: a random pairing of two hashed orders.
-
-    Positions come from distributed prefix sums over hash buckets, so no task sees the whole table.
-    """
+    """Rows with their labels dealt anew: a uniform permutation, from the places of the rows in two independent hashed orders."""
     def ranked(salt: int, *columns: str) -> DataFrame:
-        h = rows.select(*columns, F.xxhash64(key, F.lit(seed + salt)).alias("_h"), F.lit(1).cast("bigint").alias("_one"),
-                        F.col(key).alias("_k"))
-        return prefix_totals(h, F.shiftright("_h", 52), F.shiftright("_h", 40), ["_h", "_k"], ["_one"])
+        hashed = rows.select(*columns, F.xxhash64(key, F.lit(seed + salt)).alias("_h"), F.col(key).alias("_k"))
+        return global_positions(hashed, ["_h", "_k"], "_p")
 
-    a = ranked(0, *rows.columns).drop("_one", "_k", "_h").withColumnRenamed("before__one", "_p")
-    b = ranked(1, label).select(F.col(label).alias("_other"), F.col("before__one").alias("_p"))
+    a = ranked(0, *rows.columns).drop("_k", "_h")
+    b = ranked(1, label).select(F.col(label).alias("_other"), "_p")
     return a.join(b, "_p").select(*[F.col("_other").alias(label) if c == label else F.col(c) for c in rows.columns])
 
 
+def permutation_check(rows: DataFrame, label: str, split: str, estimators: Mapping[str, object],
+                      shuffle: Callable[[DataFrame, str], DataFrame] = shuffled_target) -> DataFrame:
+    """Validation scores of each estimator fitted to the training labels and to a permutation of them, with the drops.
+
+    A model that has learned something falls to chance: about 0.5 for ROC, the positive share for PR.
+    """
+    train, val = rows.where(F.col(split) == "train"), rows.where(F.col(split) == "val")
+    out = None
+    for name, estimator in estimators.items():
+        scores = [metrics.ranking_metrics(positive_probability(fit(part, label, estimator).transform(complete(val))), "risk_score", label)
+                  for part in (train, shuffle(train, label))]
+        base, permuted = (m.select(F.col("roc_auc").alias(f"{p}roc_auc"), F.col("pr_auc").alias(f"{p}pr_auc"), F.lit(1).alias("_j"))
+                          for m, p in zip(scores, ("", "permuted_")))
+        row = base.join(permuted, "_j").select(
+            F.lit(name).alias("candidate"), "roc_auc", "pr_auc", "permuted_roc_auc", "permuted_pr_auc",
+            *[(F.col(m) - F.col(f"permuted_{m}")).alias(f"{m}_drop") for m in ("roc_auc", "pr_auc")],
+            *[((F.col(m) - F.col(f"permuted_{m}")) / F.col(m) * 100).alias(f"{m}_pct_drop") for m in ("roc_auc", "pr_auc")])
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 def class_distributions(rows: DataFrame, features: Sequence[str], by: str = "behavior_type") -> DataFrame:
     """Per class and feature: min, quartiles, max, share of zeros and of ones."""
     long = unpivot(rows, features, [by])

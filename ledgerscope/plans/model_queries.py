@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from ledgerscope.functions import exprs as X
 from ledgerscope.functions.ordering import unpivot
-from ledgerscope.operators import metrics as m, scoring as s
+from ledgerscope.operators import metrics as m, scoring as s, shapley
 from ledgerscope.plans.bench import Bench, TX
 from ledgerscope.plans.oracles import shared
 from ledgerscope.plans.registry import query
@@ -161,14 +161,14 @@ def _binary(b: Bench):
     key = (b.spark.sparkContext.applicationId, b.folder, "binary")
     if key not in _MODELS:
         train = b.modelling.where(F.col(SPLIT) == "train")
-        _MODELS[key] = s.fit(train, LABEL, GBTClassifier(featuresCol="vector", labelCol=LABEL, weightCol="class_weight", maxIter=8, maxDepth=4, seed=42))
+        _MODELS[key] = s.fit(train, LABEL, s.binary_candidates(LABEL)["boosted_shallow"])
     return _MODELS[key]
 
 
 def _multi(b: Bench):
     key = (b.spark.sparkContext.applicationId, b.folder, "multi")
     if key not in _MODELS:
-        _MODELS[key] = s.fit_multiclass(b.modelling.where(F.col(SPLIT) == "train"), trees=10)
+        _MODELS[key] = s.fit_multiclass(b.modelling.where(F.col(SPLIT) == "train"))
     return _MODELS[key]
 
 
@@ -190,6 +190,17 @@ def scored_results(b: Bench):
     return s.score(test, _binary(b), _multi(b), "an9", "bench")
 
 
+@query("m04_class_candidates")
+def class_candidates(b: Bench):
+    """Validation quality of the forest and of boosted classes."""
+    train, val = (b.modelling.where(F.col(SPLIT) == x) for x in ("train", "val"))
+    forest = _multi(b)
+    scored = forest.transform(s.complete(val)).withColumn("class_probability", vector_to_array("probability"))
+    rows = s.class_quality(scored, forest.stages[0].labels, "class_probability").withColumn("candidate", F.lit("random_forest"))
+    boosted = s.fit_boosted_classes(train)
+    return rows.unionByName(s.class_quality(boosted.transform(s.complete(val)), boosted.classes, "class_probability").withColumn("candidate", F.lit("boosted")))
+
+
 def _ablations(b: Bench):
     return s.ablation_runs(b.modelling, LABEL, SPLIT, lambda: s.binary_candidates(LABEL)["random_forest"])
 
@@ -209,6 +220,13 @@ def shuffled(b: Bench):
     return s.shuffled_target(b.labels.select(TX, LABEL), LABEL).groupBy(LABEL).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("m13_permutation_check")
+def permutation(b: Bench):
+    """The two candidates of the check, refitted to permuted training labels."""
+    own = s.binary_candidates(LABEL)
+    return s.permutation_check(b.modelling, LABEL, SPLIT, {k: own[k] for k in ("random_forest", "boosted_shallow")})
+
+
 _FOCUS = ["rel_change_value_ratio", "net_src_port", "tx_output_count", "time_day_of_week"]
 
 
@@ -315,6 +333,26 @@ def tree(b: Bench):
     return out.select(TX, "base", F.aggregate("contributions", F.lit(0.0), lambda a, x: a + x).alias("total_contribution"))
 
 
+def _shapley(b: Bench):
+    model = _binary(b)
+    return model, model.transform(s.complete(b.modelling)), s.vector_names(model, s.MODEL_FEATURES)
+
+
+@query("m19_tree_shapley")
+def tree_shapley(b: Bench):
+    """Shapley value of every slot for every row, with the margin they add up to."""
+    model, scored, names = _shapley(b)
+    margins = scored.select(TX, vector_to_array("rawPrediction")[1].alias("margin"))
+    return shapley.tree_shapley(scored, model.stages[-1], len(names)).join(margins, TX)
+
+
+@query("m18_tree_explanations")
+def tree_explanations(b: Bench):
+    """The five largest Shapley values of every row."""
+    model, scored, names = _shapley(b)
+    return shapley.explained_rows(scored, model.stages[-1], names)
+
+
 @query("m20_global_importance", "SELECT feature_name, round(avg(abs(contribution)), 6) AS mean_abs_contribution FROM x_long GROUP BY feature_name")
 def importance(b: Bench):
     return _round(s.global_importance(b.features, list(_LIN), _contributions()), 6)
