@@ -134,18 +134,23 @@ def split_order(b: Bench):
 
 
 
-@query("f27_feature_manifest", "\nUNION ALL ".join(
-    f"""SELECT '{c}' AS feature, min({c})::DOUBLE AS min, round(quantile_cont({c}::DOUBLE, 0.5), 6) AS median, round(max({c})::DOUBLE, 6) AS max, round(avg({c}), 6) AS mean,
- count(*) FILTER ({c} IS NULL) AS null_count, count(DISTINCT {c}) AS n_distinct FROM f_all""" for c in ["tx_fee_sats", "tx_size_bytes", "addr_hist_tx_count",
-    "addr_hist_active_days", "time_txs_last_1h", "net_src_port", "rel_fan_out", "rel_change_value_ratio"]))
+_NUMBERS = [c for c in schemas.MATRIX_FEATURES if c not in ("net_country", "net_asn")]
+
+
+@query("f27_feature_manifest", "\nUNION ALL ".join([
+    f"""SELECT '{c}' AS feature, 'numeric' AS kind, min({c})::DOUBLE AS min, round(quantile_cont({c}::DOUBLE, 0.5), 6) AS median, round(max({c})::DOUBLE, 6) AS max, round(avg({c}), 6) AS mean,
+ round(stddev_samp({c}::DOUBLE) / greatest(1.0::DOUBLE, abs(avg({c}))), 6) AS relative_std, count(*) FILTER ({c} IS NULL) AS null_count, count(DISTINCT {c}) AS n_distinct FROM f_all""" for c in _NUMBERS] + [
+    f"""SELECT '{c}', 'categorical', NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE, count(*) FILTER ({c} IS NULL), count(DISTINCT {c}) FROM f_all""" for c in ("net_country", "net_asn")]))
 def manifest(b: Bench):
-    names = ["tx_fee_sats", "tx_size_bytes", "addr_hist_tx_count", "addr_hist_active_days", "time_txs_last_1h", "net_src_port", "rel_fan_out",
-             "rel_change_value_ratio"]
-    p = profile.column_profile(b.features, names)
-    c = profile.cardinality(b.features, names).select("feature", "n_distinct")
-    total = quality.feature_audit(b.features, names).select("feature", "null_count")
-    return p.join(c, "feature").join(total, "feature").select(
-        "feature", "min", F.round("median", 6).alias("median"), F.round("max", 6).alias("max"), F.round("mean", 6).alias("mean"),
-        "null_count", "n_distinct")
+    """Range, centre, spread and cardinality of every column of the matrix."""
+    names = [*_NUMBERS, "net_country", "net_asn"]
+    p = profile.column_profile(b.features, _NUMBERS)
+    c = b.features.agg(*[F.count_distinct(n).alias(n) for n in names]).select(F.inline(F.array(*[F.struct(F.lit(n).alias("feature"), F.col(n).alias("n_distinct")) for n in names])))
+    nulls = b.features.agg(*[F.count(F.when(F.col(n).isNull(), 1)).alias(n) for n in names]).select(
+        F.inline(F.array(*[F.struct(F.lit(n).alias("feature"), F.col(n).alias("null_count")) for n in names])))
+    kind = F.when(F.col("feature").isin("net_country", "net_asn"), "categorical").otherwise("numeric")
+    return c.join(nulls, "feature").join(p, "feature", "left").select(
+        "feature", kind.alias("kind"), "min", *[F.round(x, 6).alias(x) for x in ("median", "max", "mean")],
+        F.round(F.col("std") / F.greatest(F.lit(1.0), F.abs("mean")), 6).alias("relative_std"), "null_count", "n_distinct")
 
 

@@ -102,7 +102,7 @@ def overfit(b: Bench):
     return _round(m.overfit_gap(b.scored, "risk_score", LABEL, SPLIT))
 
 
-_POWER = ["tx_fee_sats", "rel_change_value_ratio", "rel_fan_out", "time_hour_of_day", "addr_hist_tx_count", "net_src_port"]
+_POWER = [c for c in s.NUMERIC if not c.startswith("hist_")]
 
 
 @query("m16_single_feature_power", "WITH x AS (SELECT ground_truth_label AS y, transaction_id FROM c_lab), u AS (" + " UNION ALL ".join(
@@ -123,7 +123,7 @@ def class_weight(b: Bench):
 
 # ---- preprocessing ------------------------------------------------------------------------------
 
-_SCALED = ["tx_fee_sats", "tx_size_bytes", "tx_input_output_ratio", "addr_hist_total_sent_sats", "time_since_prev_addr_tx_sec", "rel_change_value_ratio"]
+_SCALED = [c for c in s.NUMERIC if not c.startswith("hist_")]
 shared("p_sta", " UNION ALL ".join(f"""SELECT '{c}' AS feature, quantile_cont({c}::DOUBLE, 0.5) AS median, quantile_cont({c}::DOUBLE, 0.75) - quantile_cont({c}::DOUBLE, 0.25) AS iqr
  FROM f_all JOIN m_split USING (transaction_id) WHERE temporal_split = 'train'""" for c in _SCALED))
 

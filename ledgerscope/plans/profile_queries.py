@@ -8,8 +8,11 @@ from ledgerscope.operators import dashboard as d, profile as p, quality
 from ledgerscope.plans.bench import Bench, TX
 from ledgerscope.plans.oracles import shared
 from ledgerscope.plans.registry import query
+from ledgerscope.schemas import MATRIX_FEATURES
 
 _NAMES = ["tx_fee_sats", "tx_size_bytes", "tx_total_output_sats", "addr_hist_tx_count", "net_src_port", "rel_change_value_ratio"]
+#: All columns of the matrix that are numbers.
+_ALL = [c for c in MATRIX_FEATURES if c not in ("net_country", "net_asn")]
 
 
 def _round(df, digits: int = 6):
@@ -24,9 +27,9 @@ def row_counts(b: Bench):
 
 @query("e02_column_profile", " UNION ALL ".join(f"""SELECT '{c}' AS feature, count({c}) AS n, round(avg({c}), 6) AS mean, round(min({c})::DOUBLE, 6) AS min, round(quantile_cont({c}::DOUBLE, 0.25), 6) AS p25,
  round(quantile_cont({c}::DOUBLE, 0.5), 6) AS median, round(quantile_cont({c}::DOUBLE, 0.75), 6) AS p75, round(quantile_cont({c}::DOUBLE, 0.95), 6) AS p95, round(max({c})::DOUBLE, 6) AS max,
- round(skewness({c}::DOUBLE), 5) AS skew FROM f_all""" for c in _NAMES))
+ round(skewness({c}::DOUBLE), 5) AS skew FROM f_all""" for c in _ALL))
 def column_profile(b: Bench):
-    out = p.column_profile(b.features, _NAMES)
+    out = p.column_profile(b.features, _ALL)
     return _round(out.drop("std", "skew")).join(out.select("feature", F.round("skew", 5).alias("skew")), "feature")
 
 
@@ -36,16 +39,16 @@ def column_spread(b: Bench):
 
 
 @query("e03_cardinality", " UNION ALL ".join(f"""SELECT '{c}' AS feature, count(DISTINCT {c}) AS n_distinct, CASE WHEN count(DISTINCT {c}) = 2 THEN 'Binary' WHEN count(DISTINCT {c}) < 50 THEN 'Discrete'
- ELSE 'Continuous' END AS kind FROM f_all""" for c in [*_NAMES, "rel_has_change_output", "time_day_of_week"]))
+ ELSE 'Continuous' END AS kind FROM f_all""" for c in _ALL))
 def cardinality(b: Bench):
-    return p.cardinality(b.features, [*_NAMES, "rel_has_change_output", "time_day_of_week"])
+    return p.cardinality(b.features, _ALL)
 
 
 @query("e04_iqr_outliers", " UNION ALL ".join(f"""SELECT '{c}' AS feature, count(*) FILTER ({c} < q1 - 1.5 * (q3 - q1) OR {c} > q3 + 1.5 * (q3 - q1)) AS outliers,
  count(*) FILTER ({c} < q1 - 1.5 * (q3 - q1) OR {c} > q3 + 1.5 * (q3 - q1)) * 100.0::DOUBLE / count({c}) AS outlier_pct
- FROM f_all, (SELECT quantile_cont({c}::DOUBLE, 0.25) AS q1, quantile_cont({c}::DOUBLE, 0.75) AS q3 FROM f_all)""" for c in _NAMES))
+ FROM f_all, (SELECT quantile_cont({c}::DOUBLE, 0.25) AS q1, quantile_cont({c}::DOUBLE, 0.75) AS q3 FROM f_all)""" for c in _ALL))
 def outliers(b: Bench):
-    return p.iqr_outliers(b.features, _NAMES)
+    return p.iqr_outliers(b.features, _ALL)
 
 
 @query("e05_correlations", " UNION ALL ".join(f"SELECT '{x}' AS a, '{y}' AS b, round(corr({x}::DOUBLE, {y}::DOUBLE), 6) AS r FROM f_all"
@@ -61,9 +64,9 @@ def redundant(b: Bench):
 
 
 @query("e06_group_comparison", " UNION ALL ".join(f"""SELECT ground_truth_label, '{c}' AS feature, round(quantile_cont({c}::DOUBLE, 0.5), 6) AS median, round(avg({c}), 6) AS mean
- FROM f_all JOIN c_lab USING (transaction_id) GROUP BY 1""" for c in _NAMES))
+ FROM f_all JOIN c_lab USING (transaction_id) GROUP BY 1""" for c in _ALL))
 def comparison(b: Bench):
-    return _round(p.group_comparison(b.features.join(b.labels.select(TX, "ground_truth_label"), TX), _NAMES, "ground_truth_label"))
+    return _round(p.group_comparison(b.features.join(b.labels.select(TX, "ground_truth_label"), TX), _ALL, "ground_truth_label"))
 
 
 @query("e07_ledger_span", """SELECT count(*) AS n_transactions, min(timestamp) AS first_at, max(timestamp) AS last_at, CAST(sum(total_output_value_satoshi) AS BIGINT) AS volume_satoshi,
@@ -111,10 +114,10 @@ def compare_shapes(b: Bench):
     return p.compare_shapes(one("train"), one("test")).select("behavior_type", "n_first", "n_second", "avg_outputs_first", "avg_outputs_second")
 
 
-@query("e12_null_and_duplicate_audit", """SELECT 'net_asn' AS feature, count(*) FILTER (net_asn IS NULL) AS null_count, 0 AS inf_count, 0 AS duplicates FROM f_all UNION ALL
- SELECT 'tx_fee_sats', count(*) FILTER (tx_fee_sats IS NULL), 0, 0 FROM f_all""")
+@query("e12_null_and_duplicate_audit", " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, count(*) FILTER ({c} IS NULL) AS null_count, 0 AS inf_count, 0 AS duplicates FROM f_all" for c in [*_ALL, "net_asn"]))
 def audit(b: Bench):
-    a = quality.feature_audit(b.features, ["net_asn", "tx_fee_sats"]).drop("is_constant")
+    a = quality.feature_audit(b.features, [*_ALL, "net_asn"]).drop("is_constant")
     twice = quality.duplicate_keys(b.features, [TX], "x").select(F.col("violations").alias("duplicates"), F.lit(1).alias("_j"))
     return a.withColumn("_j", F.lit(1)).join(twice, "_j").drop("_j")
 
