@@ -59,6 +59,24 @@ def behaviour_top(results: DataFrame, transactions: DataFrame, entity_type: str
         X.btc_text("total_output_value_satoshi").alias("amount_btc"))
 
 
+def address_results(results: DataFrame, inputs: DataFrame, outputs: DataFrame) -> DataFrame:
+    """Results of addresses: per class the riskiest of the transactions that an address takes part in, as an address's own row.
+
+    The riskiest one is a combined maximum, so a busy address is no single group of rows.
+    """
+    parts = inputs.select(TX, F.trim("input_address").alias("a")).union(outputs.select(TX, F.trim("output_address").alias("a")))
+    parts = parts.where(F.col("a").isNotNull() & (F.col("a") != "")).distinct()
+    own = results.where(F.col("entity_type") == "transaction").select(F.col("entity_id").alias(TX), "prediction_label", "risk_score", "risk_level", "predicted_at")
+    top = parts.join(own, TX).groupBy("prediction_label", "a").agg(F.max(F.struct("risk_score", TX, "risk_level", "predicted_at")).alias("r"))
+    return top.select(F.col("a").alias("entity_id"), F.lit("address").alias("entity_type"), "prediction_label", "r.risk_score", "r.risk_level", "r.predicted_at")
+
+
+def class_distribution(results: DataFrame) -> DataFrame:
+    """Results per predicted class and their share."""
+    per = results.groupBy(F.coalesce("prediction_label", F.lit("unknown")).alias("behavior_type")).agg(F.count(F.lit(1)).alias("n"))
+    return _beside_each(per, results.agg(F.count(F.lit(1)).alias("total"))).select("behavior_type", "n", (F.col("n") * 100.0 / F.col("total")).alias("pct"))
+
+
 def kpis(transactions: DataFrame, addresses: DataFrame, results: DataFrame, alerts: DataFrame) -> DataFrame:
     """Totals, high plus critical results, active and all alerts, last processing time."""
     return _beside(

@@ -86,6 +86,13 @@ def histogram(rows: DataFrame, column: str, low: float, high: float, bins: int,
         F.width_bucket(v, F.lit(float(low)), F.lit(float(high)), F.lit(bins)).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def degree_histograms(nodes: DataFrame, most: int = 19) -> DataFrame:
+    """Nodes per in-degree and per out-degree, one bin a degree; the last bin holds ``most`` and more."""
+    series = nodes.select(F.explode(F.array(F.struct(F.lit("in_degree").alias("series"), F.col("in_degree").alias("d")),
+                                            F.struct(F.lit("out_degree").alias("series"), F.col("out_degree").alias("d")))).alias("e"))
+    return series.groupBy("e.series", F.least(F.col("e.d").cast("bigint"), F.lit(most).cast("bigint")).alias("degree")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def class_counts(labels: DataFrame) -> DataFrame:
     return labels.groupBy("behavior_type", "ground_truth_label").agg(F.count(F.lit(1)).alias("n"))
 

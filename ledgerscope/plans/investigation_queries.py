@@ -151,6 +151,16 @@ def timeline(b: Bench):
     return q.timeline(b.tx, b.net, None, ids).drop("detail")
 
 
+@query("t18_whole_timeline", f"""WITH ids AS (SELECT DISTINCT transaction_id FROM c_in WHERE input_address LIKE 'C%')
+ SELECT transaction_id, timestamp AS at, 'transaction' AS kind, transaction_id AS ref, {BTC.format('total_output_value_satoshi')} AS detail FROM c_tx WHERE transaction_id IN (SELECT * FROM ids)
+ UNION ALL SELECT transaction_id, timestamp, 'network', event_id, src_ip || ' -> ' || dst_ip FROM c_net WHERE transaction_id IN (SELECT * FROM ids)
+ UNION ALL SELECT transaction_id, first_seen_at, 'alert', alert_id, alert_type FROM a_alert WHERE transaction_id IN (SELECT * FROM ids)""")
+def whole_timeline(b: Bench):
+    """Transactions, network events and alerts with their details, of every spending customer."""
+    ids = b.ins.where(F.col("input_address").startswith("C")).select(TX).distinct()
+    return q.timeline(b.tx, b.net, b.tabular_alerts, ids)
+
+
 # ---- network ------------------------------------------------------------------------------------
 
 shared("w_ep", """SELECT ip, count(DISTINCT event_id) AS event_count, count(DISTINCT transaction_id) AS transaction_count, CAST(sum(s) AS BIGINT) AS source_event_count,

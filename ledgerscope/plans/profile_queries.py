@@ -82,6 +82,18 @@ def histograms(b: Bench):
     return fee.unionByName(p.histogram(b.tx, "output_count", 0, 20, 10).select(F.lit("fan_out").alias("series"), "bin", "n"))
 
 
+@query("e08_degree_histograms", """SELECT 'in_degree' AS series, least(in_degree, 19)::BIGINT AS degree, count(*) AS n FROM g_deg GROUP BY 2
+ UNION ALL SELECT 'out_degree', least(out_degree, 19)::BIGINT, count(*) FROM g_deg GROUP BY 2""")
+def degree_histograms(b: Bench):
+    return p.degree_histograms(b.nodes)
+
+
+@query("e08_fan_in_histogram", """SELECT CASE WHEN n >= 20 THEN 11 ELSE CAST(floor(n / 2.0::DOUBLE) + 1 AS BIGINT) END AS bin, count(*) AS n FROM (SELECT count(DISTINCT input_address) AS n FROM c_in GROUP BY transaction_id) GROUP BY 1""")
+def fan_in_histogram(b: Bench):
+    fan = b.ins.groupBy(TX).agg(F.count_distinct("input_address").alias("fan_in"))
+    return p.histogram(fan, "fan_in", 0, 20, 10)
+
+
 @query("e08_log_value_histogram", """SELECT CASE WHEN v < 4 THEN 0 WHEN v >= 9 THEN 26 ELSE CAST(floor(25 * (v - 4) / 5.0::DOUBLE) + 1 AS BIGINT) END AS bin, count(*) AS n
  FROM (SELECT log10(total_output_value_satoshi::DOUBLE) AS v FROM c_tx) GROUP BY 1""")
 def log_histogram(b: Bench):
@@ -151,6 +163,14 @@ def top(b: Bench):
     return d.behaviour_top(b.run(), b.tx)
 
 
+@query("d01_top_addresses", """SELECT prediction_label AS behavior_type, CAST(rn AS INTEGER) AS rank, a AS entity_id, r.risk_score AS risk_score, r.risk_level AS risk_level, r.predicted_at AS predicted_at FROM (
+ SELECT *, row_number() OVER (PARTITION BY prediction_label ORDER BY r.risk_score DESC, a) AS rn FROM (SELECT prediction_label, a, max({'risk_score': risk_score, 'transaction_id': transaction_id, 'risk_level': risk_level, 'predicted_at': predicted_at}) AS r
+  FROM g_app JOIN c_res ON entity_id = transaction_id AND analysis_id = 'an1' GROUP BY ALL)) WHERE rn <= 5""")
+def top_addresses(b: Bench):
+    """The five riskiest addresses of every class."""
+    return d.behaviour_top(d.address_results(b.run(), b.ins, b.outs), b.tx, "address")
+
+
 @query("d02_kpis", """SELECT (SELECT count(*) FROM c_tx) AS total_transactions, (SELECT count(*) FROM c_addr) AS total_entities, count(*) FILTER (risk_level IN ('high', 'critical')) AS high_risk_entities,
  max(predicted_at) AS last_processed, (SELECT count(*) FROM a_alert) AS active_alerts, (SELECT count(*) FROM a_alert) AS anomalies_detected FROM c_res WHERE analysis_id = 'an1'""")
 def kpis(b: Bench):
@@ -172,6 +192,11 @@ def dataset_profile(b: Bench):
     return d.dataset_profile(b.tables, b.addresses, b.run())
 
 
+@query("d04_class_distribution", "SELECT prediction_label AS behavior_type, count(*) AS n, count(*) * 100.0::DOUBLE / sum(count(*)) OVER () AS pct FROM c_res WHERE analysis_id = 'an1' GROUP BY 1")
+def class_distribution(b: Bench):
+    return d.class_distribution(b.run())
+
+
 @query("d05_dataset_info", """WITH h AS (SELECT count(*) AS n, count(DISTINCT block_height) AS blocks, CAST(round((max(ts) - min(ts)) / 3600.0::DOUBLE) AS BIGINT) AS hours FROM c_tx),
  r AS (SELECT count(*) AS e, count(*) FILTER (risk_level IN ('high', 'critical')) AS f FROM c_res WHERE analysis_id = 'an1')
  SELECT n AS transactions, blocks, (SELECT count(*) FROM c_addr) AS addresses, e AS entities, f AS flagged, e - f AS lower_risk, CAST(CAST(round(hours / 24.0::DOUBLE) AS BIGINT) AS VARCHAR) || 'd' AS span FROM h, r""")
