@@ -2,15 +2,15 @@
 
 Each language has probabilities for the pieces of a fixed public byte-level vocabulary. The probability of a word is
 the sum over all its segmentations into pieces, by the forward algorithm; pieces don't cross words, so a text's is the product
-over its words and all segmentations of the text are summed. Expectation maximisation fits the probabilities to the words of
-a bounded sample: ``FIT_DOCS`` documents of each language, those with the smallest id hashes, of each the first ``FIT_CHARS``
-characters. Words longer than ``MAX_WORD`` bytes are cut into stretches of that length.
+over its words and all segmentations of the text are summed. Words of any length are summed whole: long ones in logarithms, block
+by block, with the sums of the last places carried on. Expectation maximisation fits the probabilities to the words of
+a bounded sample: ``FIT_DOCS`` whole documents of each language, those with the smallest id hashes. Their words are counted by Spark, and only the
+fit takes words of more than ``STRETCH`` bytes in stretches of that length.
 """
 
 from __future__ import annotations
 
 import base64
-import re
 from collections import Counter
 from dataclasses import dataclass
 
@@ -19,15 +19,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerscope.llm.shared import map_batches
+from ledgerscope.llm.shared import arrow_schema, map_batches
 from ledgerscope.llm.toxicity import held_out
+from ledgerscope.session import pin
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
-FIT_DOCS, FIT_CHARS = 1500, 5000
-MAX_WORD, MAX_PIECE = 32, 16
+FIT_DOCS = 1500
+#: Longest stretch of which probabilities can be multiplied without running out of the range of a double.
+STRETCH = 36
+BLOCK = 1 << 15
 ROUNDS, FLOOR = 4, 0.01
 _BREAKS = {c: " " for c in range(128) if not chr(c).isalpha()}
-_LETTER = re.compile(r"[^\W\d_]")
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _BYTES = np.random.default_rng(8).integers(0, 1 << 63, 256, dtype=np.int64).view(np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -37,27 +39,37 @@ def words_of(text: str | None) -> list[str]:
     return (text or "").lower().translate(_BREAKS).split()
 
 
+def as_pieces(word: str) -> bytes:
+    """A word as the vocabulary has it, after a space."""
+    return b" " + word.encode("utf-8", "surrogatepass")
+
+
 def stretches(word: str) -> list[bytes]:
-    """A word as the vocabulary has it, after a space, in stretches of at most ``MAX_WORD`` bytes."""
-    raw = b" " + word.encode("utf-8", "surrogatepass")
-    return [raw[i:i + MAX_WORD] for i in range(0, len(raw), MAX_WORD)]
+    """A word for the fit, in stretches of at most ``STRETCH`` bytes."""
+    raw = as_pieces(word)
+    return [raw[i:i + STRETCH] for i in range(0, len(raw), STRETCH)]
+
+
+def has_letter(text: str | None) -> bool:
+    return any(map(str.isalpha, text or ""))
 
 
 def read_vocabulary(path: str = VOCABULARY) -> list[bytes]:
-    """Pieces of a rank file, without those longer than ``MAX_PIECE`` bytes; every single byte is among them."""
+    """All pieces of a rank file; every single byte is among them."""
     with open(path, "rb") as lines:
         pieces = {base64.b64decode(line.split()[0]) for line in lines if line.strip()}
-    return sorted({p for p in pieces if 0 < len(p) <= MAX_PIECE} | {bytes([b]) for b in range(256)})
+    return sorted(pieces - {b""} | {bytes([b]) for b in range(256)})
 
 
 class Lattice:
     """All pieces at all places of many equally long stretches."""
 
-    def __init__(self, names: np.ndarray, order: np.ndarray, raw: np.ndarray) -> None:
+    def __init__(self, names: np.ndarray, order: np.ndarray, raw: np.ndarray, longest: int) -> None:
         n, self.size = raw.shape
+        self.longest = longest
         self.at = {}
         codes = _BYTES[raw]
-        for length in range(1, min(MAX_PIECE, self.size) + 1):
+        for length in range(1, min(longest, self.size) + 1):
             name = np.full((n, self.size - length + 1), length, np.uint64)
             for i in range(length):
                 name = name * _MUL + codes[:, i:self.size - length + 1 + i]
@@ -71,7 +83,7 @@ class Lattice:
         alpha = np.zeros((n, self.size + 1, p.shape[1]))
         alpha[:, 0] = 1
         for end in range(1, self.size + 1):
-            for length in range(1, min(MAX_PIECE, end) + 1):
+            for length in range(1, min(self.longest, end) + 1):
                 alpha[:, end] += alpha[:, end - length] * p[self.at[length][:, end - length]]
         return alpha
 
@@ -80,11 +92,11 @@ class Lattice:
         alpha, beta = self.forward(p), np.zeros((len(counts), self.size + 1, p.shape[1]))
         beta[:, self.size] = 1
         for start in range(self.size - 1, -1, -1):
-            for length in range(1, min(MAX_PIECE, self.size - start) + 1):
+            for length in range(1, min(self.longest, self.size - start) + 1):
                 beta[:, start] += beta[:, start + length] * p[self.at[length][:, start]]
         weight = counts / np.maximum(beta[:, 0], 1e-300)
         for start in range(self.size):
-            for length in range(1, min(MAX_PIECE, self.size - start) + 1):
+            for length in range(1, min(self.longest, self.size - start) + 1):
                 piece = self.at[length][:, start]
                 hit = np.flatnonzero(piece < len(p) - 1)
                 np.add.at(total, piece[hit], (alpha[hit, start] * p[piece[hit]] * beta[hit, start + length] * weight[hit]))
@@ -97,6 +109,30 @@ class Model:
     order: np.ndarray
     p: np.ndarray  # (pieces + 1, languages); the last row is for places without a piece
     prior: np.ndarray
+    longest: int
+
+    def log_long(self, raw: bytes) -> np.ndarray:
+        """Log probabilities of one word of any length, per language. Memory is that of a block, whatever the length."""
+        with np.errstate(divide="ignore"):
+            logs = np.log(self.p)
+        data, far, reach = np.frombuffer(raw, np.uint8), len(self.p) - 1, self.longest
+        sums = np.full((reach, len(self.languages)), -np.inf)  # of the last ``reach`` places
+        sums[-1] = 0
+        for start in range(0, len(data), BLOCK):
+            first, stop = max(0, start - reach + 1), min(len(data), start + BLOCK)
+            lattice = Lattice(self.names, self.order, data[None, first:stop], reach)
+            piece = np.full((stop - start, reach), far)  # by end and length, the longest first
+            for length, at in lattice.at.items():
+                ends = np.arange(first + length, stop + 1)
+                inside = ends > start
+                piece[ends[inside] - start - 1, reach - length] = at[0][inside]
+            block = np.vstack([sums, np.full((stop - start, sums.shape[1]), -np.inf)])
+            for i in range(stop - start):
+                terms = block[i:i + reach] + logs[piece[i]]
+                top = terms.max(axis=0)
+                block[i + reach] = top + np.log(np.exp(terms - top).sum(axis=0))
+            sums = block[-reach:]
+        return sums[-1]
 
     def lattices(self, parts: list[bytes], most: int = 20_000):
         """Lattices of stretches grouped by length, with the numbers of the stretches in them."""
@@ -107,24 +143,23 @@ class Model:
             for at in range(0, len(numbers), most):
                 some = numbers[at:at + most]
                 raw = np.frombuffer(b"".join(parts[i] for i in some), np.uint8).reshape(len(some), size)
-                yield np.array(some), Lattice(self.names, self.order, raw)
+                yield np.array(some), Lattice(self.names, self.order, raw, self.longest)
 
     def log_words(self, words: list[str]) -> np.ndarray:
         """Log probabilities (words, languages), all segmentations summed."""
-        cut = [stretches(w) for w in words]
-        owner = np.repeat(np.arange(len(words)), [len(c) for c in cut])
-        parts = [s for c in cut for s in c]
-        logs = np.zeros((len(parts), len(self.languages)))
-        for numbers, lattice in self.lattices(parts):
-            logs[numbers] = np.log(np.maximum(lattice.forward(self.p)[:, -1], 1e-300))
+        raw = [as_pieces(w) for w in words]
+        short = [i for i, r in enumerate(raw) if len(r) <= STRETCH]
         out = np.zeros((len(words), len(self.languages)))
-        np.add.at(out, owner, logs)
+        for numbers, lattice in self.lattices([raw[i] for i in short]):
+            out[np.array(short)[numbers]] = np.log(np.maximum(lattice.forward(self.p)[:, -1], 1e-300))
+        for i in set(range(len(words))) - set(short):
+            out[i] = self.log_long(raw[i])
         return out
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """The most probable language of each text and its probability; ``und`` and 0 for texts without a letter."""
         index: dict[str, int] = {}
-        lettered = [bool(t and _LETTER.search(t)) and bool(self.languages) for t in texts]
+        lettered = [has_letter(t) and bool(self.languages) for t in texts]
         numbers = [[index.setdefault(w, len(index)) for w in words_of(t)] if ok else [] for t, ok in zip(texts, lettered)]
         logs = self.log_words(list(index)) if index else None
         names, scores = [], []
@@ -141,8 +176,16 @@ class Model:
 
 
 def train(texts: list[str], languages: list[str], pieces: list[bytes], rounds: int = ROUNDS) -> Model:
-    """Expectation maximisation from equal piece probabilities."""
-    found = sorted(set(languages))
+    """Expectation maximisation over the words of texts."""
+    counts: dict[str, Counter] = {x: Counter() for x in set(languages)}
+    for text, language in zip(texts, languages):
+        counts[language].update(words_of(text))
+    return fit(counts, Counter(languages), pieces, rounds)
+
+
+def fit(words: dict[str, dict[str, int]], documents: dict[str, int], pieces: list[bytes], rounds: int = ROUNDS) -> Model:
+    """Expectation maximisation from equal piece probabilities, over counts of words and of documents per language."""
+    found = sorted(documents)
     hashes = []
     for piece in pieces:
         name = len(piece)
@@ -152,15 +195,12 @@ def train(texts: list[str], languages: list[str], pieces: list[bytes], rounds: i
         hashes.append(name)
     names = np.array(hashes, np.uint64)
     order = np.argsort(names)
-    prior = np.log(np.array([languages.count(x) for x in found], float) / max(1, len(languages)))
+    prior = np.log(np.array([documents[x] for x in found], float) / max(1, sum(documents.values())))
     p = np.vstack([np.full((len(pieces), len(found)), 1 / len(pieces)), np.zeros((1, len(found)))])
-    model = Model(found, names[order], order, p, prior)
-    counts = [Counter() for _ in found]
-    for text, language in zip(texts, languages):
-        counts[found.index(language)].update(words_of(text))
+    model = Model(found, names[order], order, p, prior, max(map(len, pieces)))
     per_part: dict[bytes, np.ndarray] = {}
-    for k, counter in enumerate(counts):
-        for word, n in counter.items():
+    for k, language in enumerate(found):
+        for word, n in sorted(words.get(language, {}).items()):
             for part in stretches(word):
                 per_part.setdefault(part, np.zeros(len(found)))[k] += n
     parts = list(per_part)
@@ -174,16 +214,42 @@ def train(texts: list[str], languages: list[str], pieces: list[bytes], rounds: i
     return model
 
 
-def sample(docs: DataFrame, per_language: int = FIT_DOCS) -> tuple[list[str], list[str]]:
-    """The bounded sample for the fit, in a fixed order."""
+def sample(docs: DataFrame, per_language: int = FIT_DOCS) -> DataFrame:
+    """``(id, language)`` of the bounded sample for the fit: of each language the documents with the smallest id hashes.
+
+    Languages that have many documents are first cut to the hashes below a bound that leaves about twice as many as are wanted,
+    so no task orders all documents of a language.
+    """
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    first = F.row_number().over(Window.partitionBy("language").orderBy(F.xxhash64("id"), "id"))
-    ids = known.select(F.col("lang").cast("string").alias("language"), F.col("doc_id").alias("id")).withColumn("n", first)
-    ids = ids.where(F.col("n") <= per_language).select("id", "language").distinct()
-    rows = docs.select("doc_id", F.substring("text", 1, FIT_CHARS).alias("text"), F.col("lang").cast("string").alias("own"))
-    rows = rows.join(F.broadcast(ids), (F.col("doc_id") == F.col("id")) & (F.col("own") == F.col("language")))
-    got = sorted({(r["id"], r["text"] or "", r["language"]) for r in rows.collect()})
-    return [r[1] for r in got], [r[2] for r in got]
+    ids = known.select(F.col("lang").cast("string").alias("language"), F.col("doc_id").alias("id")).distinct()
+    placed = ids.withColumn("place", F.pmod(F.xxhash64("id"), F.lit(1 << 40)) / float(1 << 40))
+    share = ids.groupBy("language").agg((F.lit(2.0 * per_language + 200) / F.count(F.lit(1))).alias("share"))
+    near = placed.join(share, "language").where(F.col("place") <= F.col("share"))
+    first = F.row_number().over(Window.partitionBy("language").orderBy("place", "id"))
+    return near.withColumn("n", first).where(F.col("n") <= per_language).select("id", "language")
+
+
+def learned(docs: DataFrame, pieces: list[bytes], per_language: int = FIT_DOCS) -> Model:
+    """The model of the sample's whole texts. The driver gets the sample's distinct words with their counts."""
+    ids = pin(sample(docs, per_language), "language_sample")
+    rows = docs.select(F.col("doc_id").alias("own_id"), "text", F.col("lang").cast("string").alias("own"))
+    texts = rows.join(ids, (F.col("own_id") == F.col("id")) & (F.col("own") == F.col("language"))).dropDuplicates(["id", "language", "text"])
+
+    def counted(batches):
+        seen: dict[str, Counter] = {}
+        for batch in batches:
+            for language, text in zip(batch.column("language").to_pylist(), batch.column("text").to_pylist()):
+                seen.setdefault(language, Counter()).update(words_of(text))
+        rows_ = [(x, w, n) for x, counts in seen.items() for w, n in counts.items()]
+        if rows_:
+            yield pa.RecordBatch.from_pydict(dict(zip(("language", "word", "n"), zip(*rows_))), schema=arrow_schema("language string, word string, n long"))
+
+    words: dict[str, dict[str, int]] = {}
+    for r in texts.select("language", "text").mapInArrow(counted, "language string, word string, n long").groupBy("language", "word").agg(
+            F.sum("n").alias("n")).collect():
+        words.setdefault(r["language"], {})[r["word"]] = r["n"]
+    documents = {r["language"]: r["count"] for r in ids.groupBy("language").count().collect()}
+    return fit(words, documents, pieces)
 
 
 RESULT = "doc_id long, held_out boolean, lang_pred string, score double"
@@ -196,7 +262,7 @@ def identify(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     ``und`` with score 0, as are all texts if no language can be learned. Rows with a null id aren't learned from.
     Ties go to the language that sorts first; repeated rows each get a row.
     """
-    model = train(*sample(docs), read_vocabulary(vocabulary))
+    model = learned(docs, read_vocabulary(vocabulary))
 
     def run(batch: pa.RecordBatch) -> dict:
         names, scores = model.predict(batch.column("text").to_pylist())

@@ -22,14 +22,46 @@ def test_forward_sums_all_segmentations():
     pieces = sorted({bytes([b]) for b in range(256)} | {b" a", b"ab", b"abc", b" ab", b"bc", b"ca", b" abcab"})
     model = lid.train(["abc ab ca abcab", "bca cab bb", ""], ["x", "y", "y"], pieces, rounds=2)
     assert model.p[:-1].sum(axis=0) == pytest.approx([1, 1])
-    words = ["abc", "ab", "b", "cabcabc", "zé", "a" * 50]
+    words = ["abc", "ab", "b", "cabcabc", "zé", "abcé" * 5]
     logs = model.log_words(words)
     for k in range(2):
         p = dict(zip(pieces, model.p[:-1, k]))
-        for i, word in enumerate(words[:5]):
-            assert logs[i, k] == pytest.approx(math.log(all_segmentations(b" " + word.encode(), p)))
-        cut = lid.stretches(words[5])
-        assert b"".join(cut) == b" " + b"a" * 50 and max(map(len, cut)) <= lid.MAX_WORD
+        for i, word in enumerate(words):
+            want = math.log(all_segmentations(b" " + word.encode(), p))
+            assert logs[i, k] == pytest.approx(want) and model.log_long(b" " + word.encode())[k] == pytest.approx(want)
+
+
+def test_long_words_are_summed_whole(monkeypatch):
+    """A plain forward pass in logarithms over a word of many blocks, with pieces that lie across their bounds."""
+    pieces = sorted({bytes([b]) for b in range(256)} | {b" a", b"ab", b"abcabc", b"bcabcabca", "é".encode(), b"x" * 20})
+    model = lid.train(["abcabcabca " * 9, "é ab xxxx " * 7], ["x", "y"], pieces, rounds=3)
+    raw = b" " + ("abcabcé" * 40 + "x" * 90).encode()
+    want = []
+    for k in range(2):
+        p, sums = dict(zip(pieces, model.p[:-1, k])), [0.0]
+        for end in range(1, len(raw) + 1):
+            terms = [sums[end - n] + math.log(p[raw[end - n:end]]) for n in range(1, min(20, end) + 1) if p.get(raw[end - n:end])]
+            top = max(terms)
+            sums.append(top + math.log(sum(math.exp(t - top) for t in terms)))
+        want.append(sums[-1])
+    assert model.log_long(raw) == pytest.approx(want)
+    monkeypatch.setattr(lid, "BLOCK", 37)
+    assert model.log_long(raw) == pytest.approx(want)
+
+
+def test_letters_are_those_of_unicode():
+    assert lid.has_letter("é") and lid.has_letter("1 ª") and not lid.has_letter("²½① 3_!") and not lid.has_letter(None)
+
+
+def test_sample_is_the_smallest_hashes(spark):
+    rows = [(i, "w", "aa" if i % 3 else "bb") for i in range(900)] + [(5, "w2", "aa"), (None, "w", "aa")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {(r["id"], r["language"]) for r in lid.sample(frame, 20).collect()}
+    from pyspark.sql import functions as F
+    placed = {r["doc_id"]: r["h"] for r in frame.where("doc_id is not null").select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)).alias("h")).collect()}
+    for lang in ("aa", "bb"):
+        mine = sorted({(placed[i], i) for i, _, x in rows if i is not None and x == lang and zlib.crc32(str(i).encode()) % 5})
+        assert {i for i, x in got if x == lang} == {i for _, i in mine[:20]}
 
 
 def test_rounds_raise_the_likelihood():
