@@ -75,7 +75,7 @@ class Lattice:
                 name = name * _MUL + codes[:, i:self.size - length + 1 + i]
                 name ^= name >> np.uint64(31)
             place = np.minimum(np.searchsorted(names, name), len(names) - 1)
-            self.at[length] = np.where(names[place] == name, order[place], len(names))
+            self.at[length] = np.where(names[place] == name, order[place], len(names)).astype(np.int32)
 
     def forward(self, p: np.ndarray) -> np.ndarray:
         """Sums over segmentations of every prefix: (stretches, size + 1, languages)."""
@@ -198,17 +198,21 @@ def fit(words: dict[str, dict[str, int]], documents: dict[str, int], pieces: lis
     prior = np.log(np.array([documents[x] for x in found], float) / max(1, sum(documents.values())))
     p = np.vstack([np.full((len(pieces), len(found)), 1 / len(pieces)), np.zeros((1, len(found)))])
     model = Model(found, names[order], order, p, prior, max(map(len, pieces)))
-    per_part: dict[bytes, np.ndarray] = {}
+    index: dict[bytes, int] = {}
+    at, column, times = [], [], []
     for k, language in enumerate(found):
         for word, n in sorted(words.get(language, {}).items()):
             for part in stretches(word):
-                per_part.setdefault(part, np.zeros(len(found)))[k] += n
-    parts = list(per_part)
-    lattices = [(np.stack([per_part[parts[i]] for i in numbers]), lattice) for numbers, lattice in model.lattices(parts)] if found else []
+                at.append(index.setdefault(part, len(index)))
+                column.append(k)
+                times.append(n)
+    weights = np.zeros((len(index), len(found)))
+    np.add.at(weights, (np.array(at, np.int64), np.array(column, np.int64)), np.array(times, float))
+    lattices = [(weights[numbers], lattice) for numbers, lattice in model.lattices(list(index))] if found else []
     for _ in range(rounds):
         total = np.full((len(pieces) + 1, len(found)), FLOOR)
-        for weights, lattice in lattices:
-            lattice.expected(model.p, weights, total)
+        for own, lattice in lattices:
+            lattice.expected(model.p, own, total)
         total[-1] = 0
         model.p = total / np.maximum(total.sum(axis=0), 1e-300)
     return model
