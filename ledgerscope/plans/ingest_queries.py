@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from ledgerscope.functions import exprs as X
 from ledgerscope.operators import clean, ingest, quality
-from ledgerscope.plans.bench import Bench, TX
+from ledgerscope.plans.bench import Bench, TX, money
 from ledgerscope.plans.oracles import shared
 from ledgerscope.plans.registry import query
+from ledgerscope.sources.bench_tables import full_ids
 from ledgerscope.session import shared_folder
 from ledgerscope.sources import readers, sinks
 
@@ -251,7 +252,7 @@ def n10(b):
 
 @query("n11_address_rollup", "SELECT * FROM c_addr")
 def n11(b):
-    return ingest.address_rollup(b.tx, b.ins, b.outs)
+    return ingest.address_rollup(*money(b.short))
 
 
 @query("n12_ingest_summary", """SELECT count(*) AS raw_rows, count(DISTINCT id) AS canonical_rows, count(*) - count(DISTINCT id) AS rejected_rows,
@@ -398,8 +399,8 @@ def n26(b):
 @query("n27_running_child_index", """SELECT transaction_id, output_address, output_value_satoshi,
  CAST(row_number() OVER (PARTITION BY transaction_id ORDER BY output_value_satoshi, output_address) - 1 AS INTEGER) AS output_index FROM c_out""")
 def n27(b):
-    df = b.outs.select(TX, "output_address", "output_value_satoshi")
-    return clean.running_child_index(df, "output", ["output_value_satoshi", "output_address"])
+    df = b.short["transaction_outputs"].select(TX, "output_address", "output_value_satoshi")
+    return full_ids(clean.running_child_index(df, "output", ["output_value_satoshi", "output_address"]))
 
 
 @query("n28_repair_network_types", """SELECT event_id, CASE WHEN e % 3 = 0 THEN 0 ELSE src_port END AS src_port, CASE WHEN e % 4 = 0 THEN 8333 ELSE dst_port END AS dst_port,

@@ -39,6 +39,21 @@ def test_stored_tables_are_the_cleaned_raw_tables(spark, tmp_path):
         assert found == rows and rows, (name, list((found - rows).items())[:3], list((rows - found).items())[:3])
 
 
+def test_short_ids_keep_the_order_and_turn_into_full_ones(spark, tmp_path):
+    folder = str(tmp_path)
+    _odd_tables(spark, folder)
+    stored = bench_tables.stored_tables(spark, folder)
+    order = lambda t: t["transactions"].orderBy("timestamp_epoch_sec", "transaction_id")
+    short = [r[0] for r in order(stored.short()).collect()]
+    assert [r[0] for r in bench_tables.full_ids(order(stored.short())).collect()] == [r[0] for r in order(stored).collect()]
+    assert short == sorted(short)
+    for name in stored:
+        key = "entity_id" if name == "results" else "transaction_id"
+        given = [c for c in stored[name].columns if c not in ("input_id", "output_id")]
+        full = bench_tables.full_ids(stored.short()[name], key).select(given)
+        assert Counter(map(tuple, full.collect())) == Counter(map(tuple, stored[name].select(given).collect())), name
+
+
 def test_only_what_is_asked_for_is_written(spark, tmp_path):
     folder = str(tmp_path)
     _odd_tables(spark, folder)
