@@ -3,7 +3,7 @@
 The search is exact. Shingles are put in one fixed order, those that a sample of the texts holds often last. Two sets that
 are similar enough share a shingle among the first ``n - ceil(0.8 n) + 1`` of each: the prefix filter. A posting is kept
 per such shingle. A SimHash radius can't take its place: pairs at 0.8 differ in up to eleven bits and more, at which no byte
-of two fingerprints has to be equal. Candidates are compared in three rounds. The first compares the
+of two fingerprints has to be equal. What SimHash does link is compared first, then candidates in three rounds. The first compares the
 members of a posting with one of them, the second neighbours and first members of MinHash buckets, in which mostly similar sets meet; they
 find large groups of copies without their pairs. The last, which makes the search exact,
 compares those members of postings that aren't united yet, where sizes and places in the order allow the similarity.
@@ -15,6 +15,8 @@ in too many bits can't be similar, and only the rest has its texts brought toget
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -274,16 +276,20 @@ def _marked(postings: DataFrame, links: DataFrame) -> DataFrame:
         *postings.columns, F.coalesce("component", "set_key").alias("component"))
 
 
-def components(docs: DataFrame) -> DataFrame:
+def components(docs: DataFrame, linked: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> DataFrame:
     """Per row of ``docs(doc_id, text)``: ``doc_id, text_key, component``, connected over all similar pairs.
 
-    Texts with the same set of shingles are alike; so are all texts without words. An empty table gives an empty result.
+    ``linked`` gives candidates ``(u, v)`` of another search over ``docs`` and the classes; they are compared before all others. Texts with the same set of shingles are alike; so are all texts without words. An empty table gives an empty result.
     """
     named = pin(classes(docs), "classes")
     postings = pin(_by_posting(_postings(docs), _POSTINGS, _shared), "postings")
     stars = pin(_by_posting(postings, "u long, v long", _stars).distinct(), "stars")
     met = named.select(F.explode("buckets").alias("shingle"), "set_key", "n", F.lit(0).alias("place"))
     stars = stars.unionAll(pin(_by_posting(met, "u long, v long", _close).distinct().join(stars, ["u", "v"], "left_anti"), "close"))
+    if linked:
+        given = pin(linked(docs, named), "linked")
+        other = stars.join(given, (F.least(stars["u"], stars["v"]) == given["u"]) & (F.greatest(stars["u"], stars["v"]) == given["v"]), "left_anti")
+        stars = given.unionAll(other)
     first = _verified(docs, named, stars)
     others = pin(_by_posting(_marked(postings, first), "u long, v long", _others).distinct().join(stars, ["u", "v"], "left_anti"), "others")
     release(postings)

@@ -181,14 +181,26 @@ def components(docs: DataFrame) -> DataFrame:
         "doc_id", "text_key", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component", "component_id")
 
 
+def linked_sets(docs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs ``(u, v)`` of the set keys in ``sets(text_key, set_key)`` that connect what SimHash links: equal fingerprints and those within three bits."""
+    prints = fingerprints(docs).select("text_key", "print").distinct()
+    keyed = pin(prints.join(sets.select("text_key", "set_key").distinct(), "text_key").select("print", "set_key").distinct(), "simhash")
+    first = keyed.groupBy("print").agg(F.min("set_key").alias("first"))
+    equal = keyed.join(first, "print").select(F.col("first").alias("u"), F.col("set_key").alias("v"))
+    end = lambda name: first.select(F.col("print").alias(name), F.col("first").alias(f"{name}_set"))
+    near = links(keyed.select("print").distinct()).distinct().join(end("u"), "u").join(end("v"), "v").select(
+        F.col("u_set").alias("u"), F.col("v_set").alias("v"))
+    return equal.unionAll(near).where("u != v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """Keep one row of each component: the smallest doc_id (nulls last), then the smallest text hash; all columns stay.
 
-    Components are those of ``near_copies``: five-word shingles, Jaccard similarity 0.8. Three bits of a fingerprint are
-    the contract of ``components`` alone; most pairs at that similarity differ in more.
+    Components are those of ``near_copies``: five-word shingles, Jaccard similarity 0.8. SimHash links are its first candidates, each of
+    which the exact comparison judges; most pairs at that similarity differ in more than three bits, and its prefix filter finds those.
     """
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("text_key").alias("key"))
-    first = near_copies.components(docs).groupBy("component").agg(F.min(order).alias("first"))
+    first = near_copies.components(docs, linked_sets).groupBy("component").agg(F.min(order).alias("first"))
     key, id_, hash_ = fresh(docs, "text_hash"), fresh(docs, "kept_id"), fresh(docs, "kept_hash")
     kept = first.select(F.col("first.id").alias(id_), F.col("first.key").alias(hash_))
     tagged = docs.withColumn(key, F.xxhash64("text"))

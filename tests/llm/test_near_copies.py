@@ -88,3 +88,33 @@ def test_posting_over_many_batches(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert sorted(map(tuple, got)) == [(1, 3), (2, 5000), (4, 2)]
+
+
+def test_simhash_links_are_the_first_candidates(spark, monkeypatch):
+    texts = corpus(3)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    named = near_copies.classes(docs)
+    pairs = {(r["u"], r["v"]) for r in simhash.linked_sets(docs, named).collect()}
+    keys = {r["doc_id"]: r["set_key"] for r in named.collect()}
+    label = {k: k for k in keys.values()}
+
+    def root(k):
+        while label[k] != k:
+            k = label[k]
+        return k
+
+    for u, v in pairs:
+        assert u < v
+        label[max(root(u), root(v))] = min(root(u), root(v))
+    prints = [int.from_bytes(simhash.fingerprint((t or "").encode()), "big") for t in texts]
+    found = 0
+    for i, a in enumerate(prints):
+        for j in range(i):
+            if (a ^ prints[j]).bit_count() <= simhash.MAX_BITS:
+                assert root(keys[i]) == root(keys[j])
+                found += keys[i] != keys[j]
+    assert found and pairs
+    asked, links = [], simhash.links
+    monkeypatch.setattr(simhash, "links", lambda prints: asked.append(1) or links(prints))
+    assert {r["doc_id"] for r in simhash.drop_near_duplicates(docs).collect()} == plain_kept(texts)
+    assert asked
