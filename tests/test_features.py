@@ -46,6 +46,17 @@ def test_micro_case(three):
     assert m["t1"]["time_since_prev_global_tx_sec"] == 0
 
 
+@pytest.mark.parametrize("seed", [1, 4])
+def test_timeline_is_the_same_however_addresses_are_cut(ledger, random_rows, monkeypatch, seed):
+    from ledgerscope.functions import ordering
+    t = ledger(random_rows(seed))
+    args = (t["transactions"], t["transaction_inputs"], t["transaction_outputs"])
+    rows = lambda: sorted(map(str, f.address_timeline(*args).collect()))
+    whole = rows()
+    monkeypatch.setattr(ordering, "CROWD", 4)
+    assert rows() == whole
+
+
 def replay(rows):
     """The defining loop: read an address's history, then add the transaction."""
     seen, count, sent, received, partners, last = {}, {}, {}, {}, {}, {}

@@ -45,6 +45,24 @@ def test_running_before_splits_a_hot_key(spark):
         assert r["hi"] == (max(before) if before else None)
 
 
+def test_running_before_cuts_only_crowded_keys_and_shuffles_rows_once(spark, monkeypatch):
+    monkeypatch.setattr(ordering, "CROWD", 100)
+    rng = random.Random(11)
+    rows = [("hot" if rng.random() < 0.4 else f"k{rng.randrange(40)}", rng.randrange(0, 400), i, rng.randrange(100)) for i in range(900)]
+    df = spark.createDataFrame(rows, "k string, t bigint, i bigint, v bigint")
+    crowd = ordering.crowded(df, ["k"])
+    assert [r["k"] for r in crowd.collect()] == ["hot"]
+    bucket, order, wanted = F.floor(F.col("t") / 10), ["t", "i"], {"sums": {"s": "v"}, "mins": {"lo": "v"}, "maxs": {"hi": "v"}}
+    cut = ordering.pieces(df, ["k"], bucket, crowd)
+    assert {(r["k"] == "hot", r["_b"] is not None) for r in cut.collect()} == {(True, True), (False, False)}
+    assert ordering.piece_starts(cut, ["k"], **wanted).select("k").distinct().count() == 1
+    got = running_before(df, ["k"], bucket, order, **wanted).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        before = [v for k, t, i, v in rows if k == r["k"] and (t, i) < (r["t"], r["i"])]
+        assert (r["s"], r["lo"], r["hi"]) == (sum(before), min(before, default=None), max(before, default=None))
+
+
 def test_prefix_totals_and_index(spark):
     rng = random.Random(7)
     rows = [(rng.randrange(0, 9000), f"{rng.randrange(16 ** 4):04x}-{i}", rng.randrange(10)) for i in range(500)]
