@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerscope.functions import ordering
 from ledgerscope.functions.ordering import chronological_index, exact_percentiles, global_positions, prefix_totals, running_before, value_bucket
+from ledgerscope.operators.clean import running_child_index
 
 
 @pytest.mark.parametrize("seed", [1, 2])
@@ -25,6 +26,46 @@ def test_percentiles_equal_numpy(spark, seed):
             assert got.loc[name, column] == pytest.approx(np.quantile(values, p), rel=1e-12, abs=1e-12)
 
 
+def _shuffled_rows(spark, run):
+    """How many rows the stages of ``run`` write to shuffles, and its result."""
+    sc = spark.sparkContext
+
+    def stages():
+        sc._jsc.sc().listenerBus().waitUntilEmpty()
+        found = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+        return {found.apply(i).stageId(): found.apply(i).shuffleWriteRecords() for i in range(found.size())}
+
+    last = max(stages(), default=-1)
+    result = run()
+    return sum(n for stage, n in stages().items() if stage > last), result
+
+
+def test_percentiles_shuffle_a_histogram_and_few_values(spark):
+    n = 30_000
+    df = spark.range(n, numPartitions=2).select(F.lit("x").alias("g"), (F.col("id") * 7919 % n / 8).alias("v"))
+    rows, got = _shuffled_rows(spark, lambda: exact_percentiles(df, ["g"], "v", {"p25": 0.25, "median": 0.5}).collect())
+    want = np.quantile(np.arange(n) / 8, [0.25, 0.5])
+    assert (got[0]["p25"], got[0]["median"]) == pytest.approx(tuple(want), rel=1e-12)
+    assert rows < 2 * n
+
+
+def test_child_index_shuffles_rows_once_and_cuts_crowded_transactions(spark, monkeypatch):
+    monkeypatch.setattr(ordering, "CROWD", 500)
+    rng = random.Random(13)
+    rows = [("hot" if i % 3 == 0 else f"t{i % 500}", f"a{rng.randrange(9)}-{i}", rng.randrange(50)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "transaction_id string, address string, value bigint").repartition(3, "transaction_id")
+    df.cache().count()
+    written, got = _shuffled_rows(spark, lambda: running_child_index(df, "output", ["value", "address"]).collect())
+    df.unpersist()
+    assert len(got) == len(rows)
+    for t in {t for t, _, _ in rows}:
+        own = sorted((r["value"], r["address"], r["output_index"]) for r in got if r["transaction_id"] == t)
+        assert [i for _, _, i in own] == list(range(len(own))), t
+    monkeypatch.setattr(ordering, "CROWD", 5000)
+    written, again = _shuffled_rows(spark, lambda: running_child_index(df, "output", ["value", "address"]).collect())
+    assert sorted(map(str, again)) == sorted(map(str, got)) and written < 3 * len(rows)
+
+
 def test_value_bucket_never_decreases(spark):
     rng = random.Random(3)
     values = sorted([0.0, -0.5, 1.0, 2.0, 4.0, 1e-9, -1e9] + [rng.uniform(-1, 1) * 10 ** rng.randrange(-8, 12) for _ in range(2000)])
