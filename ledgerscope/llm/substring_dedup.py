@@ -74,7 +74,7 @@ class Batch:
         inside = np.ones(max(0, n - LENGTH + 1), bool)  # no string may cross the end of its document
         for end, size in zip(self.ends.tolist(), self.sizes.tolist()):
             inside[max(end - size, end - LENGTH + 1):end] = False
-        self.starts = np.flatnonzero(inside)
+        self.inside, self.starts = inside, np.flatnonzero(inside)
         self.anchors = self._anchors(n) if len(self.starts) else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
     def hashes(self, at: np.ndarray, size: int) -> np.ndarray:
@@ -90,9 +90,13 @@ class Batch:
         while size * 2 <= width:
             low = np.minimum(low[:-size], low[size:])
             size *= 2
-        low = np.minimum(low[self.starts], low[self.starts + width - size])
-        place = self.starts + (((low & np.uint64(63)).astype(np.int64) - self.starts) & 63)
-        return low >> np.uint64(6), place
+        low = np.minimum(low[:size - width], low[width - size:])[self.inside]
+        place = low.astype(np.int64)  # the lowest six bits are those of the place
+        place -= self.starts
+        place &= 63
+        place += self.starts
+        low >>= np.uint64(6)
+        return low, place
 
     def id_of(self, at: np.ndarray) -> np.ndarray:
         return self.ids[self.doc[at]]
@@ -102,19 +106,26 @@ class Question:
     """Distinct ranks of a batch with their smallest id and a mark, dealt to buckets; and what the answers say."""
 
     def __init__(self, keys: np.ndarray, ids: np.ndarray, marks: np.ndarray | None, buckets: int) -> None:
-        order = np.argsort(keys, kind="stable")  # ids ascend along a batch
+        order = np.argsort(keys)
         keys, ids = keys[order], ids[order]
-        cut = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-        self.keys, self.least = keys[cut], ids[cut]
+        first = np.concatenate([[True], keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, bool)
+        cut = np.flatnonzero(first)
+        self.keys = keys[cut]
+        #: the distinct key of every entry, so that nothing is searched for later
+        self.group = np.empty(len(keys), np.int64)
+        self.group[order] = np.cumsum(first) - 1
         if not len(cut):
-            self.marks = np.zeros(0, bool)
-        elif marks is None:  # more than one document here
-            self.marks = np.maximum.reduceat(ids, cut) != self.least
+            self.least, self.marks = np.zeros(0, np.int64), np.zeros(0, bool)
         else:
-            self.marks = np.logical_or.reduceat(marks[order], cut)
-        bucket = (_mix(self.keys * np.uint64(0x94D049BB133111EB)) % np.uint64(buckets)).astype(np.int64)
+            self.least = np.minimum.reduceat(ids, cut)
+            # without marks: more than one document here
+            self.marks = np.maximum.reduceat(ids, cut) != self.least if marks is None else np.logical_or.reduceat(marks[order], cut)
+        bucket = _mix(self.keys * np.uint64(0x94D049BB133111EB)) % np.uint64(buckets)
+        bucket = bucket.astype(np.uint16 if buckets <= 1 << 16 else np.int64)  # short numbers are sorted in linear time
         self.order = np.argsort(bucket, kind="stable")
-        self.names, begins = np.unique(bucket[self.order], return_index=True)
+        bucket = bucket[self.order]
+        begins = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
+        self.names = bucket[begins]
         self.begins = np.append(begins, len(bucket))
 
     def pages(self) -> list[tuple[int, bytes, bytes, bytes]]:
@@ -135,12 +146,20 @@ class Question:
                 target[i] = np.unpackbits(np.frombuffer(bits, np.uint8), count=b - a).astype(bool)
         return smaller, other
 
-    def looked_up(self, keys: np.ndarray, values: np.ndarray) -> np.ndarray:
-        return values[np.searchsorted(self.keys, keys)] if len(self.keys) else np.zeros(len(keys), bool)
+    def looked_up(self, values: np.ndarray) -> np.ndarray:
+        """Per entry: the value of its key."""
+        return values[self.group]
 
-    def earlier(self, keys: np.ndarray, ids: np.ndarray, smaller: np.ndarray) -> np.ndarray:
+    def earlier(self, ids: np.ndarray, smaller: np.ndarray) -> np.ndarray:
         """Per entry: whether a smaller document has its key, here or elsewhere."""
-        return self.looked_up(keys, smaller) | (self.looked_up(keys, self.least) < ids) if len(keys) else np.zeros(0, bool)
+        return smaller[self.group] | (self.least[self.group] < ids)
+
+
+def _distinct(at: np.ndarray, n: int) -> np.ndarray:
+    """The distinct places below ``n``, ascending."""
+    seen = np.zeros(n, bool)
+    seen[at] = True
+    return np.flatnonzero(seen)
 
 
 class Rounds:
@@ -178,17 +197,16 @@ class Rounds:
     def shared(self) -> tuple[np.ndarray, np.ndarray]:
         """Per run: whether an earlier, and whether any other document has its anchor."""
         smaller, other = self.grams.answered(self.answers[0])
-        return self.grams.earlier(self.run_keys, self.run_ids, smaller), self.grams.looked_up(self.run_keys, other)
+        return self.grams.earlier(self.run_ids, smaller), self.grams.looked_up(other)
 
     @cached_property
     def side_entries(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Starts of the 50-byte strings right and left of shared anchors, within their documents."""
-        some = self.batch.anchors[1][self.shared[1][self.runs[1]]]
-        places = np.unique(some[np.concatenate([[True], some[1:] != some[:-1]])]) if len(some) else some
+        places = _distinct(self.batch.anchors[1][self.shared[1][self.runs[1]]], len(self.batch.text))
         ends = self.batch.ends[self.batch.doc[places]]
         begins = ends - self.batch.sizes[self.batch.doc[places]]
         right, left = places[places + LENGTH <= ends], places[places - (LENGTH - GRAM) >= begins] - (LENGTH - GRAM)
-        at = np.unique(np.concatenate([right, left]))
+        at = _distinct(np.concatenate([right, left]), len(self.batch.text))
         return at, self.batch.hashes(at, LENGTH), self.batch.id_of(at)
 
     @cached_property
@@ -199,19 +217,20 @@ class Rounds:
         """Bytes that lie in a string that starts at one of ``at``."""
         n = len(self.batch.text) + 1
         steps = np.bincount(at, minlength=n) - np.bincount(at + LENGTH, minlength=n)
-        return np.cumsum(steps[:-1]) > 0
+        return np.cumsum(steps[:-1], dtype=np.int32) > 0
 
     @cached_property
     def settled(self) -> np.ndarray:
-        at, keys, ids = self.side_entries
-        return at[self.sides.earlier(keys, ids, self.sides.answered(self.answers[1])[0])]
+        at, _, ids = self.side_entries
+        return at[self.sides.earlier(ids, self.sides.answered(self.answers[1])[0])]
 
     @cached_property
     def wanted(self) -> Question:
         earlier, other = self.shared
         begins, run = self.runs
-        sums = np.concatenate([[0], np.cumsum(self._covered(self.settled))])
-        bare = sums[self.batch.starts + LENGTH] - sums[self.batch.starts] < LENGTH
+        sums = np.zeros(len(self.batch.text) + 1, np.int64)
+        np.cumsum(self._covered(self.settled), out=sums[1:])
+        bare = (sums[LENGTH:] - sums[:-LENGTH] < LENGTH)[self.batch.inside]
         open_ = earlier & np.logical_or.reduceat(bare, begins) if len(begins) else earlier
         return Question(self.run_keys[other], np.zeros(int(other.sum()), np.int64), open_[other], self.buckets)
 
@@ -219,7 +238,7 @@ class Rounds:
     def string_entries(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         asked, other = self.wanted.answered(self.answers[2])[1], self.shared[1]
         some = other.copy()
-        some[other] = self.wanted.looked_up(self.run_keys[other], asked)
+        some[other] = self.wanted.looked_up(asked)
         at = self.batch.starts[some[self.runs[1]]]
         return at, self.batch.hashes(at, LENGTH), self.batch.id_of(at)
 
@@ -229,8 +248,8 @@ class Rounds:
 
     def gone(self) -> np.ndarray:
         """All bytes to remove."""
-        at, keys, ids = self.string_entries
-        return self._covered(np.concatenate([self.settled, at[self.strings.earlier(keys, ids, self.strings.answered(self.answers[3])[0])]]))
+        at, _, ids = self.string_entries
+        return self._covered(np.concatenate([self.settled, at[self.strings.earlier(ids, self.strings.answered(self.answers[3])[0])]]))
 
 
 def _packed(batches):
@@ -273,7 +292,7 @@ def _answers(pages: pa.Table) -> pa.Table:
     ids = np.concatenate([np.frombuffer(i, np.uint8).reshape(8, -1).T.copy().view(np.int64).ravel() for i in pages.column("ids").to_pylist()])
     marks = np.concatenate([np.unpackbits(np.frombuffer(m, np.uint8), count=n) for m, n in zip(pages.column("marks").to_pylist(), sizes)])
     keys = np.concatenate(keys)
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     sorted_keys, sorted_ids = keys[order], ids[order]
     cut = np.flatnonzero(np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]]))
     least, most = np.minimum.reduceat(sorted_ids, cut), np.maximum.reduceat(sorted_ids, cut)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 from ledgerscope.llm import substring_dedup
@@ -78,3 +79,21 @@ def test_spans_and_empty_table(spark):
     rows = {r["doc_id"]: r["spans"] for r in substring_dedup.removals(frame).collect()}
     assert rows == {1: [], 2: [5, 65]}
     assert substring_dedup.removals(frame.limit(0)).count() == 0
+
+
+def test_answers_reach_every_entry_without_a_search():
+    """Entries come in any order of keys and ids; each gets what holds for its key."""
+    rng = np.random.default_rng(4)
+    keys = rng.integers(0, 40, 300).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    ids = rng.integers(-5, 60, 300)
+    for buckets in (3, 1 << 17):
+        asked = substring_dedup.Question(keys, ids, None, buckets)
+        values = rng.integers(0, 2, len(asked.keys)).astype(bool)
+        by_key = dict(zip(asked.keys.tolist(), values.tolist()))
+        assert asked.looked_up(values).tolist() == [by_key[k] for k in keys.tolist()]
+        nothing = np.zeros(len(asked.keys), bool)
+        assert asked.earlier(ids, nothing).tolist() == [bool((ids[keys == k] < i).any()) for k, i in zip(keys, ids)]
+        assert asked.marks.tolist() == [len(set(ids[keys == k].tolist())) > 1 for k in asked.keys]
+        assert sorted(k for _, page, _, _ in asked.pages() for k in np.frombuffer(page, np.uint64).tolist()) == sorted(by_key)
+    empty = substring_dedup.Question(keys[:0], ids[:0], None, 8)
+    assert not empty.pages() and not len(empty.looked_up(np.zeros(0, bool)))
