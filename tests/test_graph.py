@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerscope.operators import components as c, features as f, graph as g
+from ledgerscope.session import pin
 
 
 class Sets:
@@ -42,6 +43,35 @@ def test_components_equal_union_find(spark, seed):
     assert got == {n: s.find(n) for n in s.parent}
 
 
+@pytest.mark.parametrize("path", [lambda i: i, lambda i: (i * 7919) % 300])
+def test_components_of_chains_ladders_and_loops(spark, path):
+    edges = [(f"n{path(i):03d}", f"n{path(i + k):03d}") for i in range(200) for k in (1, 2)] + [("z", "z"), ("y", "y"), ("y", "x"), ("y", "x")]
+    s = Sets()
+    for a, b in edges:
+        s.union(a, b)
+    got = [(r["node"], r["component"]) for r in c.component_labels(spark.createDataFrame(edges, "u string, v string")).collect()]
+    assert sorted(got) == sorted((n, s.find(n)) for n in s.parent)
+
+
+def test_settled_leaves_are_not_written_again(spark, monkeypatch):
+    """A star of stars: once the leaves are settled, no step of the search holds a row for each of them."""
+    sizes = {}
+    monkeypatch.setattr(c, "pin", lambda df, label="step": sizes.setdefault(label, []).append(df.count()) or pin(df, label))
+    edges = [(f"p{h:02d}_{i:02d}", f"a{h:02d}") for h in range(10) for i in range(40)] + [(f"p{h:02d}_00", f"a{h + 1:02d}") for h in range(9)]
+    labels = c.component_labels(spark.createDataFrame(edges, "u string, v string"))
+    assert labels.count() == 410 and labels.select("component").distinct().count() == 1
+    assert max(n for label in ("cc", "cc-roots", "cc-inner") for n in sizes[label]) <= 20
+
+
+@pytest.mark.parametrize("seed", [5, 6])
+def test_weak_component_sizes_equal_components_of_all_nodes(ledger, random_rows, seed):
+    t = ledger(random_rows(seed, 30, 60))
+    money = t["transactions"], t["transaction_inputs"], t["transaction_outputs"]
+    whole = g.component_sizes(g.weak_components(g.edges(*money)))
+    sizes = lambda df: sorted(r["component_size"] for r in df.collect())
+    assert sizes(g.weak_component_sizes(*money)) == sizes(whole)
+
+
 def replay_clusters(rows):
     s, out = Sets(), {}
     for txid, _, ins, outs in sorted(rows, key=lambda r: (r[1], r[0])):
