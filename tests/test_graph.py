@@ -168,3 +168,18 @@ def test_entity_errors(ledger, spark):
         g.require_entity(g.resolve_entity(tx, addresses, "zz"), "zz")
     with pytest.raises(LookupError, match="another dataset"):
         g.require_entity(g.resolve_entity(tx, addresses, "A"), "A", "d2")
+
+
+@pytest.mark.parametrize("seed", [3, 8])
+def test_alert_history_equals_graph_features(ledger, random_rows, monkeypatch, seed):
+    t = ledger(random_rows(seed, 25, 20))
+    timeline = f.address_timeline(t["transactions"], t["transaction_inputs"], t["transaction_outputs"])
+    whole = g.graph_features(t, timeline)
+
+    def unasked(*_):
+        raise AssertionError("alerts read nothing that needs the timeline")
+
+    monkeypatch.setattr(f, "address_timeline", unasked)
+    alone = g.alert_history(t)
+    assert {"hist_component_size", "hist_address_reuse_ratio", "hist_cluster_id", "hist_cluster_size", "hist_cluster_tx_count"} < set(alone.columns)
+    assert sorted(map(tuple, alone.collect())) == sorted(map(tuple, whole.select(alone.columns).collect()))
