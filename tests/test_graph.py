@@ -183,3 +183,13 @@ def test_alert_history_equals_graph_features(ledger, random_rows, monkeypatch, s
     alone = g.alert_history(t)
     assert {"hist_component_size", "hist_address_reuse_ratio", "hist_cluster_id", "hist_cluster_size", "hist_cluster_tx_count"} < set(alone.columns)
     assert sorted(map(tuple, alone.collect())) == sorted(map(tuple, whole.select(alone.columns).collect()))
+
+
+def test_numbered_links_are_the_edges(ledger, random_rows):
+    t = ledger(random_rows(4, 25, 20))
+    money = t["transactions"], t["transaction_inputs"], t["transaction_outputs"]
+    links, names = g.numbered_links(*money)
+    name = {r["node"]: r["node_id"] for r in names.collect()}
+    assert [name[i] for i in sorted(name)] == sorted(name.values()) and links.dtypes == [("u", "bigint"), ("v", "bigint")]
+    got = sorted((name[r["u"]], name[r["v"]]) for r in links.collect())
+    assert got == sorted(map(tuple, g.edges(*money).select("source", "target").distinct().collect()))

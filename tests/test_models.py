@@ -327,3 +327,13 @@ def test_queries_fit_every_candidate_and_ablation_at_its_own_size(spark, monkeyp
     q.ablation(bench)
     q.ablation_scores(bench)
     assert len(seen) == 2 * len(scoring.ABLATIONS) and all(size(e) == size(own["random_forest"]) for e in seen)
+
+
+def test_page_rank_rounds_leave_out_edges_into_ends(spark, monkeypatch):
+    sizes = {}
+    plain = centrality.pin
+    monkeypatch.setattr(centrality, "pin", lambda df, label="step": sizes.setdefault(label, []).append(df.count()) or plain(df, label))
+    edges = [("a", "b"), ("b", "a")] + [(x, f"{x}{i:02d}") for x in "ab" for i in range(50)]
+    ranks = {r["node"]: r["rank"] for r in centrality.page_rank(spark.createDataFrame(edges, "u string, v string"), tolerance=1e-10).collect()}
+    assert ranks == pytest.approx(dense_rank(edges), abs=1e-8)
+    assert sizes["rank-inner"] == [2] and max(sizes["rank"]) == 2
