@@ -329,6 +329,21 @@ def test_queries_fit_every_candidate_and_ablation_at_its_own_size(spark, monkeyp
     assert len(seen) == 2 * len(scoring.ABLATIONS) and all(size(e) == size(own["random_forest"]) for e in seen)
 
 
+def test_communities_settle_in_few_rounds(spark, monkeypatch):
+    """Stars with common leaves, as addresses and transactions form: moves into one community are made together, and each round raises modularity."""
+    made = []
+    plain = centrality._moves
+    monkeypatch.setattr(centrality, "_moves", lambda links, labels, *rest: made.append((links, labels)) or plain(links, labels, *rest))
+    monkeypatch.setattr(centrality, "release", lambda df: None)
+    rng = random.Random(4)
+    edges = [(f"c{i % 12:02d}", f"t{i:03d}") for i in range(240)] + [(f"t{i:03d}", f"p{rng.randrange(40):02d}") for i in range(240) for _ in range(2)]
+    centrality.communities(spark.createDataFrame(edges, "u string, v string")).count()
+    assert len(made) < 60
+    first = [labels for links, labels in made if links is made[0][0]]
+    values = [centrality.modularity(made[0][0], labels).first()[0] for labels in (first[0], first[1], first[len(first) // 2], first[-1])]
+    assert values == sorted(values) and values[-1] > values[0] + 0.2
+
+
 def test_page_rank_rounds_leave_out_edges_into_ends(spark, monkeypatch):
     sizes = {}
     plain = centrality.pin
