@@ -352,3 +352,15 @@ def test_page_rank_rounds_leave_out_edges_into_ends(spark, monkeypatch):
     ranks = {r["node"]: r["rank"] for r in centrality.page_rank(spark.createDataFrame(edges, "u string, v string"), tolerance=1e-10).collect()}
     assert ranks == pytest.approx(dense_rank(edges), abs=1e-8)
     assert sizes["rank-inner"] == [2] and max(sizes["rank"]) == 2
+
+
+def test_queries_on_few_columns_build_no_graph_features(spark, monkeypatch):
+    from ledgerscope.plans import bench, registry
+
+    def unasked(self):
+        raise AssertionError("no graph feature is given out")
+
+    for name in ("modelling", "graph_features"):
+        monkeypatch.setattr(bench.Bench, name, property(unasked))
+    for name in ("m18_row_explanations", "m22_graph_evidence", "m02_one_hot"):
+        assert registry.plans()[name](spark, "/root/testdata/sf0.001").columns[0] == "transaction_id"
